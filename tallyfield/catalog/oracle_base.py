@@ -257,7 +257,7 @@ CTES = {
         "SELECT avg(CASE WHEN isodow(date) < 6 THEN value END) AS weekday_avg, "
         "avg(CASE WHEN isodow(date) >= 6 THEN value END) AS weekend_avg FROM daily)"
     ),
-    "index": (
+    "seasidx": (
         "SELECT month, month_name, total, round(total * 100.0 / avg(total) OVER (), 2) AS seasonality_index FROM ("
         "SELECT CAST(month(date) AS INTEGER) AS month, substr(monthname(date), 1, 3) AS month_name, "
         f"{isum('value')} AS total FROM daily GROUP BY 1, 2)"
