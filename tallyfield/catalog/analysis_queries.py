@@ -16,6 +16,7 @@ from ..operators import select as e
 from ..operators import series as s
 from ..operators.quantile import average_rank_percent
 from ..sources import files, tables
+from ..sources.scratch import pinned
 from .common import A, Registry, daily, districts, fixed_holidays, lines, monthly, records, states
 
 Q = Registry()
@@ -162,17 +163,17 @@ def _(spark, sf):
 
 @add("holiday_lookup")
 def _(spark, sf):
-    return j.holiday_lookup(daily(spark, sf), fixed_holidays(spark, sf))
+    return j.holiday_lookup(daily(spark, sf), fixed_holidays(spark))
 
 
 @add("holiday_anti")
 def _(spark, sf):
-    return j.holiday_anti(daily(spark, sf), fixed_holidays(spark, sf))
+    return j.holiday_anti(daily(spark, sf), fixed_holidays(spark))
 
 
 @add("interval_neighbors")
 def _(spark, sf):
-    return j.interval_neighbors(daily(spark, sf), fixed_holidays(spark, sf))
+    return j.interval_neighbors(daily(spark, sf), fixed_holidays(spark))
 
 
 @add("scalar_broadcast")
@@ -371,17 +372,17 @@ def _(spark, sf):
 
 @add("holiday_impact")
 def _(spark, sf):
-    return an.holiday_impact(daily(spark, sf), fixed_holidays(spark, sf), A)
+    return an.holiday_impact(daily(spark, sf), fixed_holidays(spark), A)
 
 
 @add("holiday_baseline")
 def _(spark, sf):
-    return an.holiday_baseline(daily(spark, sf), fixed_holidays(spark, sf))
+    return an.holiday_baseline(daily(spark, sf), fixed_holidays(spark))
 
 
 @add("holiday_mean_impact")
 def _(spark, sf):
-    return an.holiday_mean_impact(an.holiday_impact(daily(spark, sf), fixed_holidays(spark, sf), A))
+    return an.holiday_mean_impact(an.holiday_impact(daily(spark, sf), fixed_holidays(spark), A))
 
 
 @add("control_limits")
@@ -588,9 +589,14 @@ def _(spark, sf):
 
 # --- KPIs and chart datasets -------------------------------------------------
 
+def record_cube(spark, sf):
+    """The day cube of the record-grain facts, made once."""
+    return pinned(g.day_cube(records(spark, sf), A), "cube")
+
+
 @add("kpi_overall")
 def _(spark, sf):
-    return k.overall(records(spark, sf), A)
+    return k.overall(lines(spark, sf, "pincode"), A, record_cube(spark, sf))
 
 
 @add("kpi_temporal")
@@ -641,7 +647,8 @@ def _(spark, sf):
 
 @add("recommendations")
 def _(spark, sf):
-    return k.recommendations(k.merged_kpis(records(spark, sf), A), A.measure)
+    kpis = k.merged_kpis(lines(spark, sf, "pincode"), A, record_cube(spark, sf))
+    return k.recommendations(kpis, A.measure)
 
 
 @add("dashboard_kpis")

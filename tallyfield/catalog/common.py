@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import aggregate
+from ..operators import aggregate, joins
 from ..sources import tables
 
 A = tables.ACTIVITY
@@ -58,13 +58,10 @@ def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.district_total(lines(spark, sf_dir, "state", "district"), A)
 
 
-def fixed_holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Christmas and New Year of every year in the data."""
-    year = F.year("date")
-    days = daily(spark, sf_dir).agg(F.min(year).alias("a"), F.max(year).alias("b"))
-    years = days.select(F.explode(F.sequence("a", "b")).alias("y"))
-    one, two = F.make_date("y", F.lit(1), F.lit(1)), F.make_date("y", F.lit(12), F.lit(25))
-    return years.select(F.inline(F.array(
-        F.struct(one.alias("date"), F.lit("New Year").alias("holiday")),
-        F.struct(two.alias("date"), F.lit("Christmas").alias("holiday")),
-    )))
+def fixed_holidays(spark: SparkSession) -> DataFrame:
+    """Christmas and New Year, for the years the order tables can span."""
+    return joins.holiday_calendar(spark, {
+        f"{year}-{day}": name
+        for year in range(1990, 2011)
+        for day, name in (("01-01", "New Year"), ("12-25", "Christmas"))
+    })

@@ -108,9 +108,7 @@ CTES = {
         "SELECT * FROM (SELECT make_date(y, 1, 1) AS date, 'New Year' AS holiday FROM years "
         "UNION ALL SELECT make_date(y, 12, 25), 'Christmas' FROM years)"
     ),
-    "years": (
-        "SELECT CAST(unnest(range(year(min(date)), year(max(date)) + 1)) AS BIGINT) AS y FROM daily"
-    ),
+    "years": "SELECT CAST(unnest(range(1990, 2011)) AS BIGINT) AS y",
     "features": (
         f"SELECT *, {SHARES}, total * 1.0 / active_days AS daily_avg, "
         "total * 1.0 / unique_pincodes AS per_pincode_avg FROM ("
@@ -267,6 +265,10 @@ CTES = {
         "UNION ALL SELECT date, state, district, pincode, age_0_5, age_5_17, age_18_greater FROM dirty_keyed "
         "WHERE k % 25 = 7"
     ),
+    "dirty_csv": (
+        "SELECT date, nullif(state, '') AS state, district, pincode, nullif(age_0_5, '') AS age_0_5, "
+        "age_5_17, age_18_greater FROM dirty"
+    ),
     "dirty_keyed": (
         "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 50 = 0 THEN '31-02-2025' "
         "WHEN o_orderkey % 50 = 1 THEN strftime(o_orderdate, '%Y-%m-%d') "
@@ -314,7 +316,7 @@ CTES = {
         "SELECT * REPLACE (CAST(try_strptime(date, '%d-%m-%Y') AS DATE) AS date, "
         f"CAST(trunc({number('age_0_5')}) AS BIGINT) AS age_0_5, "
         f"CAST(trunc({number('age_5_17')}) AS BIGINT) AS age_5_17, "
-        f"CAST(trunc({number('age_18_greater')}) AS BIGINT) AS age_18_greater) FROM dirty)"
+        f"CAST(trunc({number('age_18_greater')}) AS BIGINT) AS age_18_greater) FROM dirty_csv)"
     ),
     "long": (
         "SELECT measure, state, value FROM (SELECT 'part_a' AS measure, state, part_a AS value FROM activity "

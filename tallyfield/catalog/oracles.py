@@ -91,7 +91,7 @@ _zflag = (
 )
 _zfound = f"SELECT date, value, z_score, {_zflag}, round((value - m) / m * 100, 2) AS deviation_pct FROM zs WHERE abs(z_score) > 3.0"
 SQL.update({
-    "read_raw_csv": o("SELECT * FROM dirty"),
+    "read_raw_csv": o("SELECT * FROM dirty_csv"),
     "read_clean": o("SELECT * FROM cleaned"),
     "materialize_if_absent": o("SELECT * FROM cleaned"),
     "raw_fallback_scan": o("SELECT * FROM raw_minimum"),

@@ -19,6 +19,17 @@ def total_by(
     return df.groupBy(*keys).agg(F.sum(column).alias(out or column))
 
 
+def day_cube(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
+    """The facts rolled up to (date, state, district), with a record count.
+
+    It keeps the fact columns' names, so every operator made of sums takes the
+    cube in place of the facts. Its size is days times districts.
+    """
+    return df.groupBy(spec.date, spec.state, spec.district).agg(
+        *[F.sum(c).alias(c) for c in spec.measures], F.count("*").alias("records")
+    )
+
+
 def daily_total(
     df: DataFrame, spec: FactSpec = DEFAULT, column: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -329,16 +340,21 @@ def quantile_linear(df: DataFrame, column: str, probs: dict[str, float]) -> Data
     return df.agg(*[F.percentile(column, F.lit(p)).alias(n) for n, p in probs.items()])
 
 
-def argmax_argmin(df: DataFrame, value: str, key: str) -> DataFrame:
-    """Keys of the largest and the smallest value, first in key order on ties.
+def first_max(key: str, value: str) -> Column:
+    """Aggregate: the key of the largest value, first in key order on ties."""
+    return F.min_by(key, F.struct((-F.col(value)).alias("v"), F.col(key).alias("k")))
 
-    ``min_by`` over (rank of value, key) structs keeps this one aggregate.
-    """
-    top = F.min_by(F.struct(key, value), F.struct((-F.col(value)).alias("v"), F.col(key).alias("k")))
-    low = F.min_by(F.struct(key, value), F.struct(F.col(value).alias("v"), F.col(key).alias("k")))
-    return df.agg(top.alias("t"), low.alias("l")).select(
-        F.col(f"t.{key}").alias("max_key"), F.col(f"t.{value}").alias("max_value"),
-        F.col(f"l.{key}").alias("min_key"), F.col(f"l.{value}").alias("min_value"),
+
+def first_min(key: str, value: str) -> Column:
+    """Aggregate: the key of the smallest value, first in key order on ties."""
+    return F.min_by(key, F.struct(F.col(value).alias("v"), F.col(key).alias("k")))
+
+
+def argmax_argmin(df: DataFrame, value: str, key: str) -> DataFrame:
+    """Keys and values of the maximum and the minimum, in one aggregate."""
+    return df.agg(
+        first_max(key, value).alias("max_key"), F.max(value).alias("max_value"),
+        first_min(key, value).alias("min_key"), F.min(value).alias("min_value"),
     )
 
 
@@ -351,23 +367,31 @@ def daily_stats(daily: DataFrame) -> DataFrame:
     )
 
 
+def with_ranks(totals: DataFrame, value: str) -> DataFrame:
+    """Number a set of state totals upwards (``up``) and downwards (``down``)."""
+    return totals.withColumns({
+        "up": F.row_number().over(W.orderBy(F.asc(value))),
+        "down": F.row_number().over(W.orderBy(F.desc(value))),
+    })
+
+
+def gini_column(value: str) -> Column:
+    """Aggregate over ``with_ranks`` rows: the Gini coefficient."""
+    n, s = F.count("*"), F.sum(value)
+    weighted = 2.0 * F.sum(F.col("up") * F.col(value))
+    return F.try_divide(weighted - (n + 1) * s, (n * s).cast("double"))
+
+
+def share_of_top(value: str, k: int) -> Column:
+    """Aggregate over ``with_ranks`` rows: percent of the sum in the top ``k``."""
+    return numeric.percent(F.sum(F.when(F.col("down") <= k, F.col(value))), F.sum(value))
+
+
 def gini(totals: DataFrame, value: str) -> DataFrame:
-    """Gini coefficient of a set of totals (one row per state)."""
-    ranked = totals.select(
-        F.col(value).alias("x"), F.row_number().over(W.orderBy(value)).alias("i")
-    )
-    n, s = F.count("*"), F.sum("x")
-    return ranked.agg(
-        F.try_divide(2.0 * F.sum(F.col("i") * F.col("x")) - (n + 1) * s, (n * s).cast("double")).alias("gini")
-    )
+    """Gini coefficient of a set of state totals."""
+    return with_ranks(totals, value).agg(gini_column(value).alias("gini"))
 
 
 def top_share(totals: DataFrame, value: str, ks: Sequence[int] = (1, 3, 5, 10)) -> DataFrame:
-    """Share of the total held by the top ``k`` rows, per ``k``."""
-    ranked = totals.select(
-        F.col(value).alias("x"), F.row_number().over(W.orderBy(F.desc(value))).alias("r")
-    )
-    return ranked.agg(*[
-        numeric.percent(F.sum(F.when(F.col("r") <= k, F.col("x"))), F.sum("x")).alias(f"top_{k}_share")
-        for k in ks
-    ])
+    """Share of the total held by the top ``k`` states, per ``k``."""
+    return with_ranks(totals, value).agg(*[share_of_top(value, k).alias(f"top_{k}_share") for k in ks])

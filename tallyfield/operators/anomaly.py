@@ -131,15 +131,7 @@ def geo_scores(
         per_day: numeric.ratio(F.col(spec.total), F.col("active_days")),
         per_pin: numeric.ratio(F.col(spec.total), F.col("unique_pincodes")),
     })
-    stats = places.agg(F.struct(*[
-        fn(c).alias(f"{name}_{c}")
-        for c in (per_day, per_pin)
-        for name, fn in (("mean", F.avg), ("std", F.stddev_samp))
-    ])).scalar()
-    scored = places.withColumns({
-        f"{c}_zscore": numeric.ratio(F.col(c) - stats[f"mean_{c}"], stats[f"std_{c}"])
-        for c in (per_day, per_pin)
-    })
+    scored = places.withColumns({f"{c}_zscore": zscore_column((), c) for c in (per_day, per_pin)})
     z = F.col(f"{per_day}_zscore")
     return scored.withColumns({
         "is_high_performer": F.coalesce(z > threshold, F.lit(False)),

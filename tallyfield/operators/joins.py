@@ -67,10 +67,15 @@ def interval_neighbors(daily: DataFrame, anchors: DataFrame, days: int = 3) -> D
     return near.join(daily, "date").select("anchor", "offset", "date", "value")
 
 
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame to every row, as one scalar subquery."""
+    row = one_row.select(F.struct(*one_row.columns).alias("row")).scalar()
+    return df.withColumn("_row", row).select(*df.columns, "_row.*")
+
+
 def with_scalars(df: DataFrame, stats: Mapping[str, Column]) -> DataFrame:
-    """Attach set-level statistics to every row as scalar subqueries."""
-    one = df.agg(F.struct(*[c.alias(n) for n, c in stats.items()])).scalar()
-    return df.withColumns({n: one[n] for n in stats})
+    """Attach set-level statistics (mean, deviation, quantile) to every row."""
+    return attach(df, df.agg(*[c.alias(n) for n, c in stats.items()]))
 
 
 def name_lookup(df: DataFrame, names: DataFrame, key: str) -> DataFrame:

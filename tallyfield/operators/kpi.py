@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar, numeric
+from ..sources.scratch import pinned
 from ..spec import DEFAULT, FactSpec
 from .aggregate import (
-    argmax_argmin, daily_total, district_lifespan, district_total, gini, month_name_total,
-    monthly_total, pincode_total, resample_monthly, resample_weekly, state_total, top_share,
-    total_by, weekly_total,
+    argmax_argmin, daily_total, day_cube, district_lifespan, district_total, first_max, first_min,
+    gini_column, month_name_total, monthly_total, pincode_total, resample_monthly, resample_weekly,
+    share_of_top, state_total, total_by, weekly_total, with_ranks,
 )
 from .clean import add_shares
+from .joins import attach
 from .select import top_states
 from .series import strict_mean, whole
 
@@ -27,40 +29,41 @@ STAFFING = {"low": (90.0, "Reduce Staff"), "high": (110.0, "Add Staff"), "else":
 
 
 def _side_by_side(first: DataFrame, *rest: DataFrame) -> DataFrame:
-    """Put one-row frames next to each other as scalar subqueries."""
-    out = first
-    for i, frame in enumerate(rest):
-        one = frame.select(F.struct(*frame.columns).alias(f"s{i}")).scalar()
-        out = out.withColumns({c: one[c] for c in frame.columns})
-    return out
+    """Put one-row frames next to each other."""
+    for frame in rest:
+        first = attach(first, frame)
+    return first
 
 
-def overall(df: DataFrame, spec: FactSpec = DEFAULT, records: DataFrame | None = None) -> DataFrame:
+def overall(df: DataFrame, spec: FactSpec = DEFAULT, cube: DataFrame | None = None) -> DataFrame:
     """Twenty headline metrics in one row.
 
-    ``records`` may supply the record-grain rows when ``df`` is finer.
+    All but the number of pincodes follow from the day cube (given, or made and
+    pinned here), so the facts are read once for the cube and once more for the
+    single pincode column.
     """
     m, total = spec.measure, f"total_{spec.measure}"
-    facts = df.agg(
+    cube = pinned(day_cube(df, spec), "cube") if cube is None else cube
+    facts = cube.agg(
         F.sum(spec.total).alias(total),
         F.min(spec.date).alias("date_range_start"),
         F.max(spec.date).alias("date_range_end"),
         F.count_distinct(spec.date).alias("total_days"),
         F.count_distinct(spec.state).alias("total_states"),
         F.count_distinct(spec.district).alias("total_districts"),
-        F.count_distinct(spec.pincode).alias("total_pincodes"),
+        F.sum("records").alias("total_records"),
         *[
             numeric.percent(F.sum(p), F.sum(spec.total)).alias(f"pct_{label}")
             for p, label in zip(spec.parts, spec.part_labels)
         ],
     )
-    count = (df if records is None else records).agg(F.count("*").alias("total_records"))
-    days = daily_total(df, spec).agg(
+    pincodes = df.agg(F.count_distinct(spec.pincode).alias("total_pincodes"))
+    days = daily_total(cube, spec).agg(
         F.avg("value").alias(f"avg_daily_{m}"), F.median("value").alias(f"median_daily_{m}"),
         F.max("value").alias(f"max_daily_{m}"), F.min("value").alias(f"min_daily_{m}"),
         F.stddev_samp("value").alias(f"std_daily_{m}"),
     )
-    return _side_by_side(facts, count, days).withColumns({
+    return _side_by_side(facts, pincodes, days).withColumns({
         "coefficient_of_variation": numeric.percent(F.col(f"std_daily_{m}"), F.col(f"avg_daily_{m}")),
         f"{m}_per_state": numeric.ratio(F.col(total), F.col("total_states")),
         f"{m}_per_district": numeric.ratio(F.col(total), F.col("total_districts")),
@@ -80,36 +83,36 @@ def temporal(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
         F.when(F.col("weekday_avg") > 0, numeric.percent(F.col("weekend_avg"), F.col("weekday_avg")))
         .otherwise(0.0),
     )
-    months = total_by(daily, [F.month("date").alias("month")], "value")
-    weekdays = total_by(daily, [F.weekday("date").alias("dow")], "value")
-    spread = months.agg(
-        numeric.percent(F.stddev_samp("value"), F.avg("value")).alias("monthly_variance")
+    months = total_by(daily, [F.month("date").alias("month")], "value").agg(
+        first_max("month", "value").alias("best_month"),
+        first_min("month", "value").alias("worst_month"),
+        numeric.percent(F.stddev_samp("value"), F.avg("value")).alias("monthly_variance"),
     )
-    best_month = argmax_argmin(months, "value", "month").select(
-        F.col("max_key").alias("best_month"), F.col("min_key").alias("worst_month")
+    weekdays = total_by(daily, [F.weekday("date").alias("dow")], "value").agg(
+        first_max("dow", "value").alias("best_day_of_week"),
+        first_min("dow", "value").alias("worst_day_of_week"),
     )
-    best_day = argmax_argmin(weekdays, "value", "dow").select(
-        F.col("max_key").alias("best_day_of_week"), F.col("min_key").alias("worst_day_of_week")
-    )
-    return _side_by_side(split, best_month, best_day, spread)
+    return _side_by_side(split, months, weekdays)
 
 
 def geographic(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
     """Top places, concentration shares, Gini and averages."""
-    grouped = total_by(df, [spec.state, spec.district], spec.total)
-    states = state_total(grouped.dropna(subset=[spec.state]), spec)
-    districts = district_total(grouped.dropna(subset=[spec.district]), spec, qualified=False)
-    top_state = argmax_argmin(states, spec.total, spec.state).select(F.col("max_key").alias("top_state"))
-    shares = top_share(states, spec.total, (1, 5, 10)).toDF(
-        "top_state_share", "top_5_states_share", "top_10_states_share"
+    places = total_by(df, [spec.state, spec.district], spec.total)
+    states = state_total(places.dropna(subset=[spec.state]), spec)
+    districts = district_total(places.dropna(subset=[spec.district]), spec, qualified=False)
+    ranked = with_ranks(states, spec.total).agg(
+        first_max(spec.state, spec.total).alias("top_state"),
+        share_of_top(spec.total, 1).alias("top_state_share"),
+        share_of_top(spec.total, 5).alias("top_5_states_share"),
+        share_of_top(spec.total, 10).alias("top_10_states_share"),
+        gini_column(spec.total).alias("state_gini_coefficient"),
+        F.avg(spec.total).alias("avg_per_state"),
     )
-    inequality = gini(states, spec.total).toDF("state_gini_coefficient")
-    per_state = states.agg(F.avg(spec.total).alias("avg_per_state"))
-    per_district = districts.agg(F.avg(spec.total).alias("avg_per_district"))
-    top_district = argmax_argmin(districts, spec.total, spec.district).select(
-        F.col("max_key").alias("top_district")
+    by_name = districts.agg(
+        F.avg(spec.total).alias("avg_per_district"),
+        first_max(spec.district, spec.total).alias("top_district"),
     )
-    return _side_by_side(top_state, shares, inequality, per_state, per_district, top_district)
+    return _side_by_side(ranked, by_name)
 
 
 def capacity_status(utilization: Column) -> Column:
@@ -247,9 +250,10 @@ def recommendations(kpis: DataFrame, measure: str = "enrollments") -> DataFrame:
     return kpis.select(F.inline(table)).where("applies").drop("applies").orderBy("position")
 
 
-def merged_kpis(df: DataFrame, spec: FactSpec = DEFAULT, records: DataFrame | None = None) -> DataFrame:
-    """All three KPI rows side by side."""
-    return _side_by_side(overall(df, spec, records), temporal(df, spec), geographic(df, spec))
+def merged_kpis(df: DataFrame, spec: FactSpec = DEFAULT, cube: DataFrame | None = None) -> DataFrame:
+    """All three KPI rows side by side, from one day cube."""
+    cube = pinned(day_cube(df, spec), "cube") if cube is None else cube
+    return _side_by_side(overall(df, spec, cube), temporal(cube, spec), geographic(cube, spec))
 
 
 def dashboard_kpis(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:

@@ -17,7 +17,6 @@ from ..sources.scratch import pinned
 from ..spec import DEFAULT, FactSpec
 from .aggregate import daily_with_calendar, district_volatility
 from .clean import label_encode
-from .quantile import global_row_number
 from .series import cap_at_quantile, lag_features, max_column, minmax_column, ordered, strict_mean, whole
 
 DEMAND_FEATURES = (
@@ -218,16 +217,18 @@ def train_surge(
 
 
 def tercile(df: DataFrame, value: str, ties: Sequence[str], out: str) -> DataFrame:
-    """Three equal bins of the rank, ties broken by ``ties``.
+    """Three equal bins of the rank of districts, ties broken by ``ties``.
 
     The bin edges are linear quantiles of the ranks, so sizes differ from
     those of ``ntile`` when the count is not a multiple of three.
     """
-    bin_ = F.least(
-        F.lit(2), F.floor(F.try_divide(3 * (F.col("position") - 1), F.col("n") - 1))
+    position = F.row_number().over(W.orderBy(value, *ties))
+    n = F.count("*").over(whole())
+    bin_ = F.least(F.lit(2), F.floor(F.try_divide(3 * (position - 1), n - 1)))
+    label = F.element_at(
+        F.array(*[F.lit(x) for x in RISK_LABELS]), (F.coalesce(bin_, F.lit(0)) + 1).cast("int")
     )
-    label = F.element_at(F.array(*[F.lit(x) for x in RISK_LABELS]), (F.coalesce(bin_, F.lit(0)) + 1).cast("int"))
-    return global_row_number(df, value, ties).withColumn(out, label).drop("position", "n")
+    return df.withColumn(out, label)
 
 
 def district_risk(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
@@ -237,9 +238,9 @@ def district_risk(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
     )
     data = cap_at_quantile(data, "cv", 0.95)
     data = data.withColumns({
-        "cv_normalized": minmax_column(data, "cv"),
-        "coverage": max_column(data, "pincodes"),
-        "volume_score": max_column(data, "total"),
+        "cv_normalized": minmax_column("cv"),
+        "coverage": max_column("pincodes"),
+        "volume_score": max_column("total"),
     })
     a, b, c = RISK_WEIGHTS
     score = (

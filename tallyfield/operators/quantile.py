@@ -98,24 +98,3 @@ def average_rank_percent(df: DataFrame, value: str, out: str) -> DataFrame:
     mean_rank = F.col("upto") - (F.col("rows") - 1) / 2
     ranks = cumulate(hist, (), "_value").select("_value", (mean_rank / F.col("n") * 100).alias(out))
     return df.join(ranks, F.col(value) == F.col("_value"), "left").drop("_value")
-
-
-def global_row_number(
-    df: DataFrame, value: str, ties: Sequence[str], out: str = "position"
-) -> DataFrame:
-    """1-based position in the order of (value, ties) with row count ``n``.
-
-    Smaller values are counted through the histogram; only rows of equal value
-    are numbered against each other. ``value`` must not depend on the order in
-    which rows arrive, because it is worked out on both sides of the join.
-    """
-    hist = df.groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("rows"))
-    below = cumulate(hist, (), "_value").select(
-        "_value", (F.col("upto") - F.col("rows")).alias("_below"), "n"
-    )
-    among = F.row_number().over(W.partitionBy(value).orderBy(*ties))
-    return (
-        df.join(below, F.col(value) == F.col("_value"))
-        .withColumn(out, F.col("_below") + among)
-        .drop("_value", "_below")
-    )

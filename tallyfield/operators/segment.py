@@ -15,7 +15,8 @@ from ..sources.scratch import pinned
 from ..spec import DEFAULT, FactSpec
 from .aggregate import pincode_profile, region_features
 from .clean import add_shares
-from .series import max_column, minmax_column, whole
+from .joins import with_scalars
+from .series import max_column, minmax_column, quantile_column, whole
 
 # Cluster name limits.
 CHILD_SHARE, ADULT_SHARE = 40.0, 50.0
@@ -27,15 +28,14 @@ def region_feature_names(spec: FactSpec = DEFAULT) -> list[str]:
 
 def standardize(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFrame:
     """Zero mean and unit population variance; a constant column becomes 0."""
-    stats = df.agg(F.struct(*[
-        e for c in columns for e in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"))
-    ])).scalar()
-    return df.withColumns({
+    stats = {f"{c}_mean": F.avg(c) for c in columns} | {f"{c}_std": F.stddev_pop(c) for c in columns}
+    scaled = {
         f"{c}{suffix}": F.coalesce(
-            numeric.ratio(F.col(c) - stats[f"{c}_mean"], stats[f"{c}_std"]), F.lit(0.0)
+            numeric.ratio(F.col(c) - F.col(f"{c}_mean"), F.col(f"{c}_std")), F.lit(0.0)
         )
         for c in columns
-    })
+    }
+    return with_scalars(df, stats).withColumns(scaled).drop(*stats)
 
 
 def scaled_vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -131,13 +131,13 @@ def service_scores(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
     """Every district with its service score and whether it is underserved."""
     data = region_features(df, spec, "district")
     data = data.withColumns({
-        "daily_avg_normalized": minmax_column(data, "daily_avg"),
-        "coverage_score": max_column(data, "unique_pincodes"),
+        "daily_avg_normalized": minmax_column("daily_avg"),
+        "coverage_score": max_column("unique_pincodes"),
     }).withColumn(
         "service_score", (F.col("daily_avg_normalized") + F.col("coverage_score")) / 2
     )
-    limit = data.agg(F.percentile("service_score", F.lit(0.25))).scalar()
-    return data.withColumn("is_underserved", F.coalesce(F.col("service_score") < limit, F.lit(False)))
+    low = F.col("service_score") < quantile_column("service_score", 0.25)
+    return data.withColumn("is_underserved", F.coalesce(low, F.lit(False)))
 
 
 def underserved(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:

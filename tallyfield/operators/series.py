@@ -3,6 +3,10 @@
 They take a series of (``by``, date, value) rows: one row per day or period, so
 a series is as long as its calendar and never as long as the facts. ``by``
 names the series keys; many series run side by side in one job.
+
+The scaling functions at the end take a set of states or districts, whose size
+the geography fixes. They use a window over the set rather than a second
+aggregate, so the facts below are read once.
 """
 
 from __future__ import annotations
@@ -153,29 +157,33 @@ def threshold_crossing(
     return run.agg(F.array(*rows).alias("s")).select(F.inline("s")).where(F.col("date").isNotNull())
 
 
-def minmax_column(df: DataFrame, c: str) -> Column:
-    """(x - min) / (max - min) over an aggregated set, null for a constant."""
-    s = df.agg(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"))).scalar()
-    return numeric.ratio(F.col(c) - s["lo"], s["hi"] - s["lo"])
+def minmax_column(c: str) -> Column:
+    """(x - min) / (max - min) over a set of regions, null for a constant."""
+    low, high = F.min(c).over(whole()), F.max(c).over(whole())
+    return numeric.ratio(F.col(c) - low, high - low)
+
+
+def max_column(c: str) -> Column:
+    """x / max over a set of regions."""
+    return numeric.ratio(F.col(c), F.max(c).over(whole()))
 
 
-def max_column(df: DataFrame, c: str) -> Column:
-    """x / max over an aggregated set."""
-    return numeric.ratio(F.col(c), df.agg(F.max(c)).scalar())
+def quantile_column(c: str, p: float) -> Column:
+    """Linear quantile over a set of regions."""
+    return F.percentile(c, F.lit(p)).over(whole())
 
 
 def minmax_scale(df: DataFrame, c: str, out: str) -> DataFrame:
-    return df.withColumn(out, minmax_column(df, c))
+    return df.withColumn(out, minmax_column(c))
 
 
 def max_scale(df: DataFrame, c: str, out: str, scale: float = 1.0) -> DataFrame:
-    return df.withColumn(out, max_column(df, c) * scale)
+    return df.withColumn(out, max_column(c) * scale)
 
 
 def cap_at_quantile(df: DataFrame, c: str, p: float = 0.95, out: str | None = None) -> DataFrame:
     """Clip the upper tail at a quantile; nulls stay null."""
-    limit = df.agg(F.percentile(c, F.lit(p))).scalar()
-    return df.withColumn(out or c, numeric.cap(F.col(c), limit))
+    return df.withColumn(out or c, numeric.cap(F.col(c), quantile_column(c, p)))
 
 
 def tail_mean(daily: DataFrame, rows: int = 30, by: Sequence[str] = ()) -> DataFrame:
