@@ -934,5 +934,97 @@ SQL.update({
 })
 
 
+# --- report bundles ----------------------------------------------------------
+def _section(name: str, sql: str, numbers: str) -> str:
+    cols = numbers.split()
+    keys = ", ".join(["'rows'", *[f"'{c}'" for c in cols]])
+    values = ", ".join(["CAST(count(*) AS DOUBLE)", *[f"CAST(sum({c}) AS DOUBLE)" for c in cols]])
+    return f"SELECT '{name}' AS section, unnest([{keys}]) AS key, unnest([{values}]) AS value FROM ({sql})"
+
+
+def _report(*sections: tuple[str, str, str]) -> str:
+    parts = " UNION ALL ".join(_section(*s) for s in sections)
+    return f"SELECT section, key, round(value, 3) AS value FROM ({parts})"
+
+
+_GEO_COLS = "total active_days unique_pincodes units_per_day units_per_pincode units_per_day_zscore units_per_pincode_zscore"
+_IMPACT_COLS = "units baseline impact_pct avg_before avg_after recovery_days"
+_no_runs = o(
+    "SELECT run_id, count(*) AS duration, avg(deviation) AS avg_deviation, avg(value) AS avg_value FROM "
+    f"({_deviation(2.0)}) WHERE is_deviant GROUP BY 1 HAVING count(*) >= 3", "avg_deviation avg_value",
+)
+_residuals = o(f"SELECT * FROM ({_decompose(3, 3)}) WHERE is_residual_anomaly", _DECO)
+_found = (
+    ("zscore_anomalies", SQL["anomaly_zscore"], "value z_score deviation_pct"),
+    ("iqr_anomalies", SQL["anomaly_iqr"], "value lower_bound upper_bound"),
+    ("consecutive_anomalies", _no_runs, "run_id duration avg_deviation avg_value"),
+    ("residual_anomalies", _residuals, "original trend seasonal residual"),
+    ("geo_anomalies", SQL["anomaly_geo"], _GEO_COLS),
+    ("holiday_impact", SQL["holiday_impact"], _IMPACT_COLS),
+)
+_summary = " UNION ALL ".join(f"SELECT '{n}' AS section, count(*) AS rows FROM ({q})" for n, q, _ in _found)
+_MORE_TARGETS = SQL["milestones"].replace(
+    "(CAST(1000000 AS BIGINT)), (25000000), (50000000)", "(CAST(25000000 AS BIGINT)), (50000000), (100000000)"
+)
+_daily_geo = SQL["kpi_geographic"].replace("FROM segments", "FROM activity")
+_capacity_place = o(_capacity("district", 500).replace("FROM segments", "FROM activity"), "avg_daily avg_utilization peak_utilization")
+_STATE_AGE = "part_a part_b part_c"
+SQL.update({
+    "anomaly_report": _report(
+        *_found,
+        ("daily_zscore", SQL["anomaly_zscore_daily"], "value z_score"),
+        ("daily_iqr", SQL["anomaly_iqr_daily"], "value lower_bound upper_bound"),
+        ("iqr_bounds", o("SELECT DISTINCT lower_bound, upper_bound FROM iqr", "lower_bound upper_bound"), "lower_bound upper_bound"),
+        ("daily_consecutive", SQL["anomaly_runs_daily"], "value ma std deviation run_id"),
+        ("decomposition", SQL["seasonal_decompose"], "original trend seasonal residual"),
+        ("geo_data", _geo("geo", 2.0), _GEO_COLS),
+        ("baseline", SQL["holiday_baseline"], "baseline"),
+        ("summary", _summary, "rows"),
+    ),
+    "forecast_report": _report(
+        ("time_series", SQL["daily_total"], "value"),
+        ("ma_forecast", SQL["forecast_ma"], "step forecast lower_bound upper_bound"),
+        ("exp_forecast", SQL["forecast_holt"], "step forecast lower_bound upper_bound"),
+        ("seasonal_forecast", SQL["forecast_seasonal"], "step forecast lower_bound upper_bound"),
+        ("seasonal_factors", SQL["seasonal_factors"], "slot factor"),
+        ("state_forecasts", SQL["forecast_by_state"], "step forecast lower_bound upper_bound"),
+        ("milestones", _MORE_TARGETS, "milestone days_from_now"),
+        ("cumulative", SQL["cumulative_sum"], "value cumulative"),
+        ("summary", SQL["forecast_summary"], "avg_forecast total_forecast weekend_days avg_weekend"),
+    ),
+    "operational_report": _report(
+        ("overall_kpis", SQL["kpi_overall"],
+         "total_units total_days total_states total_districts total_records pct_age_0_5 pct_age_5_17 pct_age_18_plus "
+         "total_pincodes avg_daily_units median_daily_units max_daily_units min_daily_units std_daily_units "
+         "coefficient_of_variation units_per_state units_per_district units_per_pincode"),
+        ("temporal_kpis", SQL["kpi_temporal"],
+         "weekday_avg weekend_avg weekend_efficiency best_month worst_month monthly_variance best_day_of_week worst_day_of_week"),
+        ("geographic_kpis", _daily_geo,
+         "top_state_share top_5_states_share top_10_states_share state_gini_coefficient avg_per_state avg_per_district"),
+        ("capacity", _capacity_place, "avg_daily avg_utilization peak_utilization"),
+        ("efficiency", SQL["weekday_weekend"],
+         "weekday_avg weekday_total weekday_days weekend_avg weekend_total weekend_days efficiency_gap weekend_potential"),
+        ("day_breakdown", SQL["weekday_breakdown"], "mean"),
+        ("seasonality", SQL["seasonality_index"], "month total seasonality_index"),
+        ("recommendations", SQL["recommendations"], "position"),
+    ),
+    "executive_summary": _report(
+        ("age_groups", SQL["age_group_totals"], "value share_pct"),
+        ("top_states", SQL["top_states"], "total"),
+        ("daily", SQL["daily_total"], "value"),
+        ("weekdays", o(
+            f"SELECT day_of_week, coalesce(value, 0) AS value FROM {_DIM} LEFT JOIN (SELECT isodow(date) - 1 AS d, "
+            f"{isum('value')} AS value FROM daily GROUP BY 1) ON d = day_of_week"
+        ), "day_of_week value"),
+        ("months", SQL["monthly_total"], "value"),
+        ("quarters", SQL["quarter_total"], "quarter value"),
+        ("monthly_age_groups", SQL["monthly_age_totals"], _STATE_AGE),
+        ("cumulative", SQL["cumulative_sum"], "value cumulative"),
+        ("coverage", SQL["coverage_summary"],
+         "states districts pincodes records sum_part_a sum_part_b sum_part_c sum_total"),
+    ),
+})
+
+
 def all_sql() -> dict[str, str]:
     return dict(SQL)

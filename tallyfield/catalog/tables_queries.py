@@ -19,7 +19,7 @@ add = Q.add
 
 # --- sources and sinks -------------------------------------------------------
 
-def _shards(spark, sf):
+def raw_shards(spark, sf):
     """The raw rows as three CSV shards under scratch."""
     base = scratch_path(spark, "raw")
     raw = tables.dirty_orders(spark, sf)
@@ -33,7 +33,7 @@ def _shards(spark, sf):
 
 @add("read_raw_csv")
 def _(spark, sf):
-    return files.read_raw_csv(spark, _shards(spark, sf))
+    return files.read_raw_csv(spark, raw_shards(spark, sf))
 
 
 @add("read_clean")
@@ -55,7 +55,7 @@ def _(spark, sf):
 
 @add("raw_fallback_scan")
 def _(spark, sf):
-    return files.raw_fallback_scan(spark, _shards(spark, sf))
+    return files.raw_fallback_scan(spark, raw_shards(spark, sf))
 
 
 @add("memoized_scan")

@@ -20,13 +20,15 @@ def total_by(
 
 
 def day_cube(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
-    """The facts rolled up to (date, state, district), with a record count.
+    """The facts rolled up to (date, state, district), with record count and sum of squares.
 
     It keeps the fact columns' names, so every operator made of sums takes the
     cube in place of the facts. Its size is days times districts.
     """
+    t = F.col(spec.total)
     return df.groupBy(spec.date, spec.state, spec.district).agg(
-        *[F.sum(c).alias(c) for c in spec.measures], F.count("*").alias("records")
+        *[F.sum(c).alias(c) for c in spec.measures],
+        F.count("*").alias("records"), F.sum(t * t).alias("squares"),
     )
 
 
@@ -162,14 +164,34 @@ def state_part_totals(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10) -> D
     return add_shares(sums.orderBy(F.desc(spec.total), spec.state).limit(n), spec)
 
 
-def geo_profile(df: DataFrame, spec: FactSpec = DEFAULT, level: str = "state") -> DataFrame:
+def _place_groups(
+    df: DataFrame,
+    keys: Sequence[str],
+    sums: Sequence[Column],
+    spec: FactSpec,
+    pincodes: DataFrame | None,
+    pincode_name: str = "unique_pincodes",
+) -> DataFrame:
+    """Sums, active days and distinct pincodes per place.
+
+    From facts alone both counts come from one aggregate. With ``df`` a day
+    cube, ``pincodes`` supplies the places of each pincode.
+    """
+    days = F.count_distinct(spec.date).alias("active_days")
+    pins = F.count_distinct(spec.pincode).alias(pincode_name)
+    if pincodes is None:
+        return df.groupBy(*keys).agg(*sums, days, pins)
+    grouped = df.groupBy(*keys).agg(*sums, days)
+    return grouped.join(pincodes.groupBy(*keys).agg(pins), list(keys), "left").fillna(0, [pincode_name])
+
+
+def geo_profile(
+    df: DataFrame, spec: FactSpec = DEFAULT, level: str = "state", pincodes: DataFrame | None = None
+) -> DataFrame:
     """Total, active days and distinct pincodes per place (by name alone)."""
     key = {"state": spec.state, "district": spec.district}[level]
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.sum(spec.total).alias(spec.total),
-        F.count_distinct(spec.date).alias("active_days"),
-        F.count_distinct(spec.pincode).alias("unique_pincodes"),
-    )
+    sums = [F.sum(spec.total).alias(spec.total)]
+    return _place_groups(df.where(F.col(key).isNotNull()), [key], sums, spec, pincodes)
 
 
 def pincode_profile(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
@@ -182,40 +204,38 @@ def pincode_profile(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
 
 
 def region_features(
-    df: DataFrame, spec: FactSpec = DEFAULT, level: str = "district"
+    df: DataFrame,
+    spec: FactSpec = DEFAULT,
+    level: str = "district",
+    pincodes: DataFrame | None = None,
 ) -> DataFrame:
     """Volume, activity, shares and averages per district or state."""
     total = F.col(spec.total)
-    grouped = (
-        drop_numeric_names(df, spec)
-        .groupBy(*spec.geo_keys(level))
-        .agg(
-            *[F.sum(c).alias(c) for c in (spec.total, *spec.parts)],
-            F.count_distinct(spec.date).alias("active_days"),
-            F.count_distinct(spec.pincode).alias("unique_pincodes"),
-        )
-    )
+    sums = [F.sum(c).alias(c) for c in (spec.total, *spec.parts)]
+    pins = None if pincodes is None else drop_numeric_names(pincodes, spec)
+    grouped = _place_groups(drop_numeric_names(df, spec), spec.geo_keys(level), sums, spec, pins)
     return add_shares(grouped, spec).withColumns({
         "daily_avg": numeric.ratio(total, F.col("active_days")),
         "per_pincode_avg": numeric.ratio(total, F.col("unique_pincodes")),
     })
 
 
-def district_volatility(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
+def district_volatility(
+    df: DataFrame, spec: FactSpec = DEFAULT, pincodes: DataFrame | None = None
+) -> DataFrame:
     """Total, per-record mean and deviation, active days and pincodes per district.
 
-    Mean and deviation come from integer sums, so they are exact and the same
-    on every evaluation.
+    Mean and deviation come from integer sums, so they are exact, the same on
+    every evaluation, and roll up from a day cube.
     """
     t = F.col(spec.total)
-    sums = (
-        drop_numeric_names(df, spec)
-        .groupBy(*spec.geo_keys("district"))
-        .agg(
-            F.sum(t).alias("total"), F.sum(t * t).alias("squares"), F.count(t).alias("records"),
-            F.count_distinct(spec.date).alias("active_days"),
-            F.count_distinct(spec.pincode).alias("pincodes"),
-        )
+    from_cube = {"records", "squares"} <= set(df.columns)
+    squares = F.sum("squares") if from_cube else F.sum(t * t)
+    count = F.sum("records") if from_cube else F.count(t)
+    named = [F.sum(t).alias("total"), squares.alias("squares"), count.alias("records")]
+    pins = None if pincodes is None else drop_numeric_names(pincodes, spec)
+    sums = _place_groups(
+        drop_numeric_names(df, spec), spec.geo_keys("district"), named, spec, pins, "pincodes"
     )
     records, total, squares = F.col("records"), F.col("total"), F.col("squares")
     return sums.select(

@@ -123,11 +123,15 @@ def residual_anomalies(daily: DataFrame, period: int = 7, by: Sequence[str] = ()
 
 
 def geo_scores(
-    df: DataFrame, spec: FactSpec = DEFAULT, level: str = "state", threshold: float = 2.0
+    df: DataFrame,
+    spec: FactSpec = DEFAULT,
+    level: str = "state",
+    threshold: float = 2.0,
+    pincodes: DataFrame | None = None,
 ) -> DataFrame:
     """Per place: volume per day and per pincode, both z-scores, performer flags."""
     per_day, per_pin = f"{spec.measure}_per_day", f"{spec.measure}_per_pincode"
-    places = geo_profile(df, spec, level).withColumns({
+    places = geo_profile(df, spec, level, pincodes).withColumns({
         per_day: numeric.ratio(F.col(spec.total), F.col("active_days")),
         per_pin: numeric.ratio(F.col(spec.total), F.col("unique_pincodes")),
     })

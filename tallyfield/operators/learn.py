@@ -164,7 +164,7 @@ def train_demand(
     data = _vectors(pinned(features, "demand"), DEMAND_FEATURES)
     forest = RandomForestRegressor(
         labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=2,
-        featureSubsetStrategy="all", seed=seed,
+        featureSubsetStrategy="all", maxMemoryInMB=1024, seed=seed,
     )
     model = forest.fit(data.where("is_train"))
     scored = model.transform(data.where("not is_train"))
@@ -208,7 +208,8 @@ def train_surge(
     features = random_split(surge_features(df, spec, threshold_percentile), seed=seed)
     data = _vectors(pinned(features, "surge"), SURGE_FEATURES)
     forest = RandomForestClassifier(
-        labelCol="is_surge", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed
+        labelCol="is_surge", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt",
+        maxMemoryInMB=1024, seed=seed,
     )
     model = forest.fit(data.where("is_train"))
     scored = model.transform(data.where("not is_train"))
@@ -231,9 +232,11 @@ def tercile(df: DataFrame, value: str, ties: Sequence[str], out: str) -> DataFra
     return df.withColumn(out, label)
 
 
-def district_risk(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
+def district_risk(
+    df: DataFrame, spec: FactSpec = DEFAULT, pincodes: DataFrame | None = None
+) -> DataFrame:
     """Districts by service risk: volatility, coverage, volume, highest risk first."""
-    data = district_volatility(df, spec).withColumn(
+    data = district_volatility(df, spec, pincodes).withColumn(
         "cv", numeric.ratio(F.col("daily_std"), F.col("daily_mean"))
     )
     data = cap_at_quantile(data, "cv", 0.95)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import stddev_from_sums
 from ..spec import DEFAULT, FactSpec
+from .joins import attach
 from .quantile import cumulate, histogram, quantile_columns
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -79,17 +80,25 @@ def describe_numeric(
     )
 
 
-def coverage_summary(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
-    """Date range, distinct places, record count and totals in one row."""
-    return df.agg(
+def coverage_summary(
+    df: DataFrame, spec: FactSpec = DEFAULT, pincodes: DataFrame | None = None
+) -> DataFrame:
+    """Date range, distinct places, record count and totals in one row.
+
+    With ``df`` a day cube, ``pincodes`` supplies the pincodes.
+    """
+    summary = df.agg(
         F.min(spec.date).alias("first_date"),
         F.max(spec.date).alias("last_date"),
         F.count_distinct(spec.state).alias("states"),
         F.count_distinct(spec.district).alias("districts"),
-        F.count_distinct(spec.pincode).alias("pincodes"),
-        F.count("*").alias("records"),
+        (F.count("*") if pincodes is None else F.sum("records")).alias("records"),
+        *([F.count_distinct(spec.pincode).alias("pincodes")] if pincodes is None else []),
         *[F.sum(c).alias(f"sum_{c}") for c in spec.measures],
     )
+    if pincodes is None:
+        return summary
+    return attach(summary, pincodes.agg(F.count_distinct(spec.pincode).alias("pincodes")))
 
 
 def equal_width_histogram(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -49,11 +51,25 @@ def scaled_vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(scaled).drop(*names)
 
 
-def fit_kmeans(vectors: DataFrame, k: int, seed: int = 42, restarts: int = 10) -> KMeansModel:
-    """The cheapest of several seeded fits."""
-    kmeans = KMeans(k=k, featuresCol="features", predictionCol="cluster")
-    fits = (kmeans.copy({kmeans.seed: seed + i}).fit(vectors) for i in range(restarts))
-    return min(fits, key=lambda m: m.summary.trainingCost)
+def fit_kmeans(
+    vectors: DataFrame, ks: Sequence[int], seed: int = 42, restarts: int = 10, parallelism: int = 8
+) -> list[KMeansModel]:
+    """For each ``k`` the cheapest of several seeded fits.
+
+    Fits do not depend on each other, so their jobs are submitted side by side
+    and share the executors.
+    """
+    kmeans = KMeans(featuresCol="features", predictionCol="cluster")
+    grid = [(k, seed + i) for k in ks for i in range(restarts)]
+    with ThreadPool(min(parallelism, len(grid))) as pool:
+        fit = inheritable_thread_target(vectors.sparkSession)(
+            lambda p: kmeans.copy({kmeans.k: p[0], kmeans.seed: p[1]}).fit(vectors)
+        )
+        models = pool.map(fit, grid)
+    return [
+        min((m for (kk, _), m in zip(grid, models) if kk == k), key=lambda m: m.summary.trainingCost)
+        for k in ks
+    ]
 
 
 def choose_k(
@@ -69,10 +85,9 @@ def choose_k(
     try:
         rows = held.count()
         judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-        scores = []
-        for k in range(2, min(max_k + 1, rows)):
-            model = fit_kmeans(held, k, seed, restarts)
-            scores.append((k, float(judge.evaluate(model.transform(held)))))
+        ks = list(range(2, min(max_k + 1, rows)))
+        models = fit_kmeans(held, ks, seed, restarts)
+        scores = [(k, float(judge.evaluate(m.transform(held)))) for k, m in zip(ks, models)]
     finally:
         held.unpersist()
     best = max(scores, key=lambda s: (s[1], -s[0]))[0]
@@ -86,13 +101,15 @@ def cluster_regions(
     n_clusters: int | None = None,
     seed: int = 42,
     restarts: int = 10,
+    pincodes: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, KMeansModel]:
     """Cluster places by shares and averages: (places, cluster profiles, model)."""
-    vectors = scaled_vectors(region_features(df, spec, level), region_feature_names(spec)).persist()
+    features = region_features(df, spec, level, pincodes)
+    vectors = scaled_vectors(features, region_feature_names(spec)).persist()
     try:
         if n_clusters is None:
             n_clusters, _ = choose_k(vectors, seed=seed, restarts=restarts)
-        model = fit_kmeans(vectors, n_clusters, seed, restarts)
+        model = fit_kmeans(vectors, [n_clusters], seed, restarts)[0]
     finally:
         vectors.unpersist()
     placed = model.transform(vectors).drop("features")
@@ -127,9 +144,11 @@ def name_clusters(profiles: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
     ).drop("_hi", "_lo")
 
 
-def service_scores(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
+def service_scores(
+    df: DataFrame, spec: FactSpec = DEFAULT, pincodes: DataFrame | None = None
+) -> DataFrame:
     """Every district with its service score and whether it is underserved."""
-    data = region_features(df, spec, "district")
+    data = region_features(df, spec, "district", pincodes)
     data = data.withColumns({
         "daily_avg_normalized": minmax_column("daily_avg"),
         "coverage_score": max_column("unique_pincodes"),
@@ -140,23 +159,31 @@ def service_scores(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
     return data.withColumn("is_underserved", F.coalesce(low, F.lit(False)))
 
 
-def underserved(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
+def underserved(
+    df: DataFrame, spec: FactSpec = DEFAULT, pincodes: DataFrame | None = None
+) -> DataFrame:
     """Districts in the lowest quarter of service scores, worst first."""
-    return service_scores(df, spec).where("is_underserved").orderBy(
+    return service_scores(df, spec, pincodes).where("is_underserved").orderBy(
         "service_score", *spec.geo_keys("district")
     )
 
 
 def cluster_pincodes(
-    df: DataFrame, spec: FactSpec = DEFAULT, n_clusters: int = 5, seed: int = 42, restarts: int = 10
+    df: DataFrame,
+    spec: FactSpec = DEFAULT,
+    n_clusters: int = 5,
+    seed: int = 42,
+    restarts: int = 10,
+    profile: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Cluster pincodes into service zones: (pincodes, summary per cluster)."""
-    data = add_shares(pincode_profile(df, spec), spec).drop(spec.share_names[2]).withColumn(
+    profile = pincode_profile(df, spec) if profile is None else profile
+    data = add_shares(profile, spec).drop(spec.share_names[2]).withColumn(
         "daily_avg", numeric.ratio(F.col(spec.total), F.col("active_days"))
     )
     vectors = scaled_vectors(data, ["daily_avg", *spec.share_names[:2]]).persist()
     try:
-        model = fit_kmeans(vectors, n_clusters, seed, restarts)
+        model = fit_kmeans(vectors, [n_clusters], seed, restarts)[0]
     finally:
         vectors.unpersist()
     zoned = model.transform(vectors).drop("features")
