@@ -225,9 +225,9 @@ def tercile(df: DataFrame, value: str, ties: Sequence[str], out: str) -> DataFra
     """
     position = F.row_number().over(W.orderBy(value, *ties))
     n = F.count("*").over(whole())
-    bin_ = F.least(F.lit(2), F.floor(F.try_divide(3 * (position - 1), n - 1)))
+    third = F.coalesce(F.floor(F.try_divide(3 * (position - 1), n - 1)), F.lit(0))
     label = F.element_at(
-        F.array(*[F.lit(x) for x in RISK_LABELS]), (F.coalesce(bin_, F.lit(0)) + 1).cast("int")
+        F.array(*[F.lit(x) for x in RISK_LABELS]), F.least(third + 1, F.lit(len(RISK_LABELS))).cast("int")
     )
     return df.withColumn(out, label)
 
