@@ -39,9 +39,14 @@ def parse_number(c: Column) -> Column:
 
 
 def coerce_count(c: Column) -> Column:
-    """A whole, non-negative count: bad and negative values become 0."""
+    """A whole, non-negative count: bad and negative values become 0.
+
+    Short runs of digits, which is nearly all there is, skip the pattern.
+    """
+    plain = (F.translate(c, "0123456789", "") == "") & F.length(c).between(1, 18)
     number = parse_number(c)
-    return F.coalesce(F.when(number >= 0, number).try_cast("bigint"), F.lit(0).cast("bigint"))
+    other = F.when(number >= 0, number).try_cast("bigint")
+    return F.coalesce(F.when(plain, c.try_cast("bigint")).otherwise(other), F.lit(0).cast("bigint"))
 
 
 def stddev_from_sums(n: Column, total: Column, squares: Column) -> Column:

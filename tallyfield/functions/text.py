@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 NULL_TOKENS = ("Nan", "None", "nan", "NONE", "")
 
 # Fixed value: symbols removed from names.
-SYMBOLS = "[*?#@!]"
+SYMBOLS = "*?#@!"
 
 # Indian digit groups as (lower bound, divisor, short suffix, spaced suffix).
 DIGIT_GROUPS = (
@@ -21,21 +21,33 @@ DIGIT_GROUPS = (
 )
 
 _BREAK = "\u0001 "
+_SPACES = " \t\n\r\u000b\u000c"
+_PLAIN = "abcdefghijklmnopqrstuvwxyz "
+_DIGITS = "0123456789"
 
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_SPACES))
+
+
+def only(c: Column, characters: str) -> Column:
+    """True when a text holds nothing but the given characters."""
+    return F.translate(c, characters, "") == ""
 
 
 def title_case(c: Column) -> Column:
     """Capitalise every run of letters (``north-east`` -> ``North-East``).
 
-    ``initcap`` starts a word only after white space, so a marker is put in
-    front of every letter that follows a non-letter and taken out afterwards.
+    ``initcap`` starts a word only after a space, which settles plain names.
+    In others a marker is put in front of every letter that follows a
+    non-letter and taken out afterwards.
     """
-    marked = F.regexp_replace(F.lower(c), r"([^\p{L}])(?=\p{L})", "$1" + _BREAK)
-    return F.replace(F.initcap(marked), F.lit(_BREAK), F.lit(""))
+    small = F.lower(c)
+    marked = F.regexp_replace(small, r"([^\p{L}])(?=\p{L})", "$1" + _BREAK)
+    return F.when(only(small, _PLAIN), F.initcap(small)).otherwise(
+        F.replace(F.initcap(marked), F.lit(_BREAK), F.lit(""))
+    )
 
 
 def null_tokens(c: Column, tokens: Sequence[str] = NULL_TOKENS) -> Column:
@@ -43,21 +55,35 @@ def null_tokens(c: Column, tokens: Sequence[str] = NULL_TOKENS) -> Column:
     return F.when(~c.isin(*tokens), c)
 
 
+def is_missing_name(c: Column, strict: bool = False) -> Column:
+    """True when ``normalize_text`` gives null.
+
+    Title-casing turns a text into a token exactly when its lower case is one,
+    so rows can be tested before any name is rewritten.
+    """
+    tokens = sorted({t.lower() for t in NULL_TOKENS})
+    bare = strip(F.lower(c))
+    missing = c.isNull() | bare.isin(*tokens)
+    if strict:
+        missing = missing | strip(F.translate(bare, SYMBOLS, "")).isin(*tokens)
+    return missing
+
+
 def normalize_text(c: Column, strict: bool = False) -> Column:
     """Trim, title-case, null the missing tokens, then drop symbols and trim.
 
     Tokens are tested before symbols go, so ``'*'`` ends as an empty string;
     ``strict=True`` tests them once more at the end.
     """
-    named = null_tokens(title_case(strip(c)))
-    cleaned = strip(F.regexp_replace(named, SYMBOLS, ""))
-    return null_tokens(cleaned) if strict else cleaned
+    return F.when(
+        ~is_missing_name(c, strict), strip(F.translate(title_case(strip(c)), SYMBOLS, ""))
+    )
 
 
 def valid_pincode(c: Column) -> Column:
     """Keep exactly six digits, otherwise null."""
     trimmed = strip(c)
-    return F.when(trimmed.rlike("^[0-9]{6}$"), trimmed)
+    return F.when((F.length(trimmed) == 6) & only(trimmed, _DIGITS), trimmed)
 
 
 def is_numeric_name(c: Column) -> Column:

@@ -98,19 +98,23 @@ def drop_numeric_names(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
 def clean(raw: DataFrame, spec: FactSpec = DEFAULT, strict: bool = False) -> DataFrame:
     """The whole cleaning pipeline.
 
-    Everything but the duplicate removal is one row-local projection, and the
-    rows without critical values are dropped before the shuffle rather than
-    after it: duplicates agree on those columns, so the result is the same.
+    Everything but the duplicate removal is one row-local projection. Rows
+    without critical values go first, on the raw text: duplicates agree on
+    those columns, so the result is the same, and no name is rewritten twice
+    (a filter on rewritten names would be pushed below the rewriting).
     Calendar columns follow from the date, so they are added after the shuffle
     instead of travelling through it.
     """
+    named = ~text.is_missing_name(F.col(spec.state), strict)
+    named = named & ~text.is_missing_name(F.col(spec.district), strict)
     rows = (
         raw.select(*spec.raw_columns)
+        .where(named)
         .transform(parse_date, spec)
+        .dropna(subset=[spec.date])
         .transform(normalize_names, spec, strict)
         .transform(validate_pincode, spec)
         .transform(coerce_counts, spec)
-        .transform(drop_missing_critical, spec)
     )
     return (
         drop_exact_duplicates(rows)

@@ -151,9 +151,12 @@ def boxplot_stats(
 
     Whiskers end at the last value within ``reach`` times the quartile range.
     """
+    return _boxes(histogram(df, columns or spec.parts, by), [*by, "measure"], reach)
+
+
+def _boxes(hist: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
     v, rows = F.col("value"), F.col("rows")
-    keys = [*by, "measure"]
-    ranked = _ranked(df, columns or spec.parts, by)
+    ranked = cumulate(hist, keys)
     boxes = ranked.groupBy(*keys).agg(
         F.max("n").alias("count"), *quantile_columns({"q1": 0.25, "median": 0.5, "q3": 0.75})
     )
@@ -176,14 +179,17 @@ def boxplot_stats(
     )
 
 
-def boxplot_by_state(
-    df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10, column: str | None = None
-) -> DataFrame:
-    """Box plots of the total per record in the ``n`` largest states, by median."""
-    from .select import semi_top_states
+def boxplot_by_state(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10) -> DataFrame:
+    """Box plots of the total per record in the ``n`` largest states, by median.
 
-    rows = semi_top_states(df, spec, n)
-    boxes = boxplot_stats(rows, spec, [column or spec.total], by=[spec.state])
+    The value histogram also holds the state totals, so the largest states are
+    found without another pass over the records.
+    """
+    hist = histogram(df.dropna(subset=[spec.state]), [spec.total], [spec.state])
+    totals = hist.groupBy(spec.state).agg(F.sum(F.col("value") * F.col("rows")).alias("t"))
+    top = totals.orderBy(F.desc("t"), spec.state).limit(n).select(spec.state)
+    chosen = hist.join(F.broadcast(top), spec.state, "left_semi")
+    boxes = _boxes(chosen, [spec.state, "measure"], 1.5)
     return boxes.drop("measure").orderBy(F.desc("median"), spec.state)
 
 

@@ -26,14 +26,21 @@ def bucket(value: Column) -> Column:
 def histogram(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows per distinct value of each column: (``by``, measure, value, rows).
 
-    Partial aggregation collapses equal values before the shuffle, and the
-    shuffle key holds the value, so one large group is still spread out.
+    Equal rows collapse before columns are laid out one under the other, and
+    partial aggregation does so ahead of the shuffle. The shuffle key holds the
+    values, so one large group is still spread out.
     """
-    long = df.select(*by, *columns).unpivot(list(by), list(columns), "measure", "value")
+    distinct = df.groupBy(*by, *columns).agg(F.count("*").alias("rows"))
+    if len(columns) == 1:
+        long = distinct.select(
+            *by, F.lit(columns[0]).alias("measure"), F.col(columns[0]).alias("value"), "rows"
+        )
+        return long.where(F.col("value").isNotNull())
     return (
-        long.where(F.col("value").isNotNull())
+        distinct.unpivot([*by, "rows"], list(columns), "measure", "value")
+        .where(F.col("value").isNotNull())
         .groupBy(*by, "measure", "value")
-        .agg(F.count("*").alias("rows"))
+        .agg(F.sum("rows").alias("rows"))
     )
 
 
