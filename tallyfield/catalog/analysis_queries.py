@@ -606,7 +606,8 @@ def _(spark, sf):
 
 @add("kpi_geographic")
 def _(spark, sf):
-    return k.geographic(tables.segment_lines(spark, sf, ("state", "district")), A)
+    places = g.total_by(tables.segment_lines(spark, sf, ("state",)), ["state", "district"], "total")
+    return k.geographic(pinned(places, "places"), A)
 
 
 @add("capacity_utilization")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar, numeric
 from ..spec import DEFAULT, FactSpec
 from .clean import add_shares, drop_numeric_names
+from .rows import present
 
 
 def total_by(
@@ -197,7 +198,7 @@ def geo_profile(
 def pincode_profile(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
     """Sums and active days per (pincode, state, district)."""
     keys = spec.geo_keys("pincode")
-    return df.dropna(subset=keys).groupBy(*keys).agg(
+    return present(df, *keys).groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in spec.measures],
         F.count_distinct(spec.date).alias("active_days"),
     )
@@ -346,7 +347,7 @@ def hierarchy_rollup(
     if state is not None:
         path.append(spec.pincode)
         rows = df.where(F.col(spec.state) == state)
-    totals = total_by(rows.dropna(subset=path), path, spec.total)
+    totals = total_by(present(rows, *path), path, spec.total)
     if state is None:
         totals = totals.orderBy(F.desc(spec.total), *path).limit(leaves)
     depth = F.lit(len(path)) - sum((F.grouping(c) for c in path[1:]), F.grouping(path[0]))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric
+from ..sources.scratch import pinned
 from ..spec import DEFAULT, FactSpec
 from . import joins
 from .aggregate import geo_profile, pincode_profile
@@ -151,9 +152,13 @@ def detect_geographic(
 
 
 def pincode_scores(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
-    """Every pincode with its daily average and percentile of the total."""
+    """Every pincode with its daily average and percentile of the total.
+
+    The ranking needs the pincode totals twice, so the profile is pinned and
+    the facts are read once.
+    """
     keys = spec.geo_keys("pincode")
-    profile = pincode_profile(df, spec).select(*keys, spec.total, "active_days")
+    profile = pinned(pincode_profile(df, spec).select(*keys, spec.total, "active_days"), "pincodes")
     profile = profile.withColumn(
         "daily_avg", numeric.ratio(F.col(spec.total), F.col("active_days"))
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import calendar, numeric, text
 from ..spec import DEFAULT, FactSpec
+from .rows import present
 
 
 def parse_date(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
@@ -84,7 +85,7 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
 
 def drop_missing_critical(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
     """Drop rows without a date, state or district."""
-    return df.dropna(subset=[spec.date, spec.state, spec.district])
+    return present(df, spec.date, spec.state, spec.district)
 
 
 def drop_numeric_names(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
@@ -111,7 +112,7 @@ def clean(raw: DataFrame, spec: FactSpec = DEFAULT, strict: bool = False) -> Dat
         raw.select(*spec.raw_columns)
         .where(named)
         .transform(parse_date, spec)
-        .dropna(subset=[spec.date])
+        .transform(present, spec.date)
         .transform(normalize_names, spec, strict)
         .transform(validate_pincode, spec)
         .transform(coerce_counts, spec)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric
 from ..spec import DEFAULT, FactSpec
 from .aggregate import daily_total
+from .rows import present
 from .select import top_k
 from .series import centered, ordered, whole
 
@@ -178,10 +179,12 @@ def by_state(
     State totals roll up from the state-by-day rows, so the facts are read
     once; the series are forecast side by side.
     """
-    series = daily_total(df.dropna(subset=[spec.state]), spec, by=[spec.state])
+    series = daily_total(present(df, spec.state), spec, by=[spec.state])
     totals = series.groupBy(spec.state).agg(F.sum("value").alias("total"), F.count("*").alias("days"))
     top = top_k(totals, "total", [spec.state], top_n).where(F.col("days") > min_points)
-    chosen = series.join(F.broadcast(top.select(spec.state)), spec.state, "left_semi")
+    # Inner on unique states: a semi join would move below the daily totals and
+    # have them computed a second time.
+    chosen = series.join(F.broadcast(top.select(spec.state)), spec.state)
     return seasonal(chosen, periods, by=[spec.state], phase=phase)
 
 

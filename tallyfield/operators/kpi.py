@@ -17,6 +17,7 @@ from .aggregate import (
 )
 from .clean import add_shares
 from .joins import attach
+from .rows import present
 from .select import top_states
 from .series import strict_mean, whole
 
@@ -96,10 +97,14 @@ def temporal(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
 
 
 def geographic(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
-    """Top places, concentration shares, Gini and averages."""
+    """Top places, concentration shares, Gini and averages.
+
+    States and districts are grouped apart; from a day cube or a table of place
+    totals that costs nothing, from facts it reads them twice.
+    """
     places = total_by(df, [spec.state, spec.district], spec.total)
-    states = state_total(places.dropna(subset=[spec.state]), spec)
-    districts = district_total(places.dropna(subset=[spec.district]), spec, qualified=False)
+    states = state_total(present(places, spec.state), spec)
+    districts = district_total(present(places, spec.district), spec, qualified=False)
     ranked = with_ranks(states, spec.total).agg(
         first_max(spec.state, spec.total).alias("top_state"),
         share_of_top(spec.total, 1).alias("top_state_share"),
@@ -133,7 +138,7 @@ def capacity_utilization(
     """Mean and peak daily load per district (by name) against an assumed capacity."""
     keys = spec.geo_keys("district") if qualified else [spec.district]
     capacity = float(assumed_centers_per_district * capacity_per_center)
-    days = total_by(df.dropna(subset=keys), [*keys, spec.date], spec.total)
+    days = total_by(present(df, *keys), [*keys, spec.date], spec.total)
     used = numeric.percent(F.col(spec.total), F.lit(capacity))
     return (
         days.groupBy(*keys)
@@ -281,7 +286,7 @@ def radar_metrics(
     df: DataFrame, spec: FactSpec = DEFAULT, states: Sequence[str] | None = None, n: int = 5
 ) -> DataFrame:
     """Six measures per state, each scaled so that the largest shown is 100."""
-    rows = df.where(F.col(spec.state).isin(*states)) if states else df.dropna(subset=[spec.state])
+    rows = df.where(F.col(spec.state).isin(*states)) if states else present(df, spec.state)
     grouped = rows.groupBy(spec.state).agg(
         *[F.sum(c).alias(c) for c in spec.measures],
         F.count_distinct(spec.district).alias("districts"),
@@ -312,7 +317,7 @@ def treemap_shares(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 15) -> Data
 
 def top_states_pct(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 15) -> DataFrame:
     """Top states with their share of the grand total."""
-    totals = state_total(df.dropna(subset=[spec.state]), spec)
+    totals = state_total(present(df, spec.state), spec)
     grand = totals.agg(F.sum(spec.total)).scalar()
     return totals.orderBy(F.desc(spec.total), spec.state).limit(n).withColumn(
         "pct", numeric.percent(F.col(spec.total), grand)

@@ -17,6 +17,7 @@ from ..sources.scratch import pinned
 from ..spec import DEFAULT, FactSpec
 from .aggregate import daily_with_calendar, district_volatility
 from .clean import label_encode
+from .rows import present
 from .series import cap_at_quantile, lag_features, max_column, minmax_column, ordered, strict_mean, whole
 
 DEMAND_FEATURES = (
@@ -98,7 +99,7 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """Mean absolute error and R2 in one pass."""
     y, error = F.col(label), F.col(label) - F.col(prediction)
     sst = F.var_pop(y) * F.count(y)
-    return df.dropna(subset=[label, prediction]).agg(
+    return present(df, label, prediction).agg(
         F.avg(F.abs(error)).alias("mae"),
         (1.0 - F.try_divide(F.sum(error * error).cast("double"), sst)).alias("r2"),
         F.count("*").alias("rows"),

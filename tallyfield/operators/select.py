@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..spec import DEFAULT, FactSpec
 from .aggregate import district_total, pincode_total, state_total
+from .rows import present
 
 
 def filter_date_range(
@@ -50,17 +51,17 @@ def top_k(
 
 
 def top_states(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10) -> DataFrame:
-    return top_k(state_total(df.dropna(subset=[spec.state]), spec), spec.total, [spec.state], n)
+    return top_k(state_total(present(df, spec.state), spec), spec.total, [spec.state], n)
 
 
 def top_districts(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10) -> DataFrame:
     keys = spec.geo_keys("district")
-    return top_k(district_total(df.dropna(subset=keys), spec), spec.total, keys, n)
+    return top_k(district_total(present(df, *keys), spec), spec.total, keys, n)
 
 
 def bottom_districts(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10) -> DataFrame:
     keys = spec.geo_keys("district")
-    totals = district_total(df.dropna(subset=keys), spec)
+    totals = district_total(present(df, *keys), spec)
     return top_k(totals, spec.total, keys, n, smallest=True)
 
 
@@ -76,7 +77,7 @@ def semi_top_states(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10) -> Dat
 
 def top_with_others(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10) -> DataFrame:
     """The ``n`` largest states and one row for the rest, with percentages."""
-    totals = state_total(df.dropna(subset=[spec.state]), spec)
+    totals = state_total(present(df, spec.state), spec)
     top = top_k(totals, spec.total, [spec.state], n).select(
         spec.state, F.lit(True).alias("kept")
     )

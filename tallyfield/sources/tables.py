@@ -32,16 +32,20 @@ def _measures() -> dict[str, Column]:
     return {**parts, "total": quantity}
 
 
-def _places(spark: SparkSession, sf_dir: str, dims: Sequence[str]) -> DataFrame | None:
-    """Customer key to the requested place columns."""
-    if not {"state", "district"} & set(dims):
-        return None
+def _with_places(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Add state and district by the order's customer.
+
+    The tables are joined one after the other, so that Spark sees the size of
+    each and broadcasts it or not by itself.
+    """
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        "c_custkey",
-        F.col("n_name").alias("state"),
-        F.concat("n_name", F.lit("/"), "c_mktsegment").alias("district"),
+    return (
+        rows.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .withColumns({
+            "state": F.col("n_name"), "district": F.concat("n_name", F.lit("/"), "c_mktsegment")
+        })
     )
 
 
@@ -65,8 +69,7 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("date", "o_custkey")
         .agg(*[F.sum(c).alias(c) for c in ACTIVITY.measures])
     )
-    places = _places(spark, sf_dir, ("state", "district"))
-    return records.join(places, F.col("o_custkey") == F.col("c_custkey")).select(
+    return _with_places(spark, sf_dir, records).select(
         "date", "state", "district", _pincode(), *ACTIVITY.measures
     )
 
@@ -84,12 +87,12 @@ def activity_lines(
     out = table(spark, sf_dir, "lineitem").withColumns(
         {"date": F.to_date("l_shipdate"), **_measures()}
     )
-    places = _places(spark, sf_dir, dims)
-    if places is not None or "pincode" in dims:
+    placed = bool({"state", "district"} & set(dims))
+    if placed or "pincode" in dims:
         orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
         out = out.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    if places is not None:
-        out = out.join(places, F.col("o_custkey") == F.col("c_custkey"))
+    if placed:
+        out = _with_places(spark, sf_dir, out)
     chosen = [_pincode() if d == "pincode" else F.col(d) for d in dims]
     return out.select(*chosen, *ACTIVITY.measures)
 
