@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import stddev_from_sums
+from ..sources.scratch import pinned
 from ..spec import DEFAULT, FactSpec
 from .joins import attach
 from .quantile import cumulate, histogram, quantile_columns
-from .rows import present
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -184,13 +184,11 @@ def boxplot_by_state(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10) -> Da
     """Box plots of the total per record in the ``n`` largest states, by median.
 
     The value histogram also holds the state totals, so the largest states are
-    found without another pass over the records.
+    found without another pass over the records. It is pinned for its uses.
     """
-    hist = histogram(present(df, spec.state), [spec.total], [spec.state])
+    hist = pinned(histogram(df, [spec.total], [spec.state]), "histogram")
     totals = hist.groupBy(spec.state).agg(F.sum(F.col("value") * F.col("rows")).alias("t"))
     top = totals.orderBy(F.desc("t"), spec.state).limit(n).select(spec.state)
-    # An inner join on the few unique states: a semi join would move below the
-    # histogram and have it computed a second time.
     chosen = hist.join(F.broadcast(top), spec.state)
     boxes = _boxes(chosen, [spec.state, "measure"], 1.5)
     return boxes.drop("measure").orderBy(F.desc("median"), spec.state)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .rows import present
+
 _STEPS = 256
 
 
@@ -23,35 +25,41 @@ def bucket(value: Column) -> Column:
     return (F.signum(v) * F.floor(F.log2(F.abs(v) + 1.0) * _STEPS)).cast("int")
 
 
+def bucketed(counts: DataFrame, by: Sequence[str] = (), value: str = "value") -> DataFrame:
+    """Add the bucket of each value; null values and groups drop out.
+
+    The filters, here and on the rows, name what later joins would infer, so
+    all uses of the counts keep one plan and share its shuffle.
+    """
+    return present(counts.withColumn("bucket", bucket(F.col(value))), *by, "bucket")
+
+
 def histogram(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Rows per distinct value of each column: (``by``, measure, value, rows).
+    """Rows per distinct value of each column: (``by``, measure, value, rows, bucket).
 
     Equal rows collapse before columns are laid out one under the other, and
     partial aggregation does so ahead of the shuffle. The shuffle key holds the
     values, so one large group is still spread out.
     """
-    distinct = df.groupBy(*by, *columns).agg(F.count("*").alias("rows"))
+    rows = present(df, *by) if by else df
+    distinct = rows.groupBy(*by, *columns).agg(F.count("*").alias("rows"))
     if len(columns) == 1:
-        long = distinct.select(
+        counts = distinct.select(
             *by, F.lit(columns[0]).alias("measure"), F.col(columns[0]).alias("value"), "rows"
         )
-        return long.where(F.col("value").isNotNull())
-    return (
-        distinct.unpivot([*by, "rows"], list(columns), "measure", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy(*by, "measure", "value")
-        .agg(F.sum("rows").alias("rows"))
-    )
+    else:
+        long = distinct.unpivot([*by, "rows"], list(columns), "measure", "value")
+        counts = long.groupBy(*by, "measure", "value").agg(F.sum("rows").alias("rows"))
+    return bucketed(counts, by)
 
 
 def cumulate(hist: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """Add ``upto`` (rows at or below the value) and ``n`` (rows of the group)."""
-    keyed = hist.withColumn("bucket", bucket(F.col(value)))
     group = W.partitionBy(*by)
     running = group.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     whole = group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     coarse = (
-        keyed.groupBy(*by, "bucket")
+        hist.groupBy(*by, "bucket")
         .agg(F.sum("rows").alias("in_bucket"))
         .select(
             *by, "bucket",
@@ -61,7 +69,7 @@ def cumulate(hist: DataFrame, by: Sequence[str], value: str = "value") -> DataFr
     )
     inside = W.partitionBy(*by, "bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     return (
-        keyed.join(coarse, [*by, "bucket"])
+        hist.join(coarse, [*by, "bucket"])
         .withColumn("upto", F.col("before") + F.sum("rows").over(inside))
         .drop("before", "bucket")
     )
@@ -97,11 +105,8 @@ def average_rank_percent(df: DataFrame, value: str, out: str) -> DataFrame:
 
     Ranks are worked out per distinct value and joined back by value.
     """
-    hist = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(F.col(value).alias("_value"))
-        .agg(F.count("*").alias("rows"))
-    )
+    counts = df.groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("rows"))
+    hist = bucketed(counts, (), "_value")
     mean_rank = F.col("upto") - (F.col("rows") - 1) / 2
     ranks = cumulate(hist, (), "_value").select("_value", (mean_rank / F.col("n") * 100).alias(out))
     return df.join(ranks, F.col(value) == F.col("_value"), "left").drop("_value")
