@@ -185,7 +185,7 @@ def _(spark, sf):
 
 @add("cluster_name_lookup")
 def _(spark, sf):
-    placed = placed_districts(spark, sf)
+    placed = pinned(placed_districts(spark, sf), "placed")
     names = sg.name_clusters(sg.cluster_profiles(placed, A), A).select("cluster", "cluster_name")
     return j.name_lookup(placed.select("state", "district", "cluster"), names, "cluster")
 
