@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from .bpe import op1_bpe
 from .decontaminate import op2_decontaminate
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op7_quality_rules
 from .sharding import op3_sharding
 from .simhash import op5_simhash
+from .substring_dedup import op4_substring_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_decontaminate, op3_sharding, op5_simhash, op7_quality_rules, op9_line_dedup, op10_quality_classifier,
+        op1_bpe, op2_decontaminate, op3_sharding, op4_substring_dedup, op5_simhash, op7_quality_rules, op9_line_dedup, op10_quality_classifier,
     )
 }
 
