@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op1_bpe
 from .decontaminate import op2_decontaminate
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .pii import op8_pii
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op7_quality_rules
 from .sharding import op3_sharding
