@@ -15,7 +15,8 @@ from .substring_dedup import op4_substring_dedup
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_bpe, op2_decontaminate, op3_sharding, op4_substring_dedup, op5_simhash, op7_quality_rules, op9_line_dedup, op10_quality_classifier,
+        op1_bpe, op2_decontaminate, op3_sharding, op4_substring_dedup, op5_simhash, op7_quality_rules, op8_pii,
+        op9_line_dedup, op10_quality_classifier,
     )
 }
 
