@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_key, total_bytes
@@ -33,11 +33,14 @@ def part_bits(chunks: int) -> int:
     return max(chunks - 1, 0).bit_length()
 
 
+def chunk_of(chunks: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", text_key(F.col("text"))), F.lit(chunks)).cast("int")
+
+
 def in_chunks(docs: DataFrame, chunks: int) -> DataFrame:
     """(chunk, doc_id, body), dealt by a hash of id and text."""
-    key = F.pmod(F.xxhash64("doc_id", text_key(F.col("text"))), F.lit(chunks)).cast("int")
     return docs.select(
-        key.alias("chunk"), F.col("doc_id").cast("bigint").alias("doc_id"),
+        chunk_of(chunks).alias("chunk"), F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce("text", F.lit("")).cast("binary").alias("body"),
     )
 
@@ -63,6 +66,16 @@ def ask_again(chunked: DataFrame, answers: DataFrame, keys: Callable[[pa.Table,
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, ASKED)
 
 
+def ask_from_answers(answers: DataFrame, keys: Callable[[dict[int, bytes], int], Iterator[tuple[int, bytes]]]) -> DataFrame:
+    """As ``ask_again`` for a question that answers and the chunk's own note are enough for."""
+
+    def run(told: pa.Table) -> pa.Table:
+        chunk = told.column("chunk")[0].as_py()
+        return _packed(chunk, keys(_by_part(told), -1 - chunk))
+
+    return answers.groupBy("chunk").applyInArrow(run, ASKED)
+
+
 def answer(asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """``reply`` gets what all chunks sent to a part, and gives one answer for each. A chunk's note to itself comes back as it is."""
 

@@ -11,12 +11,13 @@ from .quality_rules import op7_quality_rules
 from .sharding import op3_sharding
 from .simhash import op5_simhash
 from .substring_dedup import op4_substring_dedup
+from .suffix_array import op6_suffix_array
 
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_bpe, op2_decontaminate, op3_sharding, op4_substring_dedup, op5_simhash, op7_quality_rules, op8_pii,
-        op9_line_dedup, op10_quality_classifier,
+        op1_bpe, op2_decontaminate, op3_sharding, op4_substring_dedup, op5_simhash, op6_suffix_array,
+        op7_quality_rules, op8_pii, op9_line_dedup, op10_quality_classifier,
     )
 }
 
