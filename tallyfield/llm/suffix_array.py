@@ -9,9 +9,10 @@ windows stand next to each other, and each run of equal prefixes tells its small
 The order is cut off at the repeat length, so two levels of recursion are enough.
 
 Sorting happens in range partitions of the first eight bytes. Two exact steps keep
-suffixes out that cannot matter: of equal texts only the smallest document is sorted (a
-larger copy loses all its bytes), and a window enters only if its smallest 26-byte
-hash, by which equal windows agree, stands in two documents.
+suffixes out that cannot matter. Texts are cut where their content says so; of equal
+pieces only that of the smallest document is sorted, as all windows of the others start
+there, too. And a window enters only if its smallest 26-byte hash, by which equal
+windows agree, stands in two documents.
 """
 
 from __future__ import annotations
@@ -20,18 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import LAST, byte_values, doc_ids, id_or_null, planes, signed, table, text_key, window_hashes
-from .substring_dedup import _cuts, find_anchors
+from .common import LAST, byte_values, doc_ids, id_or_null, planes, span_hashes, table, window_hashes
+from .substring_dedup import _cuts, find_anchors, find_smaller
 
 LENGTH = 50
 LETTER, TRIPLE = 8, 24
 KMER = 26
+#: Mean length of a content-defined piece.
+PIECE = 128
 CHUNK_BYTES = 8 << 20
 #: Sampled eight-byte strings from which the range partitions are balanced; results do not depend on them.
 SPLIT_SAMPLE = 20_000
@@ -102,35 +104,45 @@ class Texts:
             out = (out << _U(8)) | self.raw[at + k].astype(_U)
         return out
 
-    def anchors(self, skip: np.ndarray, length: int, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """By runs of texts: offset, k-mer hashes, each window's smallest, which windows count, which k-mers are chosen."""
-        run, first = [], 0
-        for i in range(len(self.size) + 1):
-            if i == len(self.size) or (run and self.offset[i + 1] - self.offset[first] > 1 << 21):
-                if run:
-                    yield self._anchors(first, i, skip, length, width)
-                run, first = [], i
-            run.append(i)
-
-    def _anchors(self, a: int, b: int, skip: np.ndarray, length: int, width: int):
-        lo, hi = int(self.offset[a]), int(self.offset[b])
-        n = hi - lo - length + 1
-        if n <= 0:
-            empty = np.zeros(0, _U)
-            return lo, empty, empty, empty.astype(bool), empty.astype(bool)
-        h = window_hashes(byte_values(self.raw[lo:hi]), width) | _U(1)
+    def runs(self, length: int, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By runs of texts of about 2 MB: offset, hashes of ``width`` bytes, where windows may start."""
+        edges = [0]
+        for i in range(1, len(self.size) + 1):
+            if i == len(self.size) or self.offset[i + 1] - self.offset[edges[-1]] > 1 << 21:
+                edges.append(i)
+        for a, b in zip(edges, edges[1:]):
+            lo, hi = int(self.offset[a]), int(self.offset[b])
+            n = hi - lo - length + 1
+            if n > 0 and (self.size[a:b] >= length).any():
+                step = np.zeros(hi - lo + 1, np.int64)
+                long = np.flatnonzero(self.size[a:b] >= length) + a
+                step[self.offset[long] - lo] = 1
+                step[self.offset[long] - lo + self.size[long] - length + 1] = -1
+                yield lo, window_hashes(byte_values(self.raw[lo:hi]), width) | _U(1), np.cumsum(step)[:n] > 0
+
+    def pieces(self, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and last window starts (end exclusive) of content-defined pieces, and two hashes of each piece's bytes."""
+        found = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, _U)] * 2]
+        for lo, h, valid in self.runs(length, width):
+            ahead = np.append(valid[1:], False)
+            first = valid & ~np.concatenate(([False], valid[:-1]))
+            start = np.flatnonzero(valid & (((h[: len(valid)] >> _U(20)) % _U(PIECE) == 0) | first))
+            stop = np.flatnonzero(valid & ~ahead) + 1
+            end = np.minimum(np.append(start[1:], len(valid)), stop[np.searchsorted(stop, start, "right")])
+            values = byte_values(self.raw[lo : lo + len(valid) + length])
+            found.append([start + lo, end + lo, *(span_hashes(values, start, end + length - 1, base) for base in (0, 1))])
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def anchors(self, lost: np.ndarray, length: int, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By runs of texts: offset, k-mer hashes, each window's smallest, windows that are not lost, k-mers chosen by one."""
         w = length - width + 1
-        low = sliding(np.minimum, h, w)
-        step = np.zeros(hi - lo + 1, np.int64)
-        for i in range(a, b):
-            if self.size[i] >= length and not skip[i]:
-                step[self.offset[i] - lo] += 1
-                step[self.offset[i] - lo + self.size[i] - length + 1] -= 1
-        valid = np.cumsum(step)[:n] > 0
-        # a k-mer is chosen if it is the smallest of some window: the largest of its windows' minima is itself
         edge = np.zeros(w - 1, _U)
-        most = sliding(np.maximum, np.concatenate((edge, np.where(valid, low, _U(0)), edge)), w)
-        return lo, h, low, valid, most == h
+        for lo, h, valid in self.runs(length, width):
+            valid &= ~lost[lo : lo + len(valid)]
+            low = sliding(np.minimum, h, w)
+            # chosen if it is the smallest of some window: then the largest of its windows' minima is itself
+            most = sliding(np.maximum, np.concatenate((edge, np.where(valid, low, _U(0)), edge)), w)
+            yield lo, h, low, valid, most == h
 
 
 def name_parts(sent: list[list[np.ndarray]]) -> list[np.ndarray]:
@@ -208,18 +220,6 @@ def splitters(docs: DataFrame, parts: int, seed: int = 3) -> np.ndarray:
     return found[np.arange(1, parts) * len(found) // parts]
 
 
-def copies(docs: DataFrame, chunks: int) -> DataFrame:
-    """(chunk, part, answer): the documents of each chunk that a smaller document equals in its whole text."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        F.md5(text.cast("binary")).alias("md5"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), exchange.chunk_of(chunks).alias("chunk"),
-        text_key(F.col("text")).alias("key"),
-    )
-    first = rows.groupBy("md5").agg(F.min("doc").alias("first"))
-    found = rows.join(first, "md5").where("doc > first").select("chunk", F.concat_ws(":", "doc", "key").alias("name")).distinct()
-    return found.groupBy("chunk").agg(F.array_join(F.collect_list("name"), ",").cast("binary").alias("answer")).select("chunk", F.lit(0).alias("part"), "answer")
-
-
 def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept), one row a document; kept is binary.
 
@@ -236,22 +236,43 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     split = splitters(docs, 1 << bits)
     width = KMER
 
-    def chosen(texts: Texts, skip: np.ndarray):
-        parts = list(texts.anchors(skip, length, width))
-        at = np.concatenate([np.flatnonzero(p[4]) + p[0] for p in parts])
-        h = np.concatenate([p[1][p[4]] for p in parts])
+    def pieces(texts: Texts):
+        start, end, one, two = texts.pieces(length, width)
+        (key, check), number, order, group = distinct([one, two & _U(0xFFFFFFFF)])
+        doc = texts.doc(start)
+        low = np.minimum.reduceat(doc[order], group) if len(group) else doc
+        return start, end, doc, key, check, number, low
+
+    def ask_pieces(rows: pa.Table) -> Iterator[tuple[int, bytes]]:
+        _, _, _, key, check, _, low = pieces(Texts(rows))
+        cuts = _cuts(key, bits)
+        for part in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[part], cuts[part + 1]
+            yield part, planes(key[a:b], 8) + planes(check[a:b], 4) + planes(low[a:b].astype(_U), 8)
+
+    def flags_of(told: dict[int, bytes], keys: np.ndarray) -> np.ndarray:
+        cuts, flags = _cuts(keys, bits), np.zeros(len(keys), bool)
+        for part in (p for p in told if p >= 0):
+            flags[cuts[part] : cuts[part + 1]] = np.unpackbits(np.frombuffer(told[part], np.uint8), count=cuts[part + 1] - cuts[part])
+        return flags
+
+    def chosen(texts: Texts, lost: np.ndarray):
+        parts = list(texts.anchors(lost, length, width))
+        at = np.concatenate([np.zeros(0, np.int64), *(np.flatnonzero(p[4]) + p[0] for p in parts)])
+        h = np.concatenate([np.zeros(0, _U), *(p[1][p[4]] for p in parts)])
         keys, number, order, group = distinct([h])
-        return parts, at, h, keys[0], number, order, group
+        return parts, at, keys[0], number, order, group
 
     def ask_anchors(rows: pa.Table, told: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         texts = Texts(rows)
-        names = set(told.get(0, b"").decode().split(","))
-        bodies = rows.column("body").to_pylist()
-        skip = np.zeros(len(bodies), bool)
-        if told:
-            skip[:] = [f"{d}:{signed(xxhash.xxh64_intdigest(b, 42))}" in names for d, b in zip(texts.ids, bodies)]
-        _, at, h, keys, number, order, group = chosen(texts, skip)
-        yield exchange.note(rows), freeze(skip.astype(_U))
+        start, end, doc, key, _, number, low = pieces(texts)
+        gone = flags_of(told, key)[number] | (doc > low[number])
+        step = np.zeros(len(texts.raw) + 1, np.int32)
+        np.add.at(step, start[gone], 1)
+        np.add.at(step, end[gone], -1)
+        lost = np.cumsum(step[:-1]) > 0
+        _, at, keys, number, order, group = chosen(texts, lost)
+        yield exchange.note(rows), freeze(np.packbits(lost))
         if len(keys):
             doc = texts.doc(at)[order]
             several = np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group)
@@ -260,20 +281,15 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for part in np.flatnonzero(np.diff(cuts)).tolist():
                 yield part, planes(short[cuts[part] : cuts[part + 1]], 5)
 
-    def windows(texts: Texts, skip: np.ndarray, told: dict[int, bytes]) -> np.ndarray:
+    def windows(texts: Texts, lost: np.ndarray, told: dict[int, bytes]) -> np.ndarray:
         """Starts of the windows whose smallest k-mer stands in two documents."""
-        parts, at, h, keys, number, _, _ = chosen(texts, skip)
-        cuts, flags = _cuts(keys, bits), np.zeros(len(keys), bool)
-        for part, blob in told.items():
-            if part >= 0:
-                flags[cuts[part] : cuts[part + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=cuts[part + 1] - cuts[part])
+        parts, at, keys, number, _, _ = chosen(texts, lost)
         shared = np.zeros(len(texts.raw), bool)
-        shared[at] = flags[number]
+        shared[at] = flags_of(told, keys)[number]
         out = []
         for lo, kmers, low, valid, _ in parts:
-            if len(low):
-                known = np.where(shared[lo : lo + len(kmers)], kmers, ~_U(0))
-                out.append(np.flatnonzero(valid & (sliding(np.minimum, known, length - width + 1) == low)) + lo)
+            known = np.where(shared[lo : lo + len(kmers)], kmers, ~_U(0))
+            out.append(np.flatnonzero(valid & (sliding(np.minimum, known, length - width + 1) == low)) + lo)
         return np.concatenate([np.zeros(0, np.int64), *out])
 
     def sampled(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,25 +302,25 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def ask_triples(rows: pa.Table, told: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         texts = Texts(rows)
-        skip = thaw(told[exchange.note(rows)])[0].astype(bool)
-        at = windows(texts, skip, told)
+        lost = np.unpackbits(thaw(told[exchange.note(rows)])[0].astype(np.uint8), count=len(texts.raw)).astype(bool)
+        at = windows(texts, lost, told)
         suffix, triple = sampled(at)
         columns = [texts.letters(triple + LETTER * k) for k in range(3)]
         rank, number, _, _ = distinct(columns)
         pair = (number[np.searchsorted(triple, suffix)], number[np.searchsorted(triple, suffix + TRIPLE)])
-        yield exchange.note(rows), freeze(skip.astype(_U), np.diff(at, prepend=0).astype(_U), *(p.astype(_U) for p in pair))
+        yield exchange.note(rows), freeze(np.packbits(lost), np.diff(at, prepend=0).astype(_U), *(p.astype(_U) for p in pair))
         yield from _by_parts(rank, np.searchsorted(split, rank[0], "right"))
 
     def ask_pairs(told: dict[int, bytes], note: int) -> Iterator[tuple[int, bytes]]:
-        skip, at, first, second = thaw(told[note])
+        lost, at, first, second = thaw(told[note])
         name = _names_back(told)
         columns, number, _, _ = distinct([name[first.astype(np.int64)], name[second.astype(np.int64)]])
-        yield note, freeze(skip, at, number.astype(_U))
+        yield note, freeze(lost, at, number.astype(_U))
         yield from _by_parts([columns[0] & _U(0xFFFFFFFF), columns[1]], (columns[0] >> _U(32)).astype(np.int64))
 
     def ask_windows(rows: pa.Table, told: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         texts = Texts(rows)
-        skip, step, number = thaw(told[exchange.note(rows)])
+        lost, step, number = thaw(told[exchange.note(rows)])
         at = np.cumsum(step.astype(np.int64))
         suffix, _ = sampled(at)
         name = _names_back(told)[number.astype(np.int64)]  # of each sampled suffix, by 48 bytes
@@ -332,28 +348,27 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kinds.append((rows_[0].astype(np.int64), [*rows_[1:], low.astype(_U)]))
             order_of += [which.astype(_U), low.astype(_U)]
         counts = [np.bincount(k[0], minlength=1 << bits) for k in kinds]
-        yield exchange.note(rows), freeze(skip, step, *order_of, *(c.astype(_U) for c in counts))
+        yield exchange.note(rows), freeze(lost, step, *order_of, *(c.astype(_U) for c in counts))
         edges = [np.concatenate(([0], np.cumsum(c))) for c in counts]
         for part in np.flatnonzero(sum(counts)).tolist():
             yield part, freeze(*(c[e[part] : e[part + 1]] for e, (_, columns) in zip(edges, kinds) for c in columns))
 
     def kept(rows: pa.Table, told: dict[int, bytes]) -> pa.Table:
         texts = Texts(rows)
-        skip, step, *rest = thaw(told[exchange.note(rows)])
+        bits_lost, step, *rest = thaw(told[exchange.note(rows)])
         at = np.cumsum(step.astype(np.int64))
         replies = [thaw(told[p]) for p in sorted(p for p in told if p >= 0)]
-        cover = np.zeros(len(texts.raw) + 1, np.int32)
+        started = np.unpackbits(bits_lost.astype(np.uint8), count=len(texts.raw)).astype(bool)  # windows of lost pieces
         for kind in range(3):
             p = at[at % 3 == kind]
             which, low = rest[2 * kind].astype(np.int64), rest[2 * kind + 1].astype(np.int64)
             smaller = np.concatenate([np.zeros(0, _U), *(r[kind] for r in replies)]).astype(bool)
-            gone = p[smaller[which] | (texts.doc(p) > low[which])]
-            np.add.at(cover, gone, 1)
-            np.add.at(cover, gone + length, -1)
-        lost = np.cumsum(cover[:-1]) > 0
+            started[p[smaller[which] | (texts.doc(p) > low[which])]] = True
+        so_far = np.concatenate((np.zeros(length, np.int64), np.cumsum(started)))
+        lost = so_far[length:] > so_far[:-length]
         removed, spans, left = [], [], []
         for i, (a, n) in enumerate(zip(texts.offset.tolist(), texts.size.tolist())):
-            own = np.full(n, n >= length) if skip[i] else lost[a : a + n]
+            own = lost[a : a + n]
             removed.append(int(own.sum()))
             spans.append(int(own[:1].sum() + (own[1:] & ~own[:-1]).sum()))
             left.append(texts.raw[a : a + n][~own].tobytes())
@@ -362,7 +377,8 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(left, pa.binary()),
         })
 
-    anchors = exchange.answer(exchange.ask_again(chunked, copies(docs, chunks), ask_anchors), find_anchors)
+    first = exchange.answer(exchange.ask(chunked, ask_pieces), find_smaller)
+    anchors = exchange.answer(exchange.ask_again(chunked, first, ask_anchors), find_anchors)
     triples = exchange.answer(exchange.ask_again(chunked, anchors, ask_triples), _name)
     pairs = exchange.answer(exchange.ask_from_answers(triples, ask_pairs), _name)
     merged = exchange.answer(exchange.ask_again(chunked, pairs, ask_windows), _merge)
