@@ -13,11 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, total_bytes
+from .common import batches, text_key, total_bytes
 
 CHUNK_BYTES = 12 << 20
 ASKED = "chunk int, part int, keys binary"
@@ -38,19 +39,41 @@ def chunk_of(chunks: int) -> Column:
 
 
 def in_chunks(docs: DataFrame, chunks: int) -> DataFrame:
-    """(chunk, doc_id, body), dealt by a hash of id and text."""
+    """(chunk, docs): documents dealt by a hash of id and text, and packed, compressed, by chunk and record batch."""
+
+    def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows, 32 << 20):
+            chunk = batch.column("chunk").to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            edges = np.flatnonzero(np.diff(chunk[order], prepend=-1))
+            made = [_frozen(batch.take(pa.array(order[a:b])).drop_columns(["chunk"])) for a, b in zip(edges, np.append(edges[1:], len(order)))]
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[order[edges]], pa.int32()), pa.array(made, pa.binary())], names=["chunk", "docs"])
+
     return docs.select(
-        chunk_of(chunks).alias("chunk"), F.col("doc_id").cast("bigint").alias("doc_id"),
+        chunk_of(chunks).alias("chunk"), F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("key"),
         F.coalesce("text", F.lit("")).cast("binary").alias("body"),
-    )
+    ).mapInArrow(pack, "chunk int, docs binary")
+
+
+def _frozen(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(rows: pa.Table) -> pa.Table:
+    """The chunk's (doc_id, key, body, chunk) in one order, whatever the order of arrival."""
+    whole = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in rows.column("docs")])
+    whole = whole.sort_by([("doc_id", "ascending"), ("key", "ascending")])
+    return whole.append_column("chunk", pa.array(np.full(whole.num_rows, rows.column("chunk")[0].as_py(), np.int32)))
 
 
 def ask(chunked: DataFrame, keys: Callable[[pa.Table], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """For each chunk the (part, keys) that ``keys`` makes of its documents."""
 
     def run(rows: pa.Table) -> pa.Table:
-        chunk = rows.column("chunk")[0].as_py()
-        return _packed(chunk, keys(rows))
+        return _packed(rows.column("chunk")[0].as_py(), keys(_unpacked(rows)))
 
     return chunked.groupBy("chunk").applyInArrow(run, ASKED)
 
@@ -61,7 +84,7 @@ def ask_again(chunked: DataFrame, answers: DataFrame, keys: Callable[[pa.Table,
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _packed(0, [])
-        return _packed(rows.column("chunk")[0].as_py(), keys(rows, _by_part(told)))
+        return _packed(rows.column("chunk")[0].as_py(), keys(_unpacked(rows), _by_part(told)))
 
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, ASKED)
 
@@ -95,7 +118,7 @@ def read_answers(chunked: DataFrame, answers: DataFrame, result: Callable[[pa.Ta
     """What ``result`` makes of each chunk's documents and answers."""
 
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        return result(rows, _by_part(told))
+        return result(_unpacked(rows), _by_part(told))
 
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 

@@ -153,19 +153,22 @@ def name_parts(sent: list[list[np.ndarray]]) -> list[np.ndarray]:
 
 
 def _name(blobs: list[bytes]) -> list[bytes]:
-    return [freeze(x) for x in name_parts([thaw(b) for b in blobs])]
+    sent = [thaw(b) for b in blobs]
+    for columns in sent:
+        columns[0] = np.cumsum(columns[0], dtype=_U)
+    return [freeze(np.diff(x, prepend=_U(0))) for x in name_parts(sent)]  # they ascend, as the rows do
 
 
-def _by_parts(columns: list[np.ndarray], part: np.ndarray, notes=()) -> Iterator[tuple[int, bytes]]:
-    """Rows sorted by part, one blob a part."""
+def _by_parts(columns: list[np.ndarray], part: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Rows sorted by part and first column, one blob a part; of the first column the differences."""
     edges = np.flatnonzero(np.concatenate((np.ones(min(1, len(part)), bool), part[1:] != part[:-1])))
     for a, b in zip(edges, np.append(edges[1:], len(part))):
-        yield int(part[a]), freeze(*(c[a:b] for c in columns))
+        yield int(part[a]), freeze(np.diff(columns[0][a:b], prepend=_U(0)), *(c[a:b] for c in columns[1:]))
 
 
 def _names_back(told: dict[int, bytes]) -> np.ndarray:
     """Names of the rows sent, in their order: the part, then the rank inside it."""
-    return np.concatenate([np.zeros(0, _U), *((_U(p) << _U(32)) | thaw(told[p])[0] for p in sorted(p for p in told if p >= 0))])
+    return np.concatenate([np.zeros(0, _U), *((_U(p) << _U(32)) | np.cumsum(thaw(told[p])[0], dtype=_U) for p in sorted(p for p in told if p >= 0))])
 
 
 def merge_windows(kinds: list[list[np.ndarray]]) -> list[np.ndarray]:
