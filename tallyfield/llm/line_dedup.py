@@ -141,13 +141,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """
     names = docs.columns
     joined = docs.withColumns({
-        "_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)), "_key": text_key(F.col("text")),
-    }).join(keep_bitmaps(docs, min_chars).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), F.col("keep").alias("_keep")), ["_doc", "_key"], "left")
+        "_llm_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)), "_llm_key": text_key(F.col("text")),
+    }).join(keep_bitmaps(docs, min_chars).select(F.col("doc").alias("_llm_doc"), F.col("key").alias("_llm_key"), F.col("keep").alias("_llm_keep")), ["_llm_doc", "_llm_key"], "left")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             old = batch.column("text").cast(pa.binary()).to_pylist()
-            made = [kept_lines(b or b"", k) for b, k in zip(old, batch.column("_keep").to_pylist(), strict=True)]
+            made = [kept_lines(b or b"", k) for b, k in zip(old, batch.column("_llm_keep").to_pylist(), strict=True)]
             new = pa.array([None if b is None else m[2] for b, m in zip(old, made, strict=True)], pa.binary()).cast(pa.string())
             columns = [new if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(
@@ -156,7 +156,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             )
 
     kinds = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
-    return joined.select(*[F.col(f"`{n}`") for n in names], "_keep").mapInArrow(run, f"{kinds}, _n_lines bigint, _n_dropped bigint")
+    return joined.select(*[F.col(f"`{n}`") for n in names], "_llm_keep").mapInArrow(run, f"{kinds}, _n_lines bigint, _n_dropped bigint")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,13 +32,13 @@ def _fisher_yates(names: list[str], seed: int):
     def shuffled(bucket: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts)
         order = np.random.default_rng([seed, bucket]).permutation(rows.num_rows)
-        rows = rows.take(pa.array(order)).append_column("_position", pa.array(np.arange(rows.num_rows, dtype=np.int64)))
-        yield from rows.select([*names, "_bucket", "_position"]).combine_chunks().to_batches(max_chunksize=4096)
+        rows = rows.take(pa.array(order)).append_column("_llm_position", pa.array(np.arange(rows.num_rows, dtype=np.int64)))
+        yield from rows.select([*names, "_llm_bucket", "_llm_position"]).combine_chunks().to_batches(max_chunksize=4096)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
         for batch in batches:
-            bucket = batch.column("_bucket").to_numpy()
+            bucket = batch.column("_llm_bucket").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
@@ -64,22 +64,22 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     names = docs.columns
     n_buckets = 1 + total_bytes(docs) // bucket_bytes
     scattered = pinned(
-        docs.withColumn("_row", F.monotonically_increasing_id()).withColumn(
-            "_bucket", F.pmod(F.xxhash64(F.lit(seed), "_row"), F.lit(n_buckets))
+        docs.withColumn("_llm_row", F.monotonically_increasing_id()).withColumn(
+            "_llm_bucket", F.pmod(F.xxhash64(F.lit(seed), "_llm_row"), F.lit(n_buckets))
         ), "shard-buckets",
     )
-    counts = scattered.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    ahead = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    counts = scattered.groupBy("_llm_bucket").agg(F.count("*").alias("_llm_n"))
+    ahead = Window.orderBy("_llm_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_llm_bucket", F.coalesce(F.sum("_llm_n").over(ahead), F.lit(0)).alias("_llm_start"))
     rows = max(1, scattered.count())
     kinds = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
     buckets = (
-        scattered.repartition(int(n_buckets), "_bucket").sortWithinPartitions("_bucket", "_row")
-        .mapInArrow(_fisher_yates(names, seed), f"{kinds}, _bucket bigint, _position bigint")
+        scattered.repartition(int(n_buckets), "_llm_bucket").sortWithinPartitions("_llm_bucket", "_llm_row")
+        .mapInArrow(_fisher_yates(names, seed), f"{kinds}, _llm_bucket bigint, _llm_position bigint")
     )
-    place = F.col("_start") + F.col("_position")
-    shard = F.expr(f"((_start + _position + 1) * {shards} - 1) div {rows}")
-    return buckets.join(starts, "_bucket").withColumn("_shard", shard.cast("int")).withColumn(
+    place = F.col("_llm_start") + F.col("_llm_position")
+    shard = F.expr(f"((_llm_start + _llm_position + 1) * {shards} - 1) div {rows}")
+    return buckets.join(starts, "_llm_bucket").withColumn("_shard", shard.cast("int")).withColumn(
         "_slot", place - F.expr(f"(_shard * {rows}L) div {shards}")
     ).select(*[F.col(f"`{n}`") for n in names], "_shard", "_slot")
 

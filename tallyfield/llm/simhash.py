@@ -220,11 +220,11 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = WORDS) -> DataF
 
     Of repeated rows of that doc_id one stays.
     """
-    chosen = near_groups(docs, radius, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("_key"))
-    marked = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)), "_key": text_key(F.col("text"))})
-    stay = chosen.select(F.coalesce("component_id", F.lit(LAST)).alias("_doc"), "_key")
-    kept = marked.join(stay, ["_doc", "_key"], "left_semi")
-    return kept.dropDuplicates(["_doc", "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = near_groups(docs, radius, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("_llm_key"))
+    marked = docs.withColumns({"_llm_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)), "_llm_key": text_key(F.col("text"))})
+    stay = chosen.select(F.coalesce("component_id", F.lit(LAST)).alias("_llm_doc"), "_llm_key")
+    kept = marked.join(stay, ["_llm_doc", "_llm_key"], "left_semi")
+    return kept.dropDuplicates(["_llm_doc", "_llm_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
