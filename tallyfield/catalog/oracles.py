@@ -235,7 +235,7 @@ SQL.update({
 
 # --- aggregation -------------------------------------------------------------
 _dow_totals = f"(SELECT isodow(date) - 1 AS d, {isum('total')} AS value FROM activity WHERE isodow(date) <> 3 GROUP BY 1)"
-_leaf = "(SELECT * FROM districts ORDER BY total DESC, state, district LIMIT 60)"
+_leaf = "districts"
 _drill = f"(SELECT state, district, pincode, {isum('total')} AS total FROM activity WHERE state = 'NATION_7' GROUP BY 1, 2, 3)"
 _quants = ", ".join(f"quantile_cont({{0}}, {p}) AS q{int(p * 100)}" for p in (0.25, 0.75, 0.9, 0.95))
 

@@ -514,7 +514,7 @@ def _(spark, sf):
 
 @add("hierarchy_rollup")
 def _(spark, sf):
-    return g.hierarchy_rollup(lines(spark, sf, "state", "district"), A, leaves=60)
+    return g.hierarchy_rollup(lines(spark, sf, "state", "district"), A)
 
 
 @add("hierarchy_rollup_drill")

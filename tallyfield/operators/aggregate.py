@@ -335,12 +335,12 @@ def pivot_state_month(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10) -> D
 
 
 def hierarchy_rollup(
-    df: DataFrame, spec: FactSpec = DEFAULT, state: str | None = None, leaves: int = 200
+    df: DataFrame, spec: FactSpec = DEFAULT, state: str | None = None
 ) -> DataFrame:
-    """Tree of sums with subtotals.
+    """Tree of sums with subtotals, over all rows.
 
-    Without a state the tree is state > district over the largest ``leaves``;
-    with one it is state > district > pincode over everything.
+    Without a state the tree is state > district; with one it is
+    state > district > pincode.
     """
     path = [spec.state, spec.district]
     rows = df
@@ -348,8 +348,6 @@ def hierarchy_rollup(
         path.append(spec.pincode)
         rows = df.where(F.col(spec.state) == state)
     totals = total_by(present(rows, *path), path, spec.total)
-    if state is None:
-        totals = totals.orderBy(F.desc(spec.total), *path).limit(leaves)
     depth = F.lit(len(path)) - sum((F.grouping(c) for c in path[1:]), F.grouping(path[0]))
     return totals.rollup(*path).agg(
         F.sum(spec.total).alias(spec.total), depth.cast("int").alias("depth")

@@ -184,7 +184,7 @@ def by_state(
     top = top_k(totals, "total", [spec.state], top_n).where(F.col("days") > min_points)
     # Inner on unique states: a semi join would move below the daily totals and
     # have them computed a second time.
-    chosen = series.join(F.broadcast(top.select(spec.state)), spec.state)
+    chosen = series.join(top.select(spec.state), spec.state)
     return seasonal(chosen, periods, by=[spec.state], phase=phase)
 
 

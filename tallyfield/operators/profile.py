@@ -189,7 +189,7 @@ def boxplot_by_state(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10) -> Da
     hist = pinned(histogram(df, [spec.total], [spec.state]), "histogram")
     totals = hist.groupBy(spec.state).agg(F.sum(F.col("value") * F.col("rows")).alias("t"))
     top = totals.orderBy(F.desc("t"), spec.state).limit(n).select(spec.state)
-    chosen = hist.join(F.broadcast(top), spec.state)
+    chosen = hist.join(top, spec.state)
     boxes = _boxes(chosen, [spec.state, "measure"], 1.5)
     return boxes.drop("measure").orderBy(F.desc("median"), spec.state)
 

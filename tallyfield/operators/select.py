@@ -39,7 +39,8 @@ def filter_drill_state(df: DataFrame, state: str, spec: FactSpec = DEFAULT) -> D
 
 
 def sort_recent_first(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
-    return df.orderBy(F.desc(spec.date))
+    """Newest rows first; district and pincode break ties, so that one busy day can be split."""
+    return df.orderBy(F.desc(spec.date), spec.district, spec.pincode)
 
 
 def top_k(
@@ -70,9 +71,9 @@ def top_pincodes(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 20) -> DataFr
 
 
 def semi_top_states(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10) -> DataFrame:
-    """Rows of the ``n`` largest states (``n`` bounds the broadcast side)."""
+    """Rows of the ``n`` largest states."""
     top = top_states(df, spec, n).select(spec.state)
-    return df.join(F.broadcast(top), spec.state, "left_semi")
+    return df.join(top, spec.state, "left_semi")
 
 
 def top_with_others(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10) -> DataFrame:
@@ -83,7 +84,7 @@ def top_with_others(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10) -> Dat
     )
     name = F.when(F.col("kept"), F.col(spec.state)).otherwise("Others").alias(spec.state)
     named = (
-        totals.join(F.broadcast(top), spec.state, "left")
+        totals.join(top, spec.state, "left")
         .groupBy(name)
         .agg(F.sum(spec.total).alias(spec.total))
         .where((F.col(spec.state) != "Others") | (F.col(spec.total) > 0))

@@ -27,14 +27,14 @@ OPERATIONAL_FILES = {
 }
 
 
-def rollups(spark: SparkSession, facts: DataFrame, out_dir: str, spec: FactSpec) -> reports.Rollups:
-    """Both rollups as tables under the output folder, made when absent."""
+def rollups(spark: SparkSession, facts: DataFrame, out_dir: str, spec: FactSpec, inputs: str = "") -> reports.Rollups:
+    """Both rollups as tables under the output folder, made when absent or of other inputs."""
     return reports.Rollups(
         files.materialize_if_absent(
-            spark, f"{out_dir}/rollups/day_cube", lambda: aggregate.day_cube(facts, spec)
+            spark, f"{out_dir}/rollups/day_cube", lambda: aggregate.day_cube(facts, spec), inputs=inputs
         ),
         files.materialize_if_absent(
-            spark, f"{out_dir}/rollups/pincode_profile", lambda: aggregate.pincode_profile(facts, spec)
+            spark, f"{out_dir}/rollups/pincode_profile", lambda: aggregate.pincode_profile(facts, spec), inputs=inputs
         ),
         spec,
     )
@@ -52,13 +52,16 @@ def run(
     """Clean, roll up and write every report; returns report name to path.
 
     ``quick`` stops after anomalies and forecasts. The cleaned table and the
-    rollups are kept, so a second run, or one after a failure, starts there.
+    rollups are kept, so a second run over the same files, or one after a
+    failure, starts there; other files make all of them anew.
     A failing report fails the job.
     """
+    inputs = files.inputs_signature(spark, raw_paths)
     facts = files.materialize_if_absent(
-        spark, f"{out_dir}/clean", lambda: clean.clean(files.read_raw_csv(spark, raw_paths, spec), spec)
+        spark, f"{out_dir}/clean", lambda: clean.clean(files.read_raw_csv(spark, raw_paths, spec), spec),
+        partition_by=("month",), inputs=inputs,
     )
-    r = rollups(spark, facts, out_dir, spec)
+    r = rollups(spark, facts, out_dir, spec, inputs)
     written: dict[str, str] = {}
 
     def save(report: reports.Report, names: dict[str, str], skip_empty: bool = False) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,17 +43,55 @@ def clean_schema(spec: FactSpec = DEFAULT) -> T.StructType:
 def read_raw_csv(
     spark: SparkSession, paths: str | Sequence[str], spec: FactSpec = DEFAULT
 ) -> DataFrame:
-    """Read headered CSV shards (files, folders or globs) in one scan."""
+    """Read headered CSV shards (files, folders or globs), columns by name.
+
+    Shards of one header are one scan. A shard may order its columns differently, have
+    more or lack some (null); one without date, state or district is an error.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in shard_files(spark, paths):
+        header = tuple(c.strip() for c in csv_reader(spark).csv(file).columns)
+        by_header.setdefault(header, []).append(file)
+    parts = []
+    for header, files in by_header.items():
+        if lacking := [c for c in (spec.date, spec.state, spec.district) if c not in header]:
+            raise ValueError(f"{files[0]} has no column {', '.join(lacking)}")
+        text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        parts.append(csv_reader(spark).schema(text).csv(files).select(*[c for c in spec.raw_columns if c in header]))
+    whole = union_shards(spark.createDataFrame([], raw_schema(spec)), *parts) if len(parts) != 1 else parts[0]
+    return whole.select(*[F.col(c) if c in whole.columns else F.lit(None).cast("string").alias(c) for c in spec.raw_columns])
+
+
+def csv_reader(spark: SparkSession) -> DataFrameReader:
+    """Headered CSV with quotes doubled inside quotes."""
+    return spark.read.option("header", True).option("escape", '"')
+
+
+def shard_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The files under the paths, listed without being read."""
+    found = spark.read.format("binaryFile").load(list(paths)).select("path").orderBy("path")
+    return [r.path for r in found.toLocalIterator()]
+
+
+def inputs_signature(spark: SparkSession, paths: str | Sequence[str]) -> str:
+    """A short text that changes with the files' names, sizes or modification times."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.schema(raw_schema(spec)).option("header", True).csv(paths)
+    files = spark.read.format("binaryFile").load(paths).select("path", "length", "modificationTime")
+    marks = files.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+    return ":".join(map(str, marks))
 
 
 def read_clean(
     spark: SparkSession, path: str, fmt: str = "parquet", spec: FactSpec = DEFAULT
 ) -> DataFrame:
     """Read a cleaned fact table with its fixed schema."""
-    reader = spark.read.schema(clean_schema(spec))
-    return reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)
+    if fmt == "csv":
+        names = csv_reader(spark).csv(path).columns
+        kinds = {f.name: f for f in clean_schema(spec)}
+        own = T.StructType([kinds.get(c, T.StructField(c, T.StringType())) for c in names])
+        return csv_reader(spark).schema(own).csv(path).select(*kinds)
+    return spark.read.schema(clean_schema(spec)).parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -72,13 +110,18 @@ def materialize_if_absent(
     path: str,
     build: Callable[[], DataFrame],
     partition_by: Sequence[str] = (),
+    inputs: str = "",
 ) -> DataFrame:
-    """Write ``build()`` as Parquet unless the path holds a finished table.
+    """Write ``build()`` as Parquet unless the path holds a finished table of the same ``inputs``.
 
-    The commit marker decides, so a write cut short is done again.
+    The commit marker decides, so a write cut short is done again; ``inputs`` is kept
+    beside the table, after it is finished, and a difference makes the table anew.
     """
-    if not path_exists(spark, f"{path}/_SUCCESS"):
+    note = f"{path}.inputs"
+    known = spark.read.text(note).first() if path_exists(spark, f"{note}/_SUCCESS") else None
+    if not path_exists(spark, f"{path}/_SUCCESS") or (known.value if known else "") != inputs:
         build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        spark.range(1).select(F.lit(inputs).alias("value")).write.mode("overwrite").text(note)
     return spark.read.parquet(path)
 
 
@@ -111,7 +154,7 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv") -> str:
     """Write a result: headered CSV by default, or Parquet."""
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("escape", '"').csv(path)
     else:
         writer.format(fmt).save(path)
     return path
@@ -131,7 +174,7 @@ def read_report(
     """Read a saved CSV report, or ``None`` when it was never written."""
     if not path_exists(spark, path):
         return None
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return csv_reader(spark).schema(schema).csv(path)
 
 
 def union_shards(*frames: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +12,14 @@ _KEY = "spark.checkpoint.dir"
 def scratch_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a temporary folder. A cluster
+    A local session without the setting uses a folder of its warehouse. A cluster
     session must name one, because executors cannot see the driver's disk.
     """
     root = spark.conf.get(_KEY, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {_KEY} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="tallyfield-")
-        spark.conf.set(_KEY, root)
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return root.rstrip("/")
 
 

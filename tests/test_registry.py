@@ -109,7 +109,27 @@ def test_pipeline_can_resume(spark, tmp_path):
     paths, out = raw_shards(spark, SF), str(tmp_path)
     first = pipeline.run(spark, paths, out, quick=True)
     assert {"forecast_30day", "milestone_projections"} <= first.keys()
-    again = pipeline.run(spark, ["/nowhere"], out, quick=True)
-    assert again == first
+    written = next((tmp_path / "clean").rglob("*.parquet")).stat().st_mtime_ns
+    assert pipeline.run(spark, paths, out, quick=True) == first
+    assert next((tmp_path / "clean").rglob("*.parquet")).stat().st_mtime_ns == written
     rows = spark.read.option("header", True).csv(first["forecast_30day"])
     assert rows.columns == ["date", "forecast", "lower_bound", "upper_bound"] and rows.count() == 30
+
+
+def test_pipeline_sees_a_new_shard(spark, tmp_path):
+    from tallyfield.plans import pipeline
+    from tallyfield.sources import files
+
+    head = "date,state,district,pincode,age_0_5,age_5_17,age_18_greater\n"
+    (tmp_path / "a.csv").write_text(head + "".join(f"{d:02}-01-2025,Goa,North,403001,1,2,{d}\n" for d in range(1, 29)))
+    paths, out = [str(tmp_path / "*.csv")], str(tmp_path / "out")
+    pipeline.run(spark, paths, out, quick=True)
+    before = spark.read.parquet(f"{out}/rollups/day_cube").count()
+    (tmp_path / "b.csv").write_text('state,date,district,age_0_5,more\nGoa,02-02-2025,"No ""x"" rth, A",7,z\n')
+    pipeline.run(spark, paths, out, quick=True)
+    assert spark.read.parquet(f"{out}/rollups/day_cube").count() == before + 1
+    row = files.read_raw_csv(spark, paths).where("date = '02-02-2025'").first()
+    assert (row.state, row.district, row.age_0_5, row.pincode) == ("Goa", 'No "x" rth, A', "7", None)
+    (tmp_path / "c.csv").write_text("date,district\n03-02-2025,North\n")
+    with pytest.raises(ValueError, match="state"):
+        files.read_raw_csv(spark, paths)
