@@ -46,13 +46,13 @@ def daily_total(
 def monthly_total(df: DataFrame, spec: FactSpec = DEFAULT, column: str | None = None) -> DataFrame:
     """Sum by month; months without rows do not appear."""
     month = calendar.month_start(F.col(spec.date)).alias("month")
-    return total_by(df, [month], column or spec.total, "value")
+    return total_by(present(df, spec.date), [month], column or spec.total, "value")
 
 
 def weekly_total(df: DataFrame, spec: FactSpec = DEFAULT, column: str | None = None) -> DataFrame:
     """Sum by Monday-to-Sunday week; weeks without rows do not appear."""
     week = calendar.week_start(F.col(spec.date)).alias("week")
-    return total_by(df, [week], column or spec.total, "value")
+    return total_by(present(df, spec.date), [week], column or spec.total, "value")
 
 
 def _resample(totals: DataFrame, key: str, step: str, label: Column) -> DataFrame:
@@ -76,13 +76,13 @@ def resample_monthly(df: DataFrame, spec: FactSpec = DEFAULT, column: str | None
 
 
 def state_total(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
-    return total_by(df, [spec.state], spec.total)
+    return total_by(present(df, spec.state), [spec.state], spec.total)
 
 
 def district_total(df: DataFrame, spec: FactSpec = DEFAULT, qualified: bool = True) -> DataFrame:
     """Sum by district; ``qualified=False`` merges districts of the same name."""
     keys = spec.geo_keys("district") if qualified else [spec.district]
-    return total_by(df, keys, spec.total)
+    return total_by(present(df, *keys), keys, spec.total)
 
 
 def pincode_total(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
@@ -105,7 +105,7 @@ def part_totals(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
 
 def monthly_part_totals(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
     month = calendar.month_start(F.col(spec.date)).alias("month")
-    return df.groupBy(month).agg(*[F.sum(p).alias(p) for p in spec.parts])
+    return present(df, spec.date).groupBy(month).agg(*[F.sum(p).alias(p) for p in spec.parts])
 
 
 def weekday_frame(df: DataFrame) -> DataFrame:
@@ -131,14 +131,14 @@ def weekday_total(df: DataFrame, spec: FactSpec = DEFAULT, fill: int | None = No
 def weekday_mean(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
     """Mean per record of each weekday."""
     name = calendar.calendar_columns(F.col(spec.date))["day_name"].alias("day_name")
-    return df.groupBy(name).agg(F.avg(spec.total).alias("mean"))
+    return present(df, spec.date).groupBy(name).agg(F.avg(spec.total).alias("mean"))
 
 
 def month_name_total(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
     """Sum by calendar month over all years, in calendar order."""
     month = F.month(spec.date)
     return (
-        total_by(df, [month.alias("month")], spec.total, "value")
+        total_by(present(df, spec.date), [month.alias("month")], spec.total, "value")
         .select("month", _month_name(F.col("month")).alias("month_name"), "value")
         .orderBy("month")
     )
@@ -150,7 +150,7 @@ def _month_name(month: Column) -> Column:
 
 def quarter_total(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
     """Sum by quarter, flagging the best and the worst (first on ties)."""
-    totals = total_by(df, [F.quarter(spec.date).alias("quarter")], spec.total, "value")
+    totals = total_by(present(df, spec.date), [F.quarter(spec.date).alias("quarter")], spec.total, "value")
     best = F.row_number().over(W.orderBy(F.desc("value"), "quarter")) == 1
     worst = F.row_number().over(W.orderBy("value", "quarter")) == 1
     return totals.withColumns({"is_best": best, "is_worst": worst})
@@ -161,7 +161,7 @@ def state_part_totals(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10) -> D
 
     The top ``n`` are picked from the grouped rows, so the facts are read once.
     """
-    sums = df.groupBy(spec.state).agg(*[F.sum(c).alias(c) for c in spec.measures])
+    sums = present(df, spec.state).groupBy(spec.state).agg(*[F.sum(c).alias(c) for c in spec.measures])
     return add_shares(sums.orderBy(F.desc(spec.total), spec.state).limit(n), spec)
 
 

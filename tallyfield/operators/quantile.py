@@ -21,7 +21,7 @@ _STEPS = 256
 
 def bucket(value: Column) -> Column:
     """A coarse, order-preserving bucket of a number."""
-    v = value.cast("double")
+    v = F.nullif(value.cast("double"), F.lit(float("nan")))
     return (F.signum(v) * F.floor(F.log2(F.abs(v) + 1.0) * _STEPS)).cast("int")
 
 

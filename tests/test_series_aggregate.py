@@ -152,3 +152,22 @@ def test_pareto_ends_at_hundred(spark):
 
 def test_empty_selection_means_all_states(spark, facts):
     assert e.filter_states(facts, []).count() == 6 and e.filter_states(facts, ["Assam"]).count() == 3
+
+
+def test_missing_keys_are_no_group(spark, facts):
+    from tallyfield.operators import aggregate as g
+
+    holes = facts.unionByName(facts.limit(2).selectExpr(
+        "CAST(NULL AS DATE) AS date", "CAST(NULL AS STRING) AS state", "CAST(NULL AS STRING) AS district",
+        *[c for c in facts.columns if c not in ("date", "state", "district")],
+    ))
+    for f in (g.monthly_total, g.weekly_total, g.state_total, g.district_total, g.monthly_part_totals, g.weekday_mean, g.month_name_total, g.quarter_total, g.state_part_totals):
+        assert sorted(map(str, f(holes).collect())) == sorted(map(str, f(facts).collect())), f.__name__
+
+
+def test_nan_is_missing_in_quantiles(spark):
+    from tallyfield.operators.quantile import bucket
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1.5,), (float("nan"),)], "value double")
+    assert [r.b is None for r in df.select(bucket(F.col("value")).alias("b")).collect()] == [False, True]
