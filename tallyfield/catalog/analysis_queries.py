@@ -195,7 +195,7 @@ def _(spark, sf):
     from ..functions.calendar import WEEKDAYS
 
     weekdays = g.total_by(
-        lines(spark, sf).where(F.weekday("date") < 5),
+        lines(spark, sf),
         [F.date_format("date", "EEEE").alias("day_name")], "total", "value",
     )
     return j.reindex(weekdays, "day_name", WEEKDAYS)

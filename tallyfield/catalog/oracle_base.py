@@ -98,7 +98,6 @@ CTES = {
     ),
     "states": f"SELECT state, {isum('total')} AS total FROM activity GROUP BY 1",
     "districts": f"SELECT state, district, {isum('total')} AS total FROM activity GROUP BY 1, 2",
-    "gappy": "SELECT * FROM activity WHERE month(date) NOT IN (3, 4)",
     "state_days": f"SELECT state, date, {isum('total')} AS value FROM activity GROUP BY 1, 2",
     "event_days": (
         "SELECT event_type AS state, CAST(ts AS DATE) AS date, "

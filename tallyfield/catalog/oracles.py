@@ -95,6 +95,14 @@ SQL.update({
     "read_clean": o("SELECT * FROM cleaned"),
     "materialize_if_absent": o("SELECT * FROM cleaned"),
     "raw_fallback_scan": o("SELECT * FROM raw_minimum"),
+    "raw_fallback_totals": o(" UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, CAST({key} AS VARCHAR) AS key, CAST(sum(total_enrollments) AS BIGINT) AS value "
+        f"FROM raw_minimum WHERE {column} IS NOT NULL GROUP BY 2"
+        for kind, key, column in (
+            ("month", "CAST(date_trunc('month', date) AS DATE)", "date"), ("week", "CAST(date_trunc('week', date) AS DATE)", "date"),
+            ("month name", "monthname(date)", "date"), ("state", "state", "state"),
+        )
+    )),
     "memoized_scan": o("SELECT * FROM states"),
     "write_report_csv": o("SELECT * FROM states"),
     "write_if_nonempty": o(
@@ -210,6 +218,17 @@ SQL.update({
         "min(value) AS min, round(quantile_cont(value, 0.25), 2) AS p25, round(quantile_cont(value, 0.5), 2) AS p50, "
         "round(quantile_cont(value, 0.75), 2) AS p75, max(value) AS max FROM long GROUP BY 1", "mean std p25 p50 p75",
     ),
+    "describe_fractions": o(
+        "SELECT 'value' AS measure, count(value) AS count, round(avg(value), 2) AS mean, round(stddev_samp(value), 2) AS std, "
+        "min(value) AS min, round(quantile_cont(value, 0.25), 2) AS p25, round(quantile_cont(value, 0.5), 2) AS p50, "
+        "round(quantile_cont(value, 0.75), 2) AS p75, max(value) AS max FROM events", "mean std min p25 p50 p75 max",
+    ),
+    "quantile_small_fractions": o(
+        "SELECT event_type, 'share' AS measure, " + ", ".join(
+            f"quantile_cont(value / 1e6, {p}) * 1e6 AS {n}" for n, p in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))
+        ) + " FROM events GROUP BY 1", "p10 p50 p90",
+    ),
+    "sample_rows": o("SELECT * FROM activity ORDER BY md5('42|' || CAST(date AS VARCHAR) || '|' || pincode), date, pincode LIMIT 5000"),
     "coverage_summary": o(
         "SELECT min(date) AS first_date, max(date) AS last_date, count(DISTINCT state) AS states, "
         "count(DISTINCT district) AS districts, count(DISTINCT pincode) AS pincodes, count(*) AS records, "
@@ -234,7 +253,7 @@ SQL.update({
 })
 
 # --- aggregation -------------------------------------------------------------
-_dow_totals = f"(SELECT isodow(date) - 1 AS d, {isum('total')} AS value FROM activity WHERE isodow(date) <> 3 GROUP BY 1)"
+_dow_totals = f"(SELECT isodow(date) - 1 AS d, {isum('total')} AS value FROM activity GROUP BY 1)"
 _leaf = "districts"
 _drill = f"(SELECT state, district, pincode, {isum('total')} AS total FROM activity WHERE state = 'NATION_7' GROUP BY 1, 2, 3)"
 _quants = ", ".join(f"quantile_cont({{0}}, {p}) AS q{int(p * 100)}" for p in (0.25, 0.75, 0.9, 0.95))
@@ -260,12 +279,12 @@ SQL.update({
     "resample_weekly": o(
         "SELECT CAST(w + INTERVAL 6 DAY AS DATE) AS date, CAST(coalesce(sum(total), 0) AS BIGINT) AS value FROM ("
         "SELECT unnest(generate_series(date_trunc('week', min(date)), date_trunc('week', max(date)), INTERVAL 7 DAY)) "
-        "AS w FROM gappy) LEFT JOIN gappy ON date_trunc('week', date) = w GROUP BY 1"
+        "AS w FROM activity) LEFT JOIN activity ON date_trunc('week', date) = w GROUP BY 1"
     ),
     "resample_monthly": o(
         "SELECT last_day(CAST(w AS DATE)) AS date, CAST(coalesce(sum(total), 0) AS BIGINT) AS value FROM ("
         "SELECT unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), INTERVAL 1 MONTH)) "
-        "AS w FROM gappy) LEFT JOIN gappy ON date_trunc('month', date) = w GROUP BY 1"
+        "AS w FROM activity) LEFT JOIN activity ON date_trunc('month', date) = w GROUP BY 1"
     ),
     "state_total": o("SELECT * FROM states"),
     "district_total": o("SELECT * FROM districts"),
@@ -292,7 +311,7 @@ SQL.update({
     "weekday_mean": o("SELECT dayname(date) AS day_name, avg(total) AS mean FROM activity GROUP BY 1", "mean"),
     "month_name_total": o(
         f"SELECT CAST(month(date) AS INTEGER) AS month, monthname(date) AS month_name, {isum('total')} AS value "
-        "FROM gappy GROUP BY 1, 2"
+        "FROM activity GROUP BY 1, 2"
     ),
     "quarter_total": o(
         "SELECT quarter, value, row_number() OVER (ORDER BY value DESC, quarter) = 1 AS is_best, "
@@ -466,7 +485,7 @@ SQL.update({
     ),
     "dimension_reindex": o(
         f"SELECT CAST(day_of_week AS INTEGER) AS position, day_name, value FROM {_DIM} LEFT JOIN (SELECT dayname(date) AS n, "
-        f"{isum('value')} AS value FROM daily WHERE isodow(date) < 6 GROUP BY 1) ON n = day_name"
+        f"{isum('value')} AS value FROM daily GROUP BY 1) ON n = day_name"
     ),
 })
 
@@ -765,6 +784,10 @@ SQL.update({
         "SELECT date, value, q AS threshold, CAST(value >= q AS INTEGER) AS is_surge FROM daily, "
         "(SELECT quantile_cont(value, 0.9) AS q FROM daily)", "threshold",
     ),
+    "random_split": o(
+        "SELECT date, row_number() OVER (ORDER BY md5('42|' || CAST(date AS VARCHAR)), date) > "
+        "ceil(count(*) OVER () * 0.2) AS is_train FROM surge"
+    ),
     "surge_features": o("SELECT * FROM surge", "threshold rolling_3_mean"),
     "classification_metrics": _metrics_sql(),
     "regression_metrics": o(

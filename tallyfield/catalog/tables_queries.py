@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar, numeric, text
 from ..operators import aggregate as g
 from ..operators import clean as c
 from ..operators import profile as p
+from ..operators import quantile
 from ..sources import files, tables
 from ..sources.scratch import scratch_path
 from .common import A, Registry, daily, districts, lines, records, states
@@ -58,6 +62,21 @@ def _(spark, sf):
     return files.raw_fallback_scan(spark, raw_shards(spark, sf))
 
 
+@add("raw_fallback_totals")
+def _(spark, sf):
+    """Rows without a readable date or a state are in no group."""
+    facts = files.raw_fallback_scan(spark, raw_shards(spark, sf))
+    found = [
+        (kind, df.select(F.col(key).cast("string").alias("key"), F.col(value).cast("bigint").alias("value")))
+        for kind, key, df, value in (
+            ("month", "month", g.monthly_total(facts), "value"), ("week", "week", g.weekly_total(facts), "value"),
+            ("month name", "month_name", g.month_name_total(facts), "value"),
+            ("state", "state", g.state_total(facts), "total_enrollments"),
+        )
+    ]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), "key", "value") for kind, df in found])
+
+
 @add("memoized_scan")
 def _(spark, sf):
     return g.state_total(files.memoized(lines(spark, sf, "state")), A)
@@ -292,6 +311,20 @@ def _(spark, sf):
     return p.shape_schema(records(spark, sf))
 
 
+@add("describe_fractions")
+def _(spark, sf):
+    return p.describe_numeric(tables.table(spark, sf, "events"), columns=["value"])
+
+
+@add("quantile_small_fractions")
+def _(spark, sf):
+    """Values below 0.002, scaled up again for rounding."""
+    shares = tables.table(spark, sf, "events").select("event_type", (F.col("value") / 1e6).alias("share"))
+    probs = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    found = quantile.exact_quantiles(shares, ["share"], probs, ["event_type"])
+    return found.withColumns({p: F.col(p) * 1e6 for p in probs})
+
+
 @add("describe_numeric")
 def _(spark, sf):
     return p.describe_numeric(records(spark, sf), A)
@@ -372,19 +405,14 @@ def _(spark, sf):
     return g.weekly_total(lines(spark, sf), A)
 
 
-def _gappy(spark, sf):
-    """The facts without March and April of any year, so that periods are missing."""
-    return lines(spark, sf).where(~F.month("date").isin(3, 4))
-
-
 @add("resample_weekly")
 def _(spark, sf):
-    return g.resample_weekly(_gappy(spark, sf), A)
+    return g.resample_weekly(lines(spark, sf), A)
 
 
 @add("resample_monthly")
 def _(spark, sf):
-    return g.resample_monthly(_gappy(spark, sf), A)
+    return g.resample_monthly(lines(spark, sf), A)
 
 
 @add("state_total")
@@ -419,12 +447,12 @@ def _(spark, sf):
 
 @add("weekday_total")
 def _(spark, sf):
-    return g.weekday_total(lines(spark, sf).where(F.weekday("date") != 2), A)
+    return g.weekday_total(lines(spark, sf), A)
 
 
 @add("weekday_total_filled")
 def _(spark, sf):
-    return g.weekday_total(lines(spark, sf).where(F.weekday("date") != 2), A, fill=0)
+    return g.weekday_total(lines(spark, sf), A, fill=0)
 
 
 @add("weekday_mean")
@@ -434,7 +462,7 @@ def _(spark, sf):
 
 @add("month_name_total")
 def _(spark, sf):
-    return g.month_name_total(_gappy(spark, sf), A)
+    return g.month_name_total(lines(spark, sf), A)
 
 
 @add("quarter_total")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+WHOLE, SQUARE = "decimal(19,0)", "decimal(38,0)"
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
@@ -49,16 +50,22 @@ def coerce_count(c: Column) -> Column:
     return F.coalesce(F.when(plain, c.try_cast("bigint")).otherwise(other), F.lit(0).cast("bigint"))
 
 
+def square(c: Column) -> Column:
+    """The exact square of a whole number; its sums have 38 digits."""
+    return (c.cast(WHOLE) * c.cast(WHOLE)).cast(SQUARE)
+
+
 def stddev_from_sums(n: Column, total: Column, squares: Column) -> Column:
     """Sample standard deviation from exact integer sums.
 
-    Integer sums do not depend on the order in which partial results meet, so
+    ``total`` is whole, ``squares`` a sum of ``square``. Integer sums do not depend on the order in which partial results meet, so
     a recomputed task yields bit for bit the same value; they also roll up
     from a finer grain. Null for fewer than two rows.
     """
-    wide = "decimal(38,0)"
-    spread = (n.cast("decimal(18,0)") * squares.cast("decimal(20,0)")).cast(wide) - (
-        total.cast("decimal(19,0)") * total.cast("decimal(19,0)")
-    ).cast(wide)
-    pairs = n.cast("double") * (n.cast("double") - 1.0)
-    return F.when(n > 1, F.sqrt(spread.cast("double") / pairs))
+    count = F.nullif(n, F.lit(0))
+    middle = F.call_function("div", total, count)
+    rest = (total - middle * count).cast("double")
+    # around the whole number next to the mean nothing grows beyond the squares themselves
+    around = squares - (middle.cast(WHOLE) * (total + total - middle * count).cast(WHOLE)).cast(SQUARE)
+    spread = around.cast("double") - rest * rest / count.cast("double")
+    return F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (count.cast("double") - 1.0)))

@@ -29,7 +29,7 @@ def day_cube(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
     t = F.col(spec.total)
     return df.groupBy(spec.date, spec.state, spec.district).agg(
         *[F.sum(c).alias(c) for c in spec.measures],
-        F.count("*").alias("records"), F.sum(t * t).alias("squares"),
+        F.count("*").alias("records"), F.sum(numeric.square(t)).alias("squares"),
     )
 
 
@@ -231,7 +231,7 @@ def district_volatility(
     """
     t = F.col(spec.total)
     from_cube = {"records", "squares"} <= set(df.columns)
-    squares = F.sum("squares") if from_cube else F.sum(t * t)
+    squares = F.sum("squares") if from_cube else F.sum(numeric.square(t))
     count = F.sum("records") if from_cube else F.count(t)
     named = [F.sum(t).alias("total"), squares.alias("squares"), count.alias("records")]
     pins = None if pincodes is None else drop_numeric_names(pincodes, spec)
@@ -251,7 +251,7 @@ def district_lifespan(df: DataFrame, spec: FactSpec = DEFAULT, min_days: int = 7
     """First and last day, total and children's share of districts with history."""
     first = spec.parts[0]
     return (
-        df.groupBy(*spec.geo_keys("district"))
+        present(df, *spec.geo_keys("district")).groupBy(*spec.geo_keys("district"))
         .agg(
             F.sum(spec.total).alias("total"), F.sum(first).alias("children"),
             F.min(spec.date).alias("start"), F.max(spec.date).alias("end"),
@@ -277,7 +277,7 @@ def daily_with_calendar(
     d = F.col("date")
     cal = calendar.calendar_columns(d)
     return (
-        df.groupBy(F.col(spec.date).alias("date"))
+        present(df, spec.date).groupBy(F.col(spec.date).alias("date"))
         .agg(*[F.sum(c).alias(c) for c in columns])
         .withColumns({
             **{k: cal[k] for k in ("day_of_week", "month", "quarter")},
@@ -307,7 +307,7 @@ def peak_cell(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
     """The weekday and month with the largest sum."""
     d = F.col(spec.date)
     cells = total_by(
-        df, [calendar.day_of_week(d).alias("day_of_week"), F.month(d).alias("month")],
+        present(df, spec.date), [calendar.day_of_week(d).alias("day_of_week"), F.month(d).alias("month")],
         spec.total, "value",
     )
     return cells.orderBy(F.desc("value"), "day_of_week", "month").limit(1)
@@ -318,7 +318,7 @@ def pivot_state_month(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10) -> D
 
     Built from one grouped pass: the row total picks the states.
     """
-    cells = total_by(df, [spec.state, F.month(spec.date).alias("_m")], spec.total, "v")
+    cells = total_by(present(df, spec.state, spec.date), [spec.state, F.month(spec.date).alias("_m")], spec.total, "v")
     months = list(range(1, 13))
     wide = cells.groupBy(spec.state).pivot("_m", months).agg(F.sum("v"))
     row_total = sum((F.coalesce(F.col(str(m)), F.lit(0)) for m in months[1:]),

@@ -17,7 +17,7 @@ from ..sources.scratch import pinned
 from ..spec import DEFAULT, FactSpec
 from .aggregate import daily_with_calendar, district_volatility
 from .clean import label_encode
-from .rows import present
+from .rows import present, seeded_hash
 from .series import cap_at_quantile, lag_features, max_column, minmax_column, ordered, strict_mean, whole
 
 DEMAND_FEATURES = (
@@ -79,7 +79,7 @@ def random_split(
 
     The hash depends on the row alone, so repartitioning changes nothing.
     """
-    position = F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed), key), key))
+    position = F.row_number().over(W.orderBy(seeded_hash(seed, key), key))
     size = F.ceil(F.count("*").over(whole()) * test_fraction)
     return features.withColumn("is_train", position > size)
 

@@ -6,12 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.numeric import stddev_from_sums
+from ..functions.numeric import SQUARE, square, stddev_from_sums
 from ..sources.scratch import pinned
 from ..spec import DEFAULT, FactSpec
 from .joins import attach
 from .quantile import cumulate, histogram, quantile_columns
+from .rows import seeded_hash
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -62,17 +64,25 @@ def describe_numeric(
 ) -> DataFrame:
     """count, mean, std, min, quartiles and max per measure, to 2 decimals.
 
-    One scan feeds a value histogram; every statistic follows from it.
+    One scan feeds a value histogram; every statistic follows from it. The deviation of
+    whole numbers comes from exact sums, that of fractions from distances to the mean.
     """
+    ranked = _ranked(df, columns or spec.measures, ())
     v, rows = F.col("value"), F.col("rows")
-    n, total, squares = F.sum(rows), F.sum(v * rows), F.sum(v * v * rows)
+    n, total = F.sum(rows), F.sum(v * rows)
+    if isinstance(ranked.schema["value"].dataType, T.IntegralType):
+        deviation = stddev_from_sums(n, total, F.sum((square(v) * rows).cast(SQUARE)))
+    else:
+        means = ranked.groupBy("measure").agg((total / n).cast("double").alias("centre"))
+        ranked = ranked.join(means, "measure")
+        apart = v.cast("double") - F.col("centre")
+        deviation = F.when(n > 1, F.sqrt(F.sum(apart * apart * rows) / (n - 1)))
     return (
-        _ranked(df, columns or spec.measures, ())
-        .groupBy("measure")
+        ranked.groupBy("measure")
         .agg(
             n.alias("count"),
             F.round(total / n, 2).alias("mean"),
-            F.round(stddev_from_sums(n, total, squares), 2).alias("std"),
+            F.round(deviation, 2).alias("std"),
             F.min(v).alias("min"),
             *quantile_columns(QUARTILES),
             F.max(v).alias("max"),
@@ -222,9 +232,9 @@ def pairwise_correlation(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
     return correlation_matrix(df, spec, spec.parts, lower_triangle=True)
 
 
-def sample_rows(df: DataFrame, keys: Sequence[str], n: int = 5000, seed: int = 42) -> DataFrame:
+def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """A fixed random sample of ``n`` rows: the least hashes of the key columns."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    return df.orderBy(seeded_hash(seed, *keys), *keys).limit(n)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Exact order statistics that never sort a whole table in one task.
 
 The rows are first reduced to (value, number of rows) pairs. Values fall into
-buckets whose width grows with the value, a few tens of thousands at most, so
-running counts need only two bounded sorts: one over the bucket totals, one
-inside every bucket.
+buckets of equal relative width, 256 to each doubling; a bucket crowded with
+distinct values is cut into parts of equal width between its own least and
+largest value. So running counts need only two bounded sorts: one over the part
+totals, one inside every part.
 """
 
 from __future__ import annotations
@@ -17,12 +18,26 @@ from pyspark.sql import functions as F
 from .rows import present
 
 _STEPS = 256
+#: Above the exponents of all doubles, so that bucket numbers of positive values are positive.
+_OFFSET = 1100 * _STEPS
+#: Distinct values that a part of a bucket holds on average.
+CROWD = 4096
 
 
 def bucket(value: Column) -> Column:
-    """A coarse, order-preserving bucket of a number."""
+    """A coarse, order-preserving bucket of a number, whatever its magnitude; NaN counts as missing."""
     v = F.nullif(value.cast("double"), F.lit(float("nan")))
-    return (F.signum(v) * F.floor(F.log2(F.abs(v) + 1.0) * _STEPS)).cast("int")
+    size = F.floor(F.least(F.log2(F.abs(v)), F.lit(1024.0)) * _STEPS) + _OFFSET
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * size).cast("int")
+
+
+def part(value: Column, low: Column, high: Column, values: Column) -> Column:
+    """The order-preserving part of a bucket of so many distinct values between ``low`` and ``high``."""
+    parts = F.ceil(values / CROWD)
+    v, a, b = (c.cast("double") for c in (value, low, high))
+    return F.when(parts <= 1, F.lit(0)).otherwise(
+        F.least(F.floor(F.coalesce(F.try_divide(v - a, b - a), F.lit(0.0)) * parts), parts - 1)
+    ).cast("int")
 
 
 def bucketed(counts: DataFrame, by: Sequence[str] = (), value: str = "value") -> DataFrame:
@@ -56,22 +71,28 @@ def histogram(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) ->
 def cumulate(hist: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """Add ``upto`` (rows at or below the value) and ``n`` (rows of the group)."""
     group = W.partitionBy(*by)
-    running = group.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    running = group.orderBy("bucket", "part").rowsBetween(W.unboundedPreceding, -1)
     whole = group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    crowds = hist.groupBy(*by, "bucket").agg(
+        F.count("*").alias("_values"), F.min(value).alias("_low"), F.max(value).alias("_high")
+    )
+    hist = hist.join(crowds, [*by, "bucket"]).withColumn(
+        "part", part(F.col(value), F.col("_low"), F.col("_high"), F.col("_values"))
+    ).drop("_low", "_high", "_values")
     coarse = (
-        hist.groupBy(*by, "bucket")
+        hist.groupBy(*by, "bucket", "part")
         .agg(F.sum("rows").alias("in_bucket"))
         .select(
-            *by, "bucket",
+            *by, "bucket", "part",
             F.coalesce(F.sum("in_bucket").over(running), F.lit(0)).alias("before"),
             F.sum("in_bucket").over(whole).alias("n"),
         )
     )
-    inside = W.partitionBy(*by, "bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*by, "bucket", "part").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     return (
-        hist.join(coarse, [*by, "bucket"])
+        hist.join(coarse, [*by, "bucket", "part"])
         .withColumn("upto", F.col("before") + F.sum("rows").over(inside))
-        .drop("before", "bucket")
+        .drop("before", "bucket", "part")
     )
 
 

@@ -113,3 +113,11 @@ def test_union_shards_fills_missing_columns(spark):
     a, b = spark.range(1).selectExpr("id AS x", "id AS y"), spark.range(2).selectExpr("id AS y")
     got = files.union_shards(a, b)
     assert got.columns == ["x", "y"] and got.where("x IS NULL").count() == 2
+
+
+def test_deviation_of_large_numbers_and_fractions(spark):
+    big = spark.createDataFrame([(4_000_000_000,), (4_000_000_002,), (4_000_000_004,)], "v bigint")
+    r = p.describe_numeric(big, columns=["v"]).first()
+    assert (r["count"], r["mean"], r["std"]) == (3, 4_000_000_002.0, 2.0)
+    small = spark.createDataFrame([(0.5,), (1.5,)], "v double")
+    assert p.describe_numeric(small, columns=["v"]).first()["std"] == 0.71

@@ -51,3 +51,34 @@ def test_average_rank_matches_pandas(spark):
     want = pd.Series(values).rank(pct=True) * 100
     assert got[:-1] == pytest.approx(list(want[:-1]))
     assert got[-1] is None
+
+
+def test_crowded_buckets_are_cut_evenly(spark):
+    """Values of one magnitude, small fractions as well as times, spread over many parts."""
+    from pyspark.sql import functions as F
+
+    from tallyfield.operators import quantile
+
+    for base in (0.0, 1.7e9):
+        step = 1e-8 if base == 0.0 else 1.0
+        df = spark.range(60_000).select((F.col("id") * step + base).alias("v"))
+        hist = quantile.histogram(df, ["v"])
+        crowds = hist.groupBy("bucket").agg(F.count("*").alias("n"), F.min("value").alias("a"), F.max("value").alias("b"))
+        parts = hist.join(crowds, "bucket").groupBy(
+            "bucket", quantile.part(F.col("value"), F.col("a"), F.col("b"), F.col("n")).alias("part")
+        ).count()
+        assert parts.agg(F.max("count")).first()[0] <= 2 * quantile.CROWD
+        got = quantile.exact_quantiles(df, ["v"], {"p50": 0.5}).first().p50
+        assert abs(got - (29_999.5 * step + base)) <= 1e-9 * max(1.0, base)
+
+
+def test_buckets_keep_the_order_of_any_magnitude(spark):
+    from pyspark.sql import functions as F
+
+    from tallyfield.operators.quantile import bucket
+
+    values = sorted([0.0, 5e-324, 1e-300, 0.001, 0.0015, 0.5, 1.0, 1.5, 2.0, 3e9, 1e300, float("inf")])
+    values = [-v for v in values[:0:-1]] + values
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", bucket(F.col("v")).alias("b")).collect()
+    found = [r.b for r in sorted(rows, key=lambda r: r.v)]
+    assert found == sorted(found) and None not in found

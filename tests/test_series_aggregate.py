@@ -171,3 +171,23 @@ def test_nan_is_missing_in_quantiles(spark):
 
     df = spark.createDataFrame([(1.5,), (float("nan"),)], "value double")
     assert [r.b is None for r in df.select(bucket(F.col("value")).alias("b")).collect()] == [False, True]
+
+
+def test_day_cube_holds_large_counts(spark, facts):
+    from tallyfield.spec import DEFAULT as D
+    from pyspark.sql import functions as F
+
+    large = facts.withColumn(D.total, F.lit(4_000_000_000).cast("bigint"))
+    assert g.day_cube(large).agg(F.sum("squares")).first()[0] == 16 * 10**18 * facts.count()
+    row = g.district_volatility(large).where("daily_std IS NOT NULL").first()
+    assert row is None or row.daily_std == 0.0
+
+
+def test_demand_features_ignore_rows_without_a_date(spark):
+    from tallyfield.operators import learn
+    from tallyfield.spec import DEFAULT as D
+    from pyspark.sql import functions as F
+
+    days = spark.range(40).select(F.date_add(F.lit("2025-01-01").cast("date"), F.col("id").cast("int")).alias(D.date), F.col("id").alias(D.total))
+    holes = days.unionByName(spark.range(1).select(F.lit(None).cast("date").alias(D.date), F.lit(9).cast("bigint").alias(D.total)))
+    assert learn.demand_features(holes).collect() == learn.demand_features(days).collect()
