@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe
-from .decontaminate import op2_decontaminate
+from .decontaminate import OP2_SQL, op2_decontaminate
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .pii import op8_pii
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op7_quality_rules
 from .sharding import op3_sharding
 from .simhash import op5_simhash
-from .substring_dedup import op4_substring_dedup
+from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .suffix_array import op6_suffix_array
 
 QUERIES = {
@@ -21,4 +21,4 @@ QUERIES = {
     )
 }
 
-SQL = {"op9_line_dedup": OP9_SQL}
+SQL = {"op2_decontaminate": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL}

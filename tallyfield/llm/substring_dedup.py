@@ -205,3 +205,25 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+OP4_SQL = r"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, sha256(array_to_string(w[i : i + 49], ' ')) AS s
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs)
+), judged AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM windows) WHERE first < doc_id
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM judged
+), words AS (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM docs
+), marked AS (
+    SELECT words.doc_id, word, words.pos, gone.pos IS NOT NULL AS lost FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.pos = gone.pos
+), left_over AS (
+    SELECT doc_id, count(*) FILTER (WHERE lost) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT lost) AS kept FROM marked GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN left_over USING (doc_id)
+"""
