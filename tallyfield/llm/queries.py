@@ -11,7 +11,7 @@ from .quality_rules import op7_quality_rules
 from .sharding import op3_sharding
 from .simhash import op5_simhash
 from .substring_dedup import OP4_SQL, op4_substring_dedup
-from .suffix_array import op6_suffix_array
+from .suffix_array import OP6_SQL, op6_suffix_array
 
 QUERIES = {
     f.__name__: f
@@ -21,4 +21,6 @@ QUERIES = {
     )
 }
 
-SQL = {"op2_decontaminate": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL}
+SQL = {
+    "op2_decontaminate": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op6_suffix_array": OP6_SQL, "op9_line_dedup": OP9_SQL,
+}
