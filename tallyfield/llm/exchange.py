@@ -89,16 +89,6 @@ def ask_again(chunked: DataFrame, answers: DataFrame, keys: Callable[[pa.Table,
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, ASKED)
 
 
-def ask_from_answers(answers: DataFrame, keys: Callable[[dict[int, bytes], int], Iterator[tuple[int, bytes]]]) -> DataFrame:
-    """As ``ask_again`` for a question that answers and the chunk's own note are enough for."""
-
-    def run(told: pa.Table) -> pa.Table:
-        chunk = told.column("chunk")[0].as_py()
-        return _packed(chunk, keys(_by_part(told), -1 - chunk))
-
-    return answers.groupBy("chunk").applyInArrow(run, ASKED)
-
-
 def answer(asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """``reply`` gets what all chunks sent to a part, and gives one answer for each. A chunk's note to itself comes back as it is."""
 

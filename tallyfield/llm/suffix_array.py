@@ -303,24 +303,36 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         suffix = np.flatnonzero(need)
         return suffix, np.unique(np.concatenate((suffix, suffix + TRIPLE)))
 
+    def triples_of(texts: Texts, at: np.ndarray):
+        """Sampled suffixes, positions of triples, their distinct triples in order, each position's place among these."""
+        suffix, triple = sampled(at)
+        rank, number, _, _ = distinct([texts.letters(triple + LETTER * k) for k in range(3)])
+        return suffix, triple, rank, number
+
     def ask_triples(rows: pa.Table, told: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         texts = Texts(rows)
         lost = np.unpackbits(thaw(told[exchange.note(rows)])[0].astype(np.uint8), count=len(texts.raw)).astype(bool)
         at = windows(texts, lost, told)
-        suffix, triple = sampled(at)
-        columns = [texts.letters(triple + LETTER * k) for k in range(3)]
-        rank, number, _, _ = distinct(columns)
-        pair = (number[np.searchsorted(triple, suffix)], number[np.searchsorted(triple, suffix + TRIPLE)])
-        yield exchange.note(rows), freeze(np.packbits(lost), np.diff(at, prepend=0).astype(_U), *(p.astype(_U) for p in pair))
+        yield exchange.note(rows), freeze(np.packbits(lost), np.diff(at, prepend=0).astype(_U))
+        _, _, rank, _ = triples_of(texts, at)
         yield from _by_parts(rank, np.searchsorted(split, rank[0], "right"))
 
-    def ask_pairs(told: dict[int, bytes], note: int) -> Iterator[tuple[int, bytes]]:
-        lost, at, first, second = thaw(told[note])
+    def ask_pairs(rows: pa.Table, told: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
+        lost, step = thaw(told[exchange.note(rows)])
+        # sorting the triples again is cheaper than sending each suffix's two places among them
+        suffix, triple, _, number = triples_of(Texts(rows), np.cumsum(step.astype(np.int64)))
         name = _names_back(told)
-        columns, number, _, _ = distinct([name[first.astype(np.int64)], name[second.astype(np.int64)]])
-        yield note, freeze(lost, at, number.astype(_U))
+        columns, number, _, _ = distinct([name[number[np.searchsorted(triple, suffix + ahead)]] for ahead in (0, TRIPLE)])
+        yield exchange.note(rows), freeze(lost, step, number.astype(_U))
         yield from _by_parts([columns[0] & _U(0xFFFFFFFF), columns[1]], (columns[0] >> _U(32)).astype(np.int64))
 
+    def place_of(texts: Texts, p: np.ndarray, number: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a chunk's distinct windows, numbered as they come: part, order in which they are sent, smallest document."""
+        part = np.searchsorted(split, texts.letters(p[first]), "right")
+        low = np.full(len(first), LAST)
+        np.minimum.at(low, number, texts.doc(p))
+        return part, np.argsort(part, kind="stable"), low
+
     def ask_windows(rows: pa.Table, told: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         texts = Texts(rows)
         lost, step, number = thaw(told[exchange.note(rows)])
@@ -337,7 +349,6 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         kinds, order_of = [], []
         for kind in range(3):
             p = at[at % 3 == kind]
-            part = np.searchsorted(split, texts.letters(p), "right").astype(_U)
             tail = (byte(p + 48) << _U(8)) | byte(p + 49)
             if kind == 0:
                 columns = [byte(p), rank(p + 1), byte(p + 49), byte(p + 1), rank(p + 2)]
@@ -345,13 +356,15 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 columns = [rank(p) & _U(0xFFFFFFFF), tail, byte(p), rank(p + 1), byte(p + 49)]
             else:
                 columns = [rank(p) & _U(0xFFFFFFFF), tail, byte(p), byte(p + 1), rank(p + 2)]
-            rows_, which, order, group = distinct([part, *columns])
-            doc = texts.doc(p)
-            low = np.minimum.reduceat(doc[order], group) if len(group) else doc
-            kinds.append((rows_[0].astype(np.int64), [*rows_[1:], low.astype(_U)]))
-            order_of += [which.astype(_U), low.astype(_U)]
+            _, number, order, group = distinct(columns)
+            first = np.sort(order[group])  # the sort is stable: where each distinct window comes first
+            number = np.argsort(np.argsort(order[group]))[number]  # distinct windows in that order
+            part, place, low = place_of(texts, p, number, first)
+            kinds.append((part[place], [*(c[first[place]] for c in columns), low[place].astype(_U)]))
+            turn = np.diff(number, prepend=0)
+            order_of.append(np.where(turn < 0, -2 * turn - 1, 2 * turn).astype(_U))
         counts = [np.bincount(k[0], minlength=1 << bits) for k in kinds]
-        yield exchange.note(rows), freeze(lost, step, *order_of, *(c.astype(_U) for c in counts))
+        yield exchange.note(rows), freeze(lost, step, *order_of)
         edges = [np.concatenate(([0], np.cumsum(c))) for c in counts]
         for part in np.flatnonzero(sum(counts)).tolist():
             yield part, freeze(*(c[e[part] : e[part + 1]] for e, (_, columns) in zip(edges, kinds) for c in columns))
@@ -364,9 +377,13 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         started = np.unpackbits(bits_lost.astype(np.uint8), count=len(texts.raw)).astype(bool)  # windows of lost pieces
         for kind in range(3):
             p = at[at % 3 == kind]
-            which, low = rest[2 * kind].astype(np.int64), rest[2 * kind + 1].astype(np.int64)
-            smaller = np.concatenate([np.zeros(0, _U), *(r[kind] for r in replies)]).astype(bool)
-            started[p[smaller[which] | (texts.doc(p) > low[which])]] = True
+            turn = rest[kind].astype(np.int64)
+            number = np.cumsum(np.where(turn & 1, -(turn + 1) // 2, turn // 2))
+            first = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1) > 0)
+            _, place, low = place_of(texts, p, number, first)
+            smaller = np.zeros(len(first), bool)
+            smaller[place] = np.concatenate([np.zeros(0, _U), *(r[kind] for r in replies)]).astype(bool)
+            started[p[smaller[number] | (texts.doc(p) > low[number])]] = True
         so_far = np.concatenate((np.zeros(length, np.int64), np.cumsum(started)))
         lost = so_far[length:] > so_far[:-length]
         removed, spans, left = [], [], []
@@ -383,7 +400,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     first = exchange.answer(exchange.ask(chunked, ask_pieces), find_smaller)
     anchors = exchange.answer(exchange.ask_again(chunked, first, ask_anchors), find_anchors)
     triples = exchange.answer(exchange.ask_again(chunked, anchors, ask_triples), _name)
-    pairs = exchange.answer(exchange.ask_from_answers(triples, ask_pairs), _name)
+    pairs = exchange.answer(exchange.ask_again(chunked, triples, ask_pairs), _name)
     merged = exchange.answer(exchange.ask_again(chunked, pairs, ask_windows), _merge)
     return exchange.read_answers(chunked, merged, kept, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
