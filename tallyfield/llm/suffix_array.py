@@ -11,7 +11,7 @@ The order is cut off at the repeat length, so two levels of recursion are enough
 Sorting happens in range partitions of the first eight bytes. Two exact steps keep
 suffixes out that cannot matter. Texts are cut where their content says so; of equal
 pieces only that of the smallest document is sorted, as all windows of the others start
-there, too. And a window enters only if its smallest 26-byte hash, by which equal
+there, too. And a window enters only if its smallest 34-byte hash, by which equal
 windows agree, stands in two documents.
 """
 
@@ -31,9 +31,9 @@ from .substring_dedup import _cuts, find_anchors, find_smaller
 
 LENGTH = 50
 LETTER, TRIPLE = 8, 24
-KMER = 26
+KMER = 34
 #: Mean length of a content-defined piece.
-PIECE = 128
+PIECE = 64
 CHUNK_BYTES = 8 << 20
 #: Sampled eight-byte strings from which the range partitions are balanced; results do not depend on them.
 SPLIT_SAMPLE = 20_000
@@ -356,9 +356,13 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 columns = [rank(p) & _U(0xFFFFFFFF), tail, byte(p), rank(p + 1), byte(p + 49)]
             else:
                 columns = [rank(p) & _U(0xFFFFFFFF), tail, byte(p), byte(p + 1), rank(p + 2)]
-            _, number, order, group = distinct(columns)
-            first = np.sort(order[group])  # the sort is stable: where each distinct window comes first
-            number = np.argsort(np.argsort(order[group]))[number]  # distinct windows in that order
+            # 48 bytes by rank and the other two are the whole window
+            whole = [rank(p + 1), (byte(p) << _U(8)) | byte(p + 49)] if kind == 0 else [rank(p), tail]
+            _, number, order, group = distinct(whole)
+            first, turn = order[group], np.empty(len(group), np.int64)  # the sort is stable: where each distinct window comes first
+            come = np.argsort(first)
+            turn[come] = np.arange(len(first))
+            first, number = first[come], turn[number]
             part, place, low = place_of(texts, p, number, first)
             kinds.append((part[place], [*(c[first[place]] for c in columns), low[place].astype(_U)]))
             turn = np.diff(number, prepend=0)
