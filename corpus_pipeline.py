@@ -29,8 +29,8 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """One document, the smallest id, of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
+    return simhash.keep_unlike(docs)
 
 
 def unseen_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

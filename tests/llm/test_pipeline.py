@@ -1,13 +1,14 @@
 """The corpus pipeline, stage by stage, and the registered queries' SQL."""
 
 import os
+import random
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from tallyfield.llm import bpe, decontaminate, queries
+from tallyfield.llm import bpe, decontaminate, queries, simhash
 from tests.compare import differences, duck_rows, spark_rows
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -38,3 +39,39 @@ def test_stages(spark):
     texts = {r.doc_id: r.text for r in seen[4].collect()}
     assert all(r.ids == tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids for r in seen[5].collect())
     assert {tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens").collect()} == {(r.doc_id, r.n_tokens) for r in seen[5].collect()}
+
+
+def copy_at(rng, words, similarity):
+    """The words with single ones changed until the five-word Jaccard similarity is just not below the given one."""
+    out, places = words, list(range(len(words)))
+    rng.shuffle(places)
+    for at in places:
+        tried = out[:at] + [f"new{rng.randrange(10**9)}"] + out[at + 1 :]
+        if jaccard(words, tried) >= similarity:
+            out = tried
+    return out
+
+
+def jaccard(a, b):
+    a, b = ({tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("compared", [simhash.COMPARED, 3])
+def test_near_copies_stage_against_brute_force(spark, compared, monkeypatch):
+    monkeypatch.setattr(simhash, "COMPARED", compared)
+    rng = random.Random(8)
+    texts = []
+    for similarity in [0.8, 0.85, 0.9, 0.7] * 12:
+        first = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(40, 300))]
+        texts += [first, copy_at(rng, first, similarity)]
+    texts += [copy_at(rng, texts[-2], 0.9) for _ in range(9)]
+    texts += [[], ["one"], ["one"], ["two"], []]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and (texts[i] == texts[j] or jaccard(texts[i], texts[j]) >= 0.8):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    rows = [(i, " ".join(t), "k") for i, t in enumerate(texts)] + [(2, " ".join(texts[2]), "k"), (None, "no id", "k"), (None, "nor this", "k")]
+    got = corpus_pipeline.unlike_documents(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), SF)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[i] for i in set(group)] + rows[-2:], key=str)
