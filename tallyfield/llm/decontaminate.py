@@ -15,10 +15,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, table, text_key
+from ..sources.scratch import pinned
+from .common import LAST, batches, table, text_key
 
 WINDOW = 10
 #: Words of test items in one automaton; more items go into further automata.
@@ -165,7 +167,23 @@ class SuffixAutomaton:
         return out
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, most_words: int = AUTOMATON_WORDS) -> list[SuffixAutomaton]:
+class Automata:
+    """Automata of one shard of items each; each is built when the iteration comes to it, and not kept."""
+
+    def __init__(self, rows: DataFrame, n: int, window: int):
+        self.rows, self.n, self.window = rows, n, window
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[SuffixAutomaton]:
+        shard = F.pmod(F.xxhash64("item", "body"), F.lit(self.n))
+        for k in range(self.n):
+            items = self.rows.where(shard == k).sort("item", "body").toLocalIterator()
+            yield SuffixAutomaton([(r.item, words_of(bytes(r.body))) for r in items], self.window)
+
+
+def automata(benchmark: DataFrame, window: int = WINDOW, most_words: int = AUTOMATON_WORDS) -> Automata:
     """Automata of at most about ``most_words`` words each, over all items.
 
     The items' size is counted first and decides the number of automata, so what is
@@ -177,17 +195,10 @@ def automata(benchmark: DataFrame, window: int = WINDOW, most_words: int = AUTOM
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"),
     )
     size = rows.agg(F.sum(F.length("body").cast("bigint"))).first()[0] or 0
-    n = 1 + size // (6 * most_words)
-    shard = F.pmod(F.xxhash64("item", "body"), F.lit(n))
-    return [
-        SuffixAutomaton([(r.item, words_of(bytes(r.body))) for r in rows.where(shard == k).sort("item", "body").toLocalIterator()], window)
-        for k in range(n)
-    ]
-
+    return Automata(rows, 1 + size // (6 * most_words), window)
 
-def _scan_with(spark: SparkSession, docs: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
-    sent = spark.sparkContext.broadcast(automaton)
 
+def _scan_with(docs: DataFrame, sent: Broadcast) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = sent.value
         for batch in batches(rows, 1 << 20):
@@ -228,14 +239,23 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     Null and empty texts have no words and no hits; repeated rows give repeated rows;
     an empty benchmark hits nothing.
     """
-    spark = docs.sparkSession
-    parts = [_scan_with(spark, docs, a) for a in automata(benchmark, window)]
-    if len(parts) == 1:
-        return parts[0]
+    return _scan(docs, automata(benchmark, window))
+
+
+def _scan(docs: DataFrame, parts: Automata) -> DataFrame:
+    """Findings of all automata on the texts as they are; of several, each one's are written before the next is built."""
+    union = None
+    for k, automaton in enumerate(parts):
+        sent = docs.sparkSession.sparkContext.broadcast(automaton)
+        del automaton
+        found = _scan_with(docs, sent)
+        if len(parts) == 1:
+            return found
+        found = found.where(F.size("runs") > 0) if k else found  # the first has all rows
+        found = pinned(found.withColumn("part", F.lit(k)), "benchmark-hits")
+        sent.destroy()
+        union = found if union is None else union.unionByName(found)
     # equal rows give equal findings, so each (doc_id, key) is merged once and repeated rows are counted
-    union = parts[0].withColumn("part", F.lit(0))
-    for k, part in enumerate(parts[1:], 1):
-        union = union.unionByName(part.withColumn("part", F.lit(k)))
     once = union.groupBy("doc_id", "key", "part", "n_words", "runs", "items").agg(F.count("*").alias("copies"))
     merged = once.groupBy("doc_id", "key").agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"),
@@ -266,31 +286,44 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     document goes if more than ``max_coverage`` of its words are hit. Other columns
     stay as they are, and documents without hits are unchanged, null texts included.
     """
-    spark, names = docs.sparkSession, docs.columns
+    names, parts = docs.columns, automata(benchmark, window)
     kinds = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
-    out = docs
-    for automaton in automata(benchmark, window):
-        out = _cut(spark, out, names, kinds, automaton, max_coverage)
-    return out
+    if len(parts) == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(next(iter(parts)))
+
+        def found_in(batch: pa.RecordBatch, bodies: list[bytes]) -> list[tuple[int, list[int]]]:
+            return [(n, [x for r in runs for x in r]) for n, runs, _ in sent.value.scan(bodies)]
+
+        return docs.mapInArrow(_cut(found_in, names, max_coverage), kinds)
+    # hits of all automata are found on the whole texts, so what is cut does not depend on how items are dealt
+    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("_llm_doc")
+    hits = _scan(docs, parts).where(F.size("runs") > 0).select(
+        doc, F.col("key").alias("_llm_key"), F.col("n_words").alias("_llm_words"), F.col("runs").alias("_llm_runs")
+    ).dropDuplicates(["_llm_doc", "_llm_key"])
+    joined = docs.withColumns({"_llm_doc": doc, "_llm_key": text_key(F.col("text"))}).join(hits, ["_llm_doc", "_llm_key"], "left")
+
+    def joined_to(batch: pa.RecordBatch, bodies: list[bytes]) -> list[tuple[int, list[int]]]:
+        return [(n or 0, runs or []) for n, runs in zip(batch.column("_llm_words").to_pylist(), batch.column("_llm_runs").to_pylist(), strict=True)]
+
+    return joined.select(*[F.col(f"`{n}`") for n in names], "_llm_words", "_llm_runs").mapInArrow(_cut(joined_to, names, max_coverage), kinds)
 
 
-def _cut(spark, docs: DataFrame, names: list[str], kinds: str, automaton: SuffixAutomaton, max_coverage: float) -> DataFrame:
-    sent = spark.sparkContext.broadcast(automaton)
+def _cut(found_in, names: list[str], max_coverage: float):
+    """Batches without the words that ``found_in(batch, bodies)`` gives as (n_words, runs), and without documents that are hit too much."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             bodies = batch.column("text").cast(pa.binary()).to_pylist()
-            found = sent.value.scan([b or b"" for b in bodies])
             keep, new = [], []
-            for body, (n, runs, _) in zip(bodies, found, strict=True):
-                hit = sum(e - s for s, e in runs)
+            for body, (n, runs) in zip(bodies, found_in(batch, [b or b"" for b in bodies]), strict=True):
+                hit = sum(runs[1::2]) - sum(runs[::2])
                 keep.append(hit <= max_coverage * n)
-                new.append(without_runs(body, [x for r in runs for x in r]) if hit else body)
-            at = names.index("text")
-            out = batch.set_column(at, "text", pa.array(new, pa.binary()).cast(pa.string()))
+                new.append(without_runs(body, runs) if hit else body)
+            cut = pa.array(new, pa.binary()).cast(pa.string())
+            out = pa.RecordBatch.from_arrays([cut if n == "text" else batch.column(n) for n in names], names=names)
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, kinds)
+    return run
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,23 @@ def test_decontamination(spark, docs, rows, none, automaton_words, monkeypatch):
     assert decontaminate.scan(none, bench).count() == 0 and decontaminate.scan(docs, bench.limit(0)).where("size(items) > 0").count() == 0
 
 
+@pytest.mark.parametrize("automaton_words", [1_000_000, 1])
+def test_cutting_does_not_depend_on_the_number_of_automata(spark, automaton_words, monkeypatch):
+    automata, word = decontaminate.automata, lambda a, b, p="w": " ".join(f"{p}{i}" for i in range(a, b))
+    monkeypatch.setattr(decontaminate, "automata", lambda b, w=10: automata(b, w, automaton_words))
+    items = [("a", word(1, 11)), ("b", word(6, 16)), ("c", word(0, 40, "c")), ("d", word(0, 30, "d")), ("e", "left " + word(0, 9, "r"))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    texts = [
+        word(0, 40), word(0, 40, "c") + " " + word(0, 30, "d") + " " + word(0, 30, "x"), None,
+        word(0, 30, "y") + " left " + word(1, 11) + " " + word(0, 9, "r"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[0])], "doc_id bigint, text string")
+    cut = "w0  " + word(16, 40)
+    got = decontaminate.decontaminate(docs, bench).collect()
+    assert len(decontaminate.automata(bench)) == (1 if automaton_words > 1 else 1 + sum(len(t) for _, t in items) // 6)
+    same([tuple(r) for r in got], [(0, cut), (0, cut), (None, cut), (2, None), (3, word(0, 30, "y") + " left  " + word(0, 9, "r"))])
+
+
 def test_sharding(docs, rows, none):
     out = sharding.shuffle_into_shards(docs, shards=4, bucket_bytes=3000).collect()
     same([(r.doc_id, r.text) for r in out], rows)
