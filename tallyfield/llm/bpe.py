@@ -50,8 +50,16 @@ def load(definition: str):
 
 
 def words_of(body: bytes) -> list[bytes]:
-    """Words between ASCII white space; case is folded (A-Z) unless a special token may stand in the text."""
-    return (body if b"<|" in body else body.lower()).split()
+    """Words between ASCII white space; case is folded (A-Z) unless a special token may stand in the text.
+
+    Words with combining marks (U+0300 to U+037F, bytes CC and CD) stay as they are: the tokenizer
+    composes first and folds afterwards, and some letters compose in one case only.
+    """
+    if b"<|" in body:
+        return body.split()
+    if b"\xcc" not in body and b"\xcd" not in body:
+        return body.lower().split()
+    return [w if b"\xcc" in w or b"\xcd" in w else w.lower() for w in body.split()]
 
 
 def _distinct(rows: pa.Table) -> dict[bytes, int]:

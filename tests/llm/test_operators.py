@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -104,6 +105,18 @@ def test_bpe_round_trip(docs, rows, none):
     assert bpe.encode_and_decode(none).count() == 0
 
 
+def test_bpe_composes_before_it_folds_case(spark):
+    tokenizer = bpe.load(bpe.read_tokenizer(bpe.default_tokenizer()))
+    marked = [a + b for a, b in zip("HTWYJ", "\u0331\u0308\u030a\u030a\u030c")]
+    texts = [f"{m}ala ABC {m} {m.lower()} x{m}" for m in marked] + ["T\u0344 T\u0323\u0308 \u00c9COLE E\u0301COLE"]
+    texts += [" ".join(c + chr(m) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ") for m in range(0x300, 0x380)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.ids for r in bpe.encode_and_decode(docs).collect()}
+    assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    plain = [chr(c) for c in range(0x80, 0x110000) if not 0x300 <= c < 0x380 and not 0xD800 <= c < 0xE000]
+    assert not [c for c in plain if any(len(unicodedata.normalize("NFC", a + c)) < 2 for a in "HTWYJhtwyj")]
+
+
 def test_line_dedup(docs, rows, none):
     key = lambda x: x.strip(" \t\n\v\f\r").encode().lower().decode()
     first = first_holder(rows, lambda t: [k for k in map(key, (t or "").split("\n")) if len(k) >= 10])
