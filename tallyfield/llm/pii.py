@@ -1,10 +1,11 @@
 """PII by bootstrapped contextual extraction, with DataFrame functions only.
 
-Matches of fixed patterns are the seeds. The two words before a digit-bearing token are
-its lexical pattern. Patterns and tokens form a graph: a pattern is as good as the mean
-of its tokens, a token as good as its best trusted pattern, seeds are 1; a few rounds
-of this score all of them. Unseen tokens after patterns of high score are added.
-One pass over the texts writes what all later steps need; the rounds read that table.
+Matches of fixed patterns are the seeds, with or without digits, each one span. The two
+words before a seed or any other token are its lexical pattern. Patterns and tokens form
+a graph: a pattern is as good as the mean of its tokens, a token as good as its best
+trusted pattern, seeds are 1; a few rounds of this score all of them. Unseen tokens
+after patterns of high score are added. Only patterns of several seeds can be trusted,
+so the words of all texts are streamed past these and the others are let go.
 """
 
 from __future__ import annotations
@@ -25,19 +26,18 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: A digit-bearing token between white space.
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-#: Characters before a token that its pattern is taken from.
+WORD = r"\S+"
+#: Characters before a span in which its two words are looked for first.
 REACH = 96
 ROUNDS = 3
 MIN_SCORE, MIN_SEEDS, MIN_DIGITS = 0.6, 3, 3
 ADDED = "context"
 
-_SPANS = "array<struct<start:int,end:int,hit:string,before:string>>"
+_SPANS = "array<struct<start:int,end:int,hit:string>>"
 
 
-def matches(text: Column, pattern: str, reach: int = 0) -> Column:
-    """All matches as (start, end, hit, before): code points, end exclusive; before: up to ``reach`` characters ahead.
+def matches(text: Column, pattern: str) -> Column:
+    """All matches as (start, end, hit): code points, end exclusive.
 
     The pieces between matches give the offsets, so texts are scanned twice however many matches there are.
     """
@@ -47,8 +47,7 @@ def matches(text: Column, pattern: str, reach: int = 0) -> Column:
     def step(a: Column, x: Column) -> Column:
         begin = a["at"] + F.char_length(x["0"])
         end = begin + F.char_length(x["1"])
-        before = F.right(x["0"], F.lit(reach)) if reach else F.lit("")
-        span = F.struct(begin.alias("start"), end.alias("end"), x["1"].alias("hit"), before.alias("before"))
+        span = F.struct(begin.alias("start"), end.alias("end"), x["1"].alias("hit"))
         return F.when(x["1"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out")))
 
     return F.aggregate(zipped, start, step, lambda a: a["out"])
@@ -81,39 +80,70 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.when(needs[k], F.filter(matches(text, p), passes[k])).otherwise(none) for k, p in PATTERNS.items()}
 
 
-def find_base(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, email, ip, card, phone, tokens), one row a document; null texts count as empty."""
+def words_before(text: Column, start: Column) -> Column:
+    """The two words before a place, lower-cased; null if there are fewer. Quotes and brackets right before it are no word."""
+
+    def words(piece: Column) -> Column:
+        return F.regexp_extract_all(F.regexp_replace(piece, r"""(?<!\S)[("'\[<{]+$""", ""), F.lit(WORD), F.lit(0))
+
+    # the first word of a piece may be cut, so the piece needs a third one
+    near = words(F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH))))
+    found = F.when((F.size(near) > 2) | (start <= REACH), near).otherwise(words(F.substring(text, F.lit(1), start)))
+    return F.when(F.size(found) >= 2, F.lower(F.array_join(F.slice(found, -2, 2), " ")))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit(""))
-    plain = docs.select(F.col("doc_id"), body.alias("body"))
-    tokens = F.when(F.col("body").rlike("[0-9]"), matches(F.col("body"), TOKEN, REACH)).otherwise(F.array().cast(_SPANS))
-    return plain.select("doc_id", text_key(F.col("body")).alias("key"), *[c.alias(k) for k, c in base_spans(F.col("body")).items()], tokens.alias("tokens"))
+    return docs.select("doc_id", text_key(body).alias("key"), body.alias("body"))
+
+
+def find_base(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, email, ip, card, phone, seeds), one row a document; null texts count as empty.
+
+    seeds are the spans of all kinds as (token, pattern), those without two words before them left out.
+    """
+    plain = keyed(docs)
+    spans = plain.select("*", *[c.alias(k) for k, c in base_spans(F.col("body")).items()])
+    seeds = F.transform(F.concat(*[F.col(k) for k in PATTERNS]), lambda s: F.struct(
+        F.lower(s["hit"]).alias("token"), words_before(F.col("body"), s["start"]).alias("pattern"),
+    ))
+    return spans.select("doc_id", "key", *PATTERNS, F.filter(seeds, lambda s: s["pattern"].isNotNull()).alias("seeds"))
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """(doc_id, key, start, end, token, pattern, seed): digit-bearing tokens after two words; seed: a base match is in it.
+def candidates(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(doc_id, key, start, end, token, pattern): the words after one of the ``patterns`` that no base span touches.
 
-    Quotes and punctuation at a token's ends are no part of it.
+    Quotes and punctuation at a word's ends are no part of it.
     """
-    spans = F.concat(*[F.col(k) for k in PATTERNS])
-    token = F.col("t.hit")
+    plain = keyed(docs)
+    words, size = F.regexp_extract_all("body", F.lit(WORD), F.lit(0)), F.size("words") - 2
+    after = plain.select("doc_id", "key", words.alias("words")).where(size > 0).select(
+        "doc_id", "key", F.posexplode(F.arrays_zip(F.slice("words", F.lit(1), size).alias("a"), F.slice("words", F.lit(2), size).alias("b"))).alias("at", "w")
+    ).select("doc_id", "key", (F.col("at") + 2).alias("at"), F.lower(F.concat_ws(" ", "w.a", "w.b")).alias("pattern"))
+    found = pinned(after.join(patterns, "pattern").dropDuplicates(["doc_id", "key", "at"]), "pii-after")
+    places = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "pattern")).alias("places")).withColumnsRenamed({"doc_id": "_doc", "key": "_key"})
+    texts = plain.join(places, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))).dropDuplicates(["doc_id", "key"])
+
+    def length(pieces: str, n: Column) -> Column:
+        return F.aggregate(F.slice(pieces, F.lit(1), n), F.lit(0), lambda a, x: a + F.char_length(x))
+
+    token = F.col("word")
     lead = F.char_length(F.regexp_extract(token, r"""^[("'\[<{]*""", 0))
     tail = F.char_length(F.regexp_extract(token, r"""[)"'\]>},.;:!?]*$""", 0))
-    words = F.regexp_extract_all(F.lower("t.before"), F.lit(r"\S+"), F.lit(0))
-    marked = F.transform("tokens", lambda t: F.struct(
-        t["start"].alias("start"), t["end"].alias("end"), t["hit"].alias("hit"), t["before"].alias("before"),
-    ))
-    return found.withColumn("spans", spans).select("doc_id", "key", "spans", F.explode(marked).alias("t")).select(
-        "doc_id", "key", "spans", (F.col("t.start") + lead).alias("start"), (F.col("t.end") - tail).alias("end"),
-        F.lower(F.substring(token, lead + 1, F.char_length(token) - lead - tail)).alias("token"),
-        F.when(F.size(words) >= 2, F.array_join(F.slice(words, -2, 2), " ")).alias("pattern"),
-    ).where(F.col("end") > F.col("start")).where(F.col("pattern").isNotNull()).withColumn(
-        "seed", F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    ).drop("spans")
-
-
-def trusted_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score) of the patterns that may discover tokens, scored over all documents."""
-    edges = pinned(candidates(found).groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "pii-edges")
+    return texts.select(
+        "doc_id", "key", "places", words.alias("words"), F.split("body", WORD, -1).alias("gaps"), F.concat(*base_spans(F.col("body")).values()).alias("spans"),
+    ).select("*", F.explode("places").alias("p")).select(
+        "doc_id", "key", "spans", F.col("p.pattern").alias("pattern"), F.element_at("words", F.col("p.at") + 1).alias("word"),
+        (length("gaps", F.col("p.at") + 1) + length("words", F.col("p.at"))).alias("begin"),
+    ).where(~F.exists("spans", lambda s: (s["start"] < F.col("begin") + F.char_length(token)) & (s["end"] > F.col("begin")))).select(
+        "doc_id", "key", (F.col("begin") + lead).alias("start"), (F.col("begin") + F.char_length(token) - tail).alias("end"),
+        F.lower(F.substring(token, lead + 1, F.char_length(token) - lead - tail)).alias("token"), "pattern",
+    ).where(F.col("end") > F.col("start"))
+
+
+def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, score) of the patterns that may discover tokens, scored over all documents' (pattern, token, seed)."""
+    edges = pinned(edges.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "pii-edges")
     tokens = edges.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("worth"))
     for at in range(rounds):
         patterns = edges.join(tokens, "token").groupBy("pattern").agg(
@@ -131,12 +161,16 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, key, email, ip, card, phone, context): arrays of spans (start, end), one row a document.
 
     The first four are the base kinds. context holds the identifiers that trusted
-    patterns discover: tokens of three digits or more that no base span touches.
-    Null and empty texts have no spans; repeated rows give repeated rows.
+    patterns discover: words that no base span touches, those with digits only from
+    three digits on. Null and empty texts have no spans; repeated rows give repeated rows.
     """
     found = pinned(find_base(docs), "pii-base")
-    unseen = candidates(found).where(~F.col("seed") & (F.char_length(digits(F.col("token"))) >= MIN_DIGITS))
-    added = unseen.join(trusted_patterns(found, rounds), "pattern").groupBy("doc_id", "key").agg(
+    seeds = pinned(found.select(F.inline("seeds")).groupBy("pattern", "token").agg(F.lit(True).alias("seed")), "pii-seeds")
+    often = pinned(seeds.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SEEDS).select("pattern"), "pii-patterns")
+    unseen = pinned(candidates(docs, often), "pii-candidates")
+    trusted = trusted_patterns(seeds.unionByName(unseen.select("pattern", "token", F.lit(False).alias("seed"))), rounds)
+    n = F.char_length(digits(F.col("token")))
+    added = unseen.where((n == 0) | (n >= MIN_DIGITS)).join(trusted, "pattern").groupBy("doc_id", "key").agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found")
     ).withColumnsRenamed({"doc_id": "_doc", "key": "_key"})
     ends = {k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in PATTERNS}

@@ -283,6 +283,18 @@ def test_pii(spark, none):
     assert pii.find_pii(none).count() == 0
 
 
+def test_pii_seeds_without_digits_and_words_behind_numbers(spark):
+    far = "," * 200
+    texts = [f"write to {name}@host.org or leave" for name in ("ann", "bob", "eve")] + ["write to zoe@intranet, please", f"write {far}\n to\t(secret-name)."]
+    texts += [f"97.51.17. {k} paid by 4111 1111 1111 1111 and from 10 {'9' * 120} 192.0.2.{k} on" for k in (1, 2, 3)]
+    texts += ["7 10 " + "9" * 120 + " node-77-441 1", "they 88 99 paid by AB-12-345 6", "not paid by 12"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    seeds = {tuple(s) for r in pii.find_base(docs).collect() for s in r.seeds}
+    assert ("ann@host.org", "write to") in seeds and ("4111 1111 1111 1111", "paid by") in seeds and ("192.0.2.1", "10 " + "9" * 120) in seeds
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.context] for r in pii.find_pii(docs).collect() if r.context}
+    assert found == {3: ["zoe@intranet"], 8: ["node-77-441"]}
+
+
 def test_quality_classifier(spark, docs, none):
     rng = random.Random(3)
     good = [" ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat."]) for _ in range(40)) for _ in range(120)]
