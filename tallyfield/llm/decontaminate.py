@@ -207,7 +207,7 @@ def _scan_with(docs: DataFrame, sent: Broadcast) -> DataFrame:
                 batch.column("doc_id"), batch.column("key"),
                 pa.array([n for n, _, _ in found], pa.int64()),
                 pa.array([[x for run in runs for x in run] for _, runs, _ in found], pa.list_(pa.int32())),
-                pa.array([sorted(auto.names[i] for i in items) for _, _, items in found], pa.list_(pa.string())),
+                pa.array([sorted({auto.names[i] for i in items}) for _, _, items in found], pa.list_(pa.string())),
             ], names=["doc_id", "key", "n_words", "runs", "items"])
 
     return docs.select(

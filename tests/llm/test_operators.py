@@ -179,6 +179,15 @@ def test_cutting_does_not_depend_on_the_number_of_automata(spark, automaton_word
     same([tuple(r) for r in got], [(0, cut), (0, cut), (None, cut), (2, None), (3, word(0, 30, "y") + " left  " + word(0, 9, "r"))])
 
 
+@pytest.mark.parametrize("automaton_words", [1_000_000, 5])
+def test_repeated_item_ids_count_once(spark, automaton_words, monkeypatch):
+    automata = decontaminate.automata
+    monkeypatch.setattr(decontaminate, "automata", lambda b, w=10: automata(b, w, automaton_words))
+    bench = spark.createDataFrame([("a", "one two"), ("a", "one two"), ("a", "three"), ("b", "one two")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "so one two and three")], "doc_id bigint, text string")
+    assert [(r.n_words, r.runs, r["items"]) for r in decontaminate.scan(docs, bench).collect()] == [(5, [1, 3, 4, 5], ["a", "b"])]
+
+
 def test_sharding(docs, rows, none):
     out = sharding.shuffle_into_shards(docs, shards=4, bucket_bytes=3000).collect()
     same([(r.doc_id, r.text) for r in out], rows)
