@@ -1,9 +1,9 @@
-"""Line dedup: hashes in range partitions, sorted by document, streamed for first occurrences.
+"""Line dedup: hashes dealt in small ranges, sorted by document, streamed for first occurrences.
 
 Each record batch sends every line key once, with the smallest document that holds
 it there; lines of larger documents of the batch are lost already. So a line that
-stands in a third of all documents costs one row a batch. The rows are dealt by the
-range of their (uniform) hash, sorted by hash and document, and one pass keeps the
+stands in a third of all documents costs one row a batch. The 2^20 ranges of the
+(uniform) hash are dealt to partitions by hash, each range whole; rows are sorted by hash and document, and one pass keeps the
 first document of each hash. What comes back is a compressed bitmap a document.
 """
 
