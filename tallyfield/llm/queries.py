@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op1_bpe
 from .decontaminate import OP2_SQL, op2_decontaminate
+from .language_id import op13_language_id
 from .lexical_search import OP12_SQL, op12_lexical_search
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .pii import op8_pii
@@ -19,7 +20,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe, op2_decontaminate, op3_sharding, op4_substring_dedup, op5_simhash, op6_suffix_array,
-        op7_quality_rules, op8_pii, op9_line_dedup, op10_quality_classifier, op11_prefix_trie, op12_lexical_search,
+        op7_quality_rules, op8_pii, op9_line_dedup, op10_quality_classifier, op11_prefix_trie, op12_lexical_search, op13_language_id,
     )
 }
 
