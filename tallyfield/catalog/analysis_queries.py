@@ -477,7 +477,7 @@ def _(spark, sf):
 @add("choose_k")
 def _(spark, sf):
     features = g.region_features(lines(spark, sf, *PLACE), A)
-    return sg.choose_k(sg.scaled_vectors(features, sg.region_feature_names(A)))[1]
+    return sg.choose_k(sg.scaled_points(features, sg.region_feature_names(A), A.geo_keys("district")))[1]
 
 
 @add("cluster_profiles")

@@ -116,6 +116,15 @@ CTES = {
         "count(DISTINCT date) AS active_days, count(DISTINCT pincode) AS unique_pincodes "
         "FROM activity GROUP BY 1, 2)"
     ),
+    "state_features": (
+        f"SELECT *, {SHARES}, total * 1.0 / active_days AS daily_avg, "
+        "total * 1.0 / unique_pincodes AS per_pincode_avg FROM ("
+        f"SELECT state, {isum('total')} AS total, {isum('part_a')} AS part_a, "
+        f"{isum('part_b')} AS part_b, {isum('part_c')} AS part_c, "
+        "count(DISTINCT date) AS active_days, count(DISTINCT pincode) AS unique_pincodes "
+        "FROM activity GROUP BY 1)"
+    ),
+    "pin_features": f"SELECT *, {SHARES}, total * 1.0 / active_days AS daily_avg FROM pins",
     "daycal": (
         f"SELECT date, {isum('total')} AS total, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, "
         "CAST(month(date) AS INTEGER) AS month, CAST(quarter(date) AS INTEGER) AS quarter, "

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .oracle_base import (
-    SHARES, calendar, count, flags, isum, null_token, number, oracle as o, strip, title,
+    CTES, SHARES, calendar, count, flags, isum, null_token, number, oracle as o, strip, title,
 )
 
 W7 = "ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW"
@@ -752,7 +752,69 @@ _no_leak = ", ".join(
     f"CASE WHEN count(*) OVER (ORDER BY date ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) = {w} THEN avg(total) OVER "
     f"(ORDER BY date ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) END AS rolling_{w}_mean" for w in (7, 14)
 )
+
+
+def kmeans(points: str, id_: str, features: tuple[str, ...], ks: tuple[int, ...], body: str, runs: int = 10, seed: int = 42) -> str:
+    """CTEs that fit all ks and runs as the operator does, then ``body``, which reads kplaced (k, cluster, ...) or kpoints."""
+    n = len(features)
+    z = ", ".join(f"coalesce((coalesce({c}, 0) - avg(coalesce({c}, 0)) OVER ()) / nullif(stddev_pop(coalesce({c}, 0)) OVER (), 0), 0)" for c in features)
+
+    def d2(a: str, b: str) -> str:
+        return " + ".join(f"({a}[{i}] - {b}[{i}]) * ({a}[{i}] - {b}[{i}])" for i in range(1, n + 1))
+
+    def luck(step: str) -> str:
+        key = f"'{seed}|' || run || '|' || {step} || '|' || id"
+        return f"ln((CAST(CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496)"
+
+    away = f"list_transform(centres, lambda c: round({d2('x', 'c')}, 9))"
+    ctes = [
+        f"kpoints AS (SELECT {id_} AS id, [{z}] AS x, * FROM {points})",
+        f"kseeds AS (SELECT run, 1 AS n, [arg_min(x, -{luck('0')})] AS centres FROM kpoints, range(0, {runs}) AS r(run) GROUP BY run UNION ALL "
+        f"SELECT run, n + 1, list_append(any_value(centres), arg_min(x, -{luck('n')} / far)) FROM (SELECT run, n, centres, id, x, "
+        f"list_min(list_transform(centres, lambda c: {d2('x', 'c')})) AS far FROM kseeds, kpoints WHERE n < {max(ks)}) WHERE far > 0 GROUP BY run, n)",
+        f"kfits AS (SELECT run, n AS k, 0 AS it, centres, CAST(1 AS DOUBLE) AS shift FROM kseeds WHERE n IN ({', '.join(map(str, ks))}) UNION ALL "
+        f"SELECT run, k, it + 1, fresh, list_max(list_transform(range(1, k + 1), lambda j: sqrt({d2('fresh[j]', 'centres[j]')}))) FROM ("
+        "SELECT run, k, it, centres, list_transform(range(1, k + 1), lambda j: coalesce(list_filter(parts, lambda p: p.j = j)[1].m, centres[j])) AS fresh FROM ("
+        "SELECT run, k, it, any_value(centres) AS centres, list({'j': j, 'm': m}) AS parts FROM ("
+        f"SELECT run, k, it, any_value(centres) AS centres, j, [{', '.join(f'avg(x[{i}])' for i in range(1, n + 1))}] AS m FROM ("
+        f"SELECT run, k, it, centres, x, list_position(ds, list_min(ds)) AS j FROM (SELECT run, k, it, centres, x, {away} AS ds "
+        "FROM kfits, kpoints WHERE shift > 1e-9 AND it < 100)) GROUP BY run, k, it, j) GROUP BY run, k, it)))",
+        "kdone AS (SELECT run, k, arg_max(centres, it) AS centres FROM kfits GROUP BY run, k)",
+        f"kcosts AS (SELECT run, k, any_value(centres) AS centres, sum(list_min({away})) AS cost FROM kdone, kpoints GROUP BY run, k)",
+        "kbest AS (SELECT k, centres FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(cost, 6), run) AS place FROM kcosts) WHERE place = 1)",
+        f"kplaced AS (SELECT * EXCLUDE (centres, ds), CAST(list_position(ds, list_min(ds)) - 1 AS INTEGER) AS cluster FROM (SELECT *, {away} AS ds FROM kbest, kpoints))",
+    ]
+    base = o(f"SELECT * FROM {points}")
+    return f"{base[: base.rindex(f' SELECT * FROM {points}')]}, {', '.join(ctes)} {body}"
+
+
+def _rounded(body: str, doubles: str, digits: int = 6) -> str:
+    return "SELECT * REPLACE (" + ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in doubles.split()) + f") FROM ({body})"
+
+
+_of_clusters = CTES["profiles"].replace("FROM placed", "FROM kplaced")
+_named_clusters = f"WITH profiles AS ({_of_clusters}) {CTES['named']}"
+_silhouette = (
+    "WITH labels AS (SELECT k, id, x, cluster FROM kplaced), sizes AS (SELECT k, cluster, count(*) AS n FROM labels GROUP BY 1, 2), "
+    "means AS (SELECT a.k, a.id, a.cluster, b.cluster AS other, sum(sqrt("
+    + " + ".join(f"(a.x[{i}] - b.x[{i}]) * (a.x[{i}] - b.x[{i}])" for i in range(1, 6))
+    + ")) AS away FROM labels a JOIN labels b ON a.k = b.k GROUP BY 1, 2, 3, 4), "
+    "sides AS (SELECT m.k, m.id, max(CASE WHEN m.cluster = other AND n > 1 THEN away / (n - 1) END) AS a, "
+    "min(CASE WHEN m.cluster <> other THEN away / n END) AS b FROM means m JOIN sizes s ON s.k = m.k AND s.cluster = other GROUP BY 1, 2) "
+    "SELECT CAST(k AS INTEGER) AS k, avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM sides GROUP BY 1"
+)
+_DISTRICT_ID = "state || '|' || district"
 SQL.update({
+    "kmeans_regions": kmeans("features", _DISTRICT_ID, _FEATURES, (5,), _rounded(
+        f"SELECT p.* EXCLUDE (id, x, k), cluster_name FROM kplaced p LEFT JOIN ({_named_clusters}) USING (cluster)", " ".join(_FEATURES),
+    )),
+    "kmeans_states": kmeans("state_features", "state", _FEATURES, (4,), _rounded(
+        _named_clusters, "total_mean avg_pct_a avg_pct_b avg_pct_c avg_daily",
+    )),
+    "choose_k": kmeans("features", _DISTRICT_ID, _FEATURES, tuple(range(2, 11)), _rounded(_silhouette, "silhouette")),
+    "kmeans_pincodes": kmeans("pin_features", "pincode || '|' || state || '|' || district", ("daily_avg", "pct_a", "pct_b"), (5,), _rounded(
+        f"SELECT cluster, count(*) AS pincodes, {isum('total')} AS total, round(avg(daily_avg), 2) AS daily_avg FROM kplaced GROUP BY 1", "daily_avg",
+    )),
     "standardize": o(
         "SELECT state, district, " + ", ".join(
             f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0) AS {c}_z" for c in _FEATURES

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..sources.scratch import pinned
 from ..spec import DEFAULT, FactSpec
+from . import kmeans
 from .aggregate import pincode_profile, region_features
 from .clean import add_shares
 from .joins import with_scalars
@@ -40,58 +38,32 @@ def standardize(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> Da
     return with_scalars(df, stats).withColumns(scaled).drop(*stats)
 
 
-def scaled_vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Standardised features of an aggregated set as a vector column ``features``.
+def scaled_points(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Standardised features of an aggregated set as an array ``features``, with the keys as a text ``id``.
 
-    The aggregate is pinned first: fitting passes over it many times.
+    The result is pinned: fitting passes over it many times.
     """
-    held = pinned(df.fillna(0.0, subset=list(columns)), "features")
-    scaled = standardize(held, columns)
+    scaled = standardize(df.fillna(0.0, subset=list(columns)), columns)
     names = [f"{c}_z" for c in columns]
-    return VectorAssembler(inputCols=names, outputCol="features").transform(scaled).drop(*names)
+    made = scaled.withColumns({"features": F.array(*names), "id": F.concat_ws("|", *[F.col(k).cast("string") for k in keys])})
+    return pinned(made.drop(*names), "features")
 
 
-def fit_kmeans(
-    vectors: DataFrame, ks: Sequence[int], seed: int = 42, restarts: int = 10, parallelism: int = 8
-) -> list[KMeansModel]:
-    """For each ``k`` the cheapest of several seeded fits.
-
-    Fits do not depend on each other, so their jobs are submitted side by side
-    and share the executors.
-    """
-    kmeans = KMeans(featuresCol="features", predictionCol="cluster")
-    grid = [(k, seed + i) for k in ks for i in range(restarts)]
-    with ThreadPool(min(parallelism, len(grid))) as pool:
-        fit = inheritable_thread_target(vectors.sparkSession)(
-            lambda p: kmeans.copy({kmeans.k: p[0], kmeans.seed: p[1]}).fit(vectors)
-        )
-        models = pool.map(fit, grid)
-    return [
-        min((m for (kk, _), m in zip(grid, models) if kk == k), key=lambda m: m.summary.trainingCost)
-        for k in ks
-    ]
-
-
-def choose_k(
-    vectors: DataFrame, max_k: int = 10, seed: int = 42, restarts: int = 10
-) -> tuple[int, DataFrame]:
+def choose_k(points: DataFrame, max_k: int = 10, seed: int = 42, restarts: int = 10) -> tuple[int, DataFrame]:
     """Best number of clusters by silhouette, and the score of each.
 
-    Scores use squared Euclidean distance, which needs one pass per ``k``
-    instead of the distances between all pairs of rows.
+    With fewer than three places there is nothing to choose, and 1 is best. Up to 20,000 places the scores are Euclidean silhouettes; of more they use squared Euclidean
+    distance, which needs one pass per ``k`` instead of the distances between all pairs of places.
     """
-    spark = vectors.sparkSession
-    held = vectors.select("features").persist()
-    try:
-        rows = held.count()
-        judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-        ks = list(range(2, min(max_k + 1, rows)))
-        models = fit_kmeans(held, ks, seed, restarts)
-        scores = [(k, float(judge.evaluate(m.transform(held)))) for k, m in zip(ks, models)]
-    finally:
-        held.unpersist()
-    best = max(scores, key=lambda s: (s[1], -s[0]))[0]
-    return best, spark.createDataFrame(scores, "k int, silhouette double")
+    spark, rows = points.sparkSession, points.count()
+    fits = kmeans.best_fits(points, range(2, min(max_k + 1, rows)), seed, restarts)
+    scores = kmeans.silhouettes(points, list(fits.values()))
+    if scores is None:
+        judge = ClusteringEvaluator(featuresCol="vector", predictionCol="cluster")
+        vectors = points.select(array_to_vector("features").alias("vector"), "features")
+        scores = {k: float(judge.evaluate(vectors.withColumn("cluster", kmeans.nearest("features", f).cast("double")))) for k, f in fits.items()}
+    best = max(scores.items(), key=lambda s: (round(s[1], 9), -s[0]), default=(1, 0.0))[0]
+    return best, spark.createDataFrame(sorted(scores.items()), "k int, silhouette double")
 
 
 def cluster_regions(
@@ -102,19 +74,20 @@ def cluster_regions(
     seed: int = 42,
     restarts: int = 10,
     pincodes: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame, KMeansModel]:
-    """Cluster places by shares and averages: (places, cluster profiles, model)."""
-    features = region_features(df, spec, level, pincodes)
-    vectors = scaled_vectors(features, region_feature_names(spec)).persist()
-    try:
-        if n_clusters is None:
-            n_clusters, _ = choose_k(vectors, seed=seed, restarts=restarts)
-        model = fit_kmeans(vectors, [n_clusters], seed, restarts)[0]
-    finally:
-        vectors.unpersist()
-    placed = model.transform(vectors).drop("features")
+) -> tuple[DataFrame, DataFrame, kmeans.Fit | None]:
+    """Cluster places by shares and averages: (places, cluster profiles, fit); no fit without places."""
+    points = scaled_points(region_features(df, spec, level, pincodes), region_feature_names(spec), spec.geo_keys(level))
+    if n_clusters is None:
+        n_clusters, _ = choose_k(points, seed=seed, restarts=restarts)
+    fit = kmeans.best_fits(points, [n_clusters], seed, restarts).get(n_clusters)
+    placed = _placed(points, fit)
     profiles = name_clusters(cluster_profiles(placed, spec), spec)
-    return placed.join(profiles.select("cluster", "cluster_name"), "cluster", "left"), profiles, model
+    return placed.join(profiles.select("cluster", "cluster_name"), "cluster", "left"), profiles, fit
+
+
+def _placed(points: DataFrame, fit: kmeans.Fit | None) -> DataFrame:
+    cluster = kmeans.nearest("features", fit) if fit else F.lit(None).cast("int")
+    return points.withColumn("cluster", cluster).drop("features", "id")
 
 
 def cluster_profiles(placed: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
@@ -181,12 +154,8 @@ def cluster_pincodes(
     data = add_shares(profile, spec).drop(spec.share_names[2]).withColumn(
         "daily_avg", numeric.ratio(F.col(spec.total), F.col("active_days"))
     )
-    vectors = scaled_vectors(data, ["daily_avg", *spec.share_names[:2]]).persist()
-    try:
-        model = fit_kmeans(vectors, [n_clusters], seed, restarts)[0]
-    finally:
-        vectors.unpersist()
-    zoned = model.transform(vectors).drop("features")
+    points = scaled_points(data, ["daily_avg", *spec.share_names[:2]], spec.geo_keys("pincode"))
+    zoned = _placed(points, kmeans.best_fits(points, [n_clusters], seed, restarts).get(n_clusters))
     summary = zoned.groupBy("cluster").agg(
         F.count("*").alias("pincodes"),
         F.sum(spec.total).alias(spec.total),

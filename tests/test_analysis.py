@@ -180,12 +180,13 @@ def test_cluster_names_take_the_first_rule(spark):
 
 
 def test_kmeans_separates_obvious_groups(spark):
-    rows = [(float(x + dx),) for x in (0, 100, 200) for dx in range(5)]
-    vectors = sg.scaled_vectors(spark.createDataFrame(rows, "x double"), ["x"])
-    best, scores = sg.choose_k(vectors, 5, restarts=3)
+    rows = [(f"{x}-{dx}", float(x + dx)) for x in (0, 100, 200) for dx in range(5)]
+    points = sg.scaled_points(spark.createDataFrame(rows, "name string, x double"), ["x"], ["name"])
+    best, scores = sg.choose_k(points, 5, restarts=3)
     assert best == 3 and scores.count() == 4
-    sizes = sg.fit_kmeans(vectors, [3], restarts=3)[0].summary.clusterSizes
-    assert sorted(sizes) == [5, 5, 5]
+    fit = sg.kmeans.best_fits(points, [3], restarts=3)[3]
+    sizes = points.groupBy(sg.kmeans.nearest("features", fit).alias("at")).count().collect()
+    assert [r["count"] for r in sizes] == [5, 5, 5]
 
 
 def test_classification_report(spark):
