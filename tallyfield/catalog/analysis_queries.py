@@ -582,6 +582,43 @@ def _(spark, sf):
     return m.importance_features(lines(spark, sf), A)
 
 
+def agreeing(model, rows, columns, *shown, by="date"):
+    """Rows with what their walk through the model's trees has in common with the model's own score."""
+    scored = model.transform(m._vectors(rows, columns)).select(by, *shown, "prediction")
+    return scored.join(m.walked(model, rows, columns, [by]), by).select(
+        by, *shown, F.col("n_trees"), (F.abs(F.col("walked") - F.col("prediction")) < 1e-6).alias("agrees"), "prediction"
+    )
+
+
+@add("demand_walk")
+def _(spark, sf):
+    model, _, _ = m.train_demand(lines(spark, sf), A, trees=20)
+    rows = pinned(m.chrono_split(m.demand_features(lines(spark, sf), A)), "demand")
+    ends = rows.where("is_train").agg(F.min("total").alias("low"), F.max("total").alias("high"))
+    inside = F.col("prediction").between(F.col("low"), F.col("high"))
+    found = agreeing(model, rows.where("not is_train"), m.DEMAND_FEATURES, "total")
+    return found.join(F.broadcast(ends)).select("date", "total", "n_trees", "agrees", inside.alias("within_training"))
+
+
+@add("surge_walk")
+def _(spark, sf):
+    model, _, _ = m.train_surge(lines(spark, sf), A, trees=20)
+    rows = pinned(m.random_split(m.surge_features(lines(spark, sf), A)), "surge")
+    return agreeing(model, rows.where("not is_train"), m.SURGE_FEATURES, "is_surge").drop("prediction")
+
+
+@add("importance_walk")
+def _(spark, sf):
+    model, rows, columns = m.fit_importance(lines(spark, sf), A, trees=20)
+    return agreeing(model, rows, columns, "total").drop("prediction")
+
+
+@add("permuted_features")
+def _(spark, sf):
+    rows = m.importance_features(lines(spark, sf), A)
+    return m.permuted(rows, ("day_of_week", "month", "is_weekend", "pct_a", "pct_b"), repeats=2)
+
+
 @add("feature_importance")
 def _(spark, sf):
     return m.feature_importance(lines(spark, sf), A)

@@ -130,6 +130,12 @@ CTES = {
         "CAST(month(date) AS INTEGER) AS month, CAST(quarter(date) AS INTEGER) AS quarter, "
         f"{flags('date')} FROM activity GROUP BY date"
     ),
+    "day_shares": (
+        f"SELECT date, total, day_of_week, month, is_weekend, pct_a, pct_b FROM (SELECT *, {SHARES} FROM (SELECT date, "
+        + ", ".join(f"{isum(c)} AS {c}" for c in ("part_a", "part_b", "part_c", "total"))
+        + ", CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(month(date) AS INTEGER) AS month, "
+        "CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend FROM activity GROUP BY date))"
+    ),
     "demand": (
         "SELECT * FROM (SELECT *, lag(total, 1) OVER o AS lag_1, lag(total, 7) OVER o AS lag_7, "
         "lag(total, 14) OVER o AS lag_14, "

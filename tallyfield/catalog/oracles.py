@@ -842,6 +842,19 @@ SQL.update({
         + f", {_no_leak} FROM daycal) WHERE lag_14 IS NOT NULL", "rolling_7_mean rolling_14_mean",
     ),
     "chrono_split": o(f"SELECT date, is_train FROM ({SPLIT})"),
+    "demand_walk": o(
+        f"SELECT date, total, CAST(20 AS BIGINT) AS n_trees, true AS agrees, true AS within_training FROM ({SPLIT}) WHERE NOT is_train"
+    ),
+    "surge_walk": o(
+        "SELECT date, is_surge, CAST(20 AS BIGINT) AS n_trees, true AS agrees FROM (SELECT *, row_number() OVER (ORDER BY "
+        "md5('42|' || CAST(date AS VARCHAR)), date) > ceil(count(*) OVER () * 0.2) AS is_train FROM surge) WHERE NOT is_train"
+    ),
+    "importance_walk": o("SELECT date, total, CAST(20 AS BIGINT) AS n_trees, true AS agrees FROM daycal"),
+    "permuted_features": o(" UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST({r} AS INTEGER) AS repeat, * REPLACE (coalesce(lead({c}) OVER w, first({c}) OVER w) AS {c}) FROM day_shares "
+        f"WINDOW w AS (ORDER BY md5('42|{c}|{r}|' || CAST(date AS VARCHAR)), date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+        for c in ("day_of_week", "month", "is_weekend", "pct_a", "pct_b") for r in range(2)
+    ), "pct_a pct_b"),
     "surge_label": o(
         "SELECT date, value, q AS threshold, CAST(value >= q AS INTEGER) AS is_surge FROM daily, "
         "(SELECT quantile_cont(value, 0.9) AS q FROM daily)", "threshold",
@@ -858,12 +871,7 @@ SQL.update({
     ),
     "district_risk": o("SELECT * FROM risk", _RISK),
     "risk_summary": o("SELECT risk_category, count(*) AS districts FROM risk GROUP BY 1"),
-    "importance_features": o(
-        f"SELECT date, total, day_of_week, month, is_weekend, pct_a, pct_b FROM (SELECT *, {SHARES} FROM (SELECT date, "
-        + ", ".join(f"{isum(c)} AS {c}" for c in MEASURES)
-        + ", CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(month(date) AS INTEGER) AS month, "
-        "CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend FROM activity GROUP BY date))", "pct_a pct_b",
-    ),
+    "importance_features": o("SELECT * FROM day_shares", "pct_a pct_b"),
 })
 
 # --- KPIs and chart datasets -------------------------------------------------

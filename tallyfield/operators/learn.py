@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Model
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -17,9 +17,11 @@ from ..sources.scratch import pinned
 from ..spec import DEFAULT, FactSpec
 from .aggregate import daily_with_calendar, district_volatility
 from .clean import label_encode
+from . import trees as forests
 from .rows import present, seeded_hash
 from .series import cap_at_quantile, lag_features, max_column, minmax_column, ordered, strict_mean, whole
 
+# The models' inputs and the names of the risk thirds.
 DEMAND_FEATURES = (
     "day_of_week", "month", "quarter", "is_weekend", "is_month_start", "is_month_end",
     "lag_1", "lag_7", "lag_14", "rolling_7_mean", "rolling_14_mean",
@@ -27,6 +29,9 @@ DEMAND_FEATURES = (
 SURGE_FEATURES = ("day_of_week", "month", "quarter", "is_weekend", "lag_1", "rolling_3_mean")
 RISK_LABELS = ("Low Risk", "Medium Risk", "High Risk")
 
+#: Splits that a forest may try in a feature: each distinct value is one up to here. Fits take time in proportion, scores hardly change.
+MAX_BINS = 256
+
 # Weights of volatility, coverage and volume in the risk score.
 RISK_WEIGHTS = (0.35, 0.35, 0.30)
 
@@ -95,6 +100,13 @@ def _importances(model: Model, columns: Sequence[str], df: DataFrame) -> DataFra
     )
 
 
+def bins_for(data: DataFrame, columns: Sequence[str], most: int = MAX_BINS) -> int:
+    """Bins that give every distinct value of each feature its own split, up to ``most``, beyond which quantiles serve."""
+    counts = data.agg(*[F.approx_count_distinct(c) for c in columns]).first()
+    # the count is approximate, so some more are allowed
+    return max(32, min(most, int(1.2 * max((n or 0 for n in counts), default=0)) + 2))
+
+
 def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """Mean absolute error and R2 in one pass."""
     y, error = F.col(label), F.col(label) - F.col(prediction)
@@ -162,9 +174,10 @@ def train_demand(
     """Random forest for the daily total: (model, importances, test metrics)."""
     target = target or spec.total
     features = chrono_split(demand_features(df, spec, target, exclude_current))
-    data = _vectors(pinned(features, "demand"), DEMAND_FEATURES)
+    held = pinned(features, "demand")
+    data = _vectors(held, DEMAND_FEATURES)
     forest = RandomForestRegressor(
-        labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=2,
+        labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=2, maxBins=bins_for(held, DEMAND_FEATURES),
         featureSubsetStrategy="all", maxMemoryInMB=1024, seed=seed,
     )
     model = forest.fit(data.where("is_train"))
@@ -207,9 +220,10 @@ def train_surge(
 ) -> tuple[Model, DataFrame, DataFrame]:
     """Random forest for surge days: (model, classification report, test predictions)."""
     features = random_split(surge_features(df, spec, threshold_percentile), seed=seed)
-    data = _vectors(pinned(features, "surge"), SURGE_FEATURES)
+    held = pinned(features, "surge")
+    data = _vectors(held, SURGE_FEATURES)
     forest = RandomForestClassifier(
-        labelCol="is_surge", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt",
+        labelCol="is_surge", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", maxBins=bins_for(held, SURGE_FEATURES),
         maxMemoryInMB=1024, seed=seed,
     )
     model = forest.fit(data.where("is_train"))
@@ -273,13 +287,74 @@ def importance_features(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
     )
 
 
-def feature_importance(
-    df: DataFrame, spec: FactSpec = DEFAULT, trees: int = 100, depth: int = 3, seed: int = 42
+def walked(model: Model, rows: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """The keys of each row with the ``walked`` prediction, from the model's trees as a table.
+
+    A classifier's is the more likely class, as the model says; of equal ones the first.
+    """
+    table = forests.tree_table(model, rows.sparkSession)
+    score = forests.walk(rows, table, columns, keys)
+    if isinstance(model, RandomForestClassificationModel):
+        return score.select(*keys, (F.round(F.col("score") / F.col("weight"), 12) > 0.5).cast("double").alias("walked"), "n_trees")
+    mean = F.col("score") / F.col("weight") if "RandomForest" in type(model).__name__ else F.col("score")
+    return score.select(*keys, mean.alias("walked"), "n_trees")
+
+
+def permuted(df: DataFrame, columns: Sequence[str], key: str = "date", repeats: int = 5, seed: int = 42) -> DataFrame:
+    """Every row once for each feature and repeat, that feature's value taken from another row.
+
+    (feature, repeat, and the columns of ``df``): rows stand in the order of a seeded hash of the key, each takes the value of
+    the next one, the last that of the first. So each feature's values are the same, and the order depends on the rows alone.
+    ``df`` is a set of days, bounded by the calendar.
+    """
+    turns = [(c, r) for c in columns for r in range(repeats)]
+    moved = {}
+    for at, (c, r) in enumerate(turns):
+        order = W.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(c), F.lit(str(r)), F.col(key).cast("string"))), key)
+        first = F.first(c).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        last = F.row_number().over(order) == F.count("*").over(W.partitionBy())
+        moved[f"_moved_{at}"] = F.when(last, first).otherwise(F.lead(c).over(order))
+    variants = [
+        F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat"), *[(F.col(f"_moved_{at}") if x == c else F.col(x)).alias(x) for x in columns])
+        for at, (c, r) in enumerate(turns)
+    ]
+    others = [x for x in df.columns if x not in columns]
+    return df.withColumns(moved).select(*others, F.explode(F.array(*variants)).alias("v")).select("v.feature", "v.repeat", *[
+        (F.col(f"v.{x}") if x in columns else F.col(x)).alias(x) for x in df.columns
+    ])
+
+
+def permutation_importance(
+    model: Model, df: DataFrame, columns: Sequence[str], label: str, key: str = "date", repeats: int = 5, seed: int = 42
 ) -> DataFrame:
-    """What drives the daily total, by a boosted-tree model."""
+    """(feature, r2_loss, r2_deviation): how far R2 falls when a feature's values are exchanged between rows.
+
+    The table as it is and all its permuted versions are scored in one pass.
+    """
+    plain = df.select(F.lit(None).cast("string").alias("feature"), F.lit(0).alias("repeat"), *df.columns)
+    scored = model.transform(_vectors(plain.unionByName(permuted(df, columns, key, repeats, seed)), columns))
+    error, y = F.col(label) - F.col("prediction"), F.col(label)
+    r2 = scored.groupBy("feature", "repeat").agg((1 - F.try_divide(F.sum(error * error).cast("double"), F.var_pop(y) * F.count(y))).alias("r2"))
+    whole = F.max(F.when(F.col("feature").isNull(), F.col("r2"))).over(W.partitionBy())
+    return r2.withColumn("loss", whole - F.col("r2")).where("feature IS NOT NULL").groupBy("feature").agg(
+        F.avg("loss").alias("r2_loss"), F.stddev_pop("loss").alias("r2_deviation")
+    )
+
+
+def fit_importance(
+    df: DataFrame, spec: FactSpec = DEFAULT, trees: int = 100, depth: int = 3, seed: int = 42
+) -> tuple[Model, DataFrame, tuple[str, ...]]:
+    """Boosted trees for the daily total: (model, the rows it was fitted on, its features)."""
     columns = ("day_of_week", "month", "is_weekend", *spec.share_names[:2])
-    data = _vectors(pinned(importance_features(df, spec), "importance"), columns)
-    model = GBTRegressor(
-        labelCol=spec.total, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed
-    ).fit(data)
-    return _importances(model, columns, df)
+    rows = pinned(importance_features(df, spec), "importance")
+    booster = GBTRegressor(labelCol=spec.total, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed, maxBins=bins_for(rows, columns))
+    return booster.fit(_vectors(rows, columns)), rows, columns
+
+
+def feature_importance(
+    df: DataFrame, spec: FactSpec = DEFAULT, trees: int = 100, depth: int = 3, seed: int = 42, repeats: int = 5
+) -> DataFrame:
+    """What drives the daily total, by a boosted-tree model: impurity figures, and the R2 lost when a feature is permuted."""
+    model, rows, columns = fit_importance(df, spec, trees, depth, seed)
+    lost = permutation_importance(model, rows, columns, spec.total, repeats=repeats, seed=seed)
+    return _importances(model, columns, df).join(lost, "feature").orderBy(F.desc("importance"), "feature")
