@@ -165,24 +165,58 @@ def state_part_totals(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10) -> D
     return add_shares(sums.orderBy(F.desc(spec.total), spec.state).limit(n), spec)
 
 
+#: The days of a year as a set: one bit a day, in so many 64-bit words.
+DAY_WORDS = [f"days_{k}" for k in range(6)]
+
+
+def day_sets(df: DataFrame, keys: Sequence[str], spec: FactSpec = DEFAULT) -> DataFrame:
+    """The facts rolled up to (keys, pincode, year), with record count, sum of squares and the set of their days.
+
+    Sets merge by ``bit_or`` and are counted by ``bit_count``, so active days of any coarser place follow from the
+    rollup, as sums do. Aggregates of plain numbers are combined on the map side; no row is copied for a distinct count.
+    """
+    d, t = F.col(spec.date), F.col(spec.total)
+    at = F.dayofyear(d) - 1
+    bits = {
+        name: F.coalesce(F.bit_or(F.when(F.shiftright(at, 6) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(64))))), F.lit(0).cast("bigint"))
+        for k, name in enumerate(DAY_WORDS)
+    }
+    return df.groupBy(*keys, spec.pincode, F.year(d).alias("_year")).agg(
+        *[F.sum(c).alias(c) for c in spec.measures], F.count(t).alias("records"), F.sum(numeric.square(t)).alias("squares"),
+        *[c.alias(name) for name, c in bits.items()],
+    )
+
+
+def from_day_sets(sets: DataFrame, keys: Sequence[str], sums: Sequence[str], spec: FactSpec = DEFAULT, pincode_name: str = "unique_pincodes") -> DataFrame:
+    """Sums, active days and distinct pincodes of the places named by ``keys`` from a rollup of day sets.
+
+    A pincode counts where it stands first in its place, so one chain of aggregates gives both counts.
+    """
+    first = F.row_number().over(W.partitionBy(*keys, spec.pincode).orderBy("_year")) == 1
+    years = sets.withColumn("_first", first & F.col(spec.pincode).isNotNull()).groupBy(*keys, "_year").agg(
+        *[F.sum(c).alias(c) for c in sums], F.count_if("_first").alias("_pins"), *[F.bit_or(w).alias(w) for w in DAY_WORDS]
+    )
+    days = sum((F.bit_count(w) for w in DAY_WORDS[1:]), F.bit_count(DAY_WORDS[0]))
+    return years.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], F.sum(days).alias("active_days"), F.sum("_pins").alias(pincode_name))
+
+
 def _place_groups(
     df: DataFrame,
     keys: Sequence[str],
-    sums: Sequence[Column],
+    sums: Sequence[str],
     spec: FactSpec,
     pincodes: DataFrame | None,
     pincode_name: str = "unique_pincodes",
 ) -> DataFrame:
     """Sums, active days and distinct pincodes per place.
 
-    From facts alone both counts come from one aggregate. With ``df`` a day
+    From facts alone both counts come from one rollup of day sets, read once. With ``df`` a day
     cube, ``pincodes`` supplies the places of each pincode.
     """
-    days = F.count_distinct(spec.date).alias("active_days")
-    pins = F.count_distinct(spec.pincode).alias(pincode_name)
     if pincodes is None:
-        return df.groupBy(*keys).agg(*sums, days, pins)
-    grouped = df.groupBy(*keys).agg(*sums, days)
+        return from_day_sets(day_sets(df, keys, spec), keys, sums, spec, pincode_name)
+    grouped = df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], F.count_distinct(spec.date).alias("active_days"))
+    pins = F.count_distinct(spec.pincode).alias(pincode_name)
     return grouped.join(pincodes.groupBy(*keys).agg(pins), list(keys), "left").fillna(0, [pincode_name])
 
 
@@ -191,8 +225,7 @@ def geo_profile(
 ) -> DataFrame:
     """Total, active days and distinct pincodes per place (by name alone)."""
     key = {"state": spec.state, "district": spec.district}[level]
-    sums = [F.sum(spec.total).alias(spec.total)]
-    return _place_groups(df.where(F.col(key).isNotNull()), [key], sums, spec, pincodes)
+    return _place_groups(df.where(F.col(key).isNotNull()), [key], [spec.total], spec, pincodes)
 
 
 def pincode_profile(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
@@ -212,9 +245,8 @@ def region_features(
 ) -> DataFrame:
     """Volume, activity, shares and averages per district or state."""
     total = F.col(spec.total)
-    sums = [F.sum(c).alias(c) for c in (spec.total, *spec.parts)]
     pins = None if pincodes is None else drop_numeric_names(pincodes, spec)
-    grouped = _place_groups(drop_numeric_names(df, spec), spec.geo_keys(level), sums, spec, pins)
+    grouped = _place_groups(drop_numeric_names(df, spec), spec.geo_keys(level), (spec.total, *spec.parts), spec, pins)
     return add_shares(grouped, spec).withColumns({
         "daily_avg": numeric.ratio(total, F.col("active_days")),
         "per_pincode_avg": numeric.ratio(total, F.col("unique_pincodes")),
@@ -229,18 +261,15 @@ def district_volatility(
     Mean and deviation come from integer sums, so they are exact, the same on
     every evaluation, and roll up from a day cube.
     """
-    t = F.col(spec.total)
-    from_cube = {"records", "squares"} <= set(df.columns)
-    squares = F.sum("squares") if from_cube else F.sum(numeric.square(t))
-    count = F.sum("records") if from_cube else F.count(t)
-    named = [F.sum(t).alias("total"), squares.alias("squares"), count.alias("records")]
     pins = None if pincodes is None else drop_numeric_names(pincodes, spec)
+    if pins is not None and "squares" not in df.columns:
+        df = day_cube(df, spec)
     sums = _place_groups(
-        drop_numeric_names(df, spec), spec.geo_keys("district"), named, spec, pins, "pincodes"
+        drop_numeric_names(df, spec), spec.geo_keys("district"), (spec.total, "squares", "records"), spec, pins, "pincodes"
     )
-    records, total, squares = F.col("records"), F.col("total"), F.col("squares")
+    records, total, squares = F.col("records"), F.col(spec.total), F.col("squares")
     return sums.select(
-        *spec.geo_keys("district"), "total",
+        *spec.geo_keys("district"), total.alias("total"),
         numeric.ratio(total, records).alias("daily_mean"),
         numeric.stddev_from_sums(records, total, squares).alias("daily_std"),
         "active_days", "pincodes",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import calendar, numeric
@@ -287,10 +288,14 @@ def radar_metrics(
 ) -> DataFrame:
     """Six measures per state, each scaled so that the largest shown is 100."""
     rows = df.where(F.col(spec.state).isin(*states)) if states else present(df, spec.state)
-    grouped = rows.groupBy(spec.state).agg(
-        *[F.sum(c).alias(c) for c in spec.measures],
-        F.count_distinct(spec.district).alias("districts"),
-        F.count_distinct(spec.pincode).alias("pincodes"),
+    # one rollup of the facts; a pincode counts where it stands first in its state, and districts are counted by a second rollup
+    places = rows.groupBy(spec.state, spec.district, spec.pincode).agg(*[F.sum(c).alias(c) for c in spec.measures])
+    first = F.row_number().over(W.partitionBy(spec.state, spec.pincode).orderBy(spec.district)) == 1
+    districts = places.withColumn("_first", first & F.col(spec.pincode).isNotNull()).groupBy(spec.state, spec.district).agg(
+        *[F.sum(c).alias(c) for c in spec.measures], F.count_if("_first").alias("_pins")
+    )
+    grouped = districts.groupBy(spec.state).agg(
+        *[F.sum(c).alias(c) for c in spec.measures], F.count(spec.district).alias("districts"), F.sum("_pins").alias("pincodes")
     )
     if not states:
         grouped = grouped.orderBy(F.desc(spec.total), spec.state).limit(n)

@@ -57,6 +57,12 @@ def test_daily_series_reads_one_table_and_two_columns(spark):
     assert plan.count("FileScan") == 1 and "ReadSchema: struct<l_quantity:double,l_shipdate:timestamp_ntz>" in plan
 
 
+@pytest.mark.parametrize("name", ["underserved", "district_features", "anomaly_geo", "district_risk", "radar_metrics", "top_performers"])
+def test_distinct_counts_copy_no_rows_and_read_facts_once(spark, name):
+    plan = final_plan(contract.queries()[name](spark, SF))
+    assert "Expand" not in plan and sum("FileScan" in x and "lineitem.parquet" in x for x in plan.splitlines()) == 1
+
+
 @pytest.mark.parametrize("name", ["describe_numeric", "percentile_rank_avg", "state_total", "clean_pipeline"])
 def test_large_grains_never_meet_in_one_task(spark, name):
     """The only single-task exchanges are over buckets, days and other bounded sets."""

@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+from decimal import Decimal
 
 import pandas as pd
 import pytest
@@ -191,3 +193,24 @@ def test_demand_features_ignore_rows_without_a_date(spark):
     days = spark.range(40).select(F.date_add(F.lit("2025-01-01").cast("date"), F.col("id").cast("int")).alias(D.date), F.col("id").alias(D.total))
     holes = days.unionByName(spark.range(1).select(F.lit(None).cast("date").alias(D.date), F.lit(9).cast("bigint").alias(D.total)))
     assert learn.demand_features(holes).collect() == learn.demand_features(days).collect()
+
+
+def test_day_sets_count_days_and_pincodes_as_distinct_counts_do(spark):
+    rng = random.Random(5)
+    days = ["2023-12-31", "2024-12-31", "2025-12-31", "2024-02-29", "2024-01-01", "2024-03-04", "2024-03-05", None]
+    rows = [(rng.choice(days), rng.choice("AB"), rng.choice(["X", "Y"]), rng.choice(["110001", "110002", None]), rng.randrange(9), 1, 2) for _ in range(300)]
+    df = spark.createDataFrame(rows, "d string, state string, district string, pincode string, a bigint, b bigint, c bigint").selectExpr(
+        "to_date(d) AS date", "state", "district", "pincode", "a AS age_0_5", "b AS age_5_17", "c AS age_18_greater", "a + b + c AS total_enrollments",
+    )
+    for keys in (["state"], ["state", "district"]):
+        sets = g.day_sets(df, ["state", "district"])
+        got = g.from_day_sets(sets, keys, ["total_enrollments", "records", "squares"]).collect()
+        want = df.groupBy(*keys).agg(
+            F.sum("total_enrollments").alias("total_enrollments"), F.count("*").alias("records"),
+            F.sum(F.col("total_enrollments") * F.col("total_enrollments")).alias("squares"),
+            F.count_distinct("date").alias("active_days"), F.count_distinct("pincode").alias("unique_pincodes"),
+        ).collect()
+        assert sorted(tuple(int(x) if isinstance(x, Decimal) else x for x in r) for r in got) == sorted(tuple(r) for r in want)
+    every = spark.sql("SELECT explode(sequence(date'2023-01-01', date'2024-12-31')) AS date").selectExpr(
+        "date", "'S' AS state", "'D' AS district", "'1' AS pincode", "1L AS age_0_5", "0L AS age_5_17", "0L AS age_18_greater", "1L AS total_enrollments")
+    assert g.from_day_sets(g.day_sets(every, ["state"]), ["state"], []).first().active_days == 731
