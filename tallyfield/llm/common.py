@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Order value of a missing doc_id: such rows count as one document after all others.
 LAST = (1 << 63) - 1
@@ -31,6 +33,34 @@ def texts(docs: DataFrame) -> DataFrame:
     )
 
 
+def unused(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores after those that are taken, as Spark compares them, without case."""
+    have, out = {x.lower() for x in taken}, []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kinds: StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any names; those with dots or backticks it would not take itself."""
+    names = df.columns
+
+    def renamed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(b.rename_columns(names) for b in rows):
+            yield batch.rename_columns([f"c{i}" for i in range(len(kinds))])
+
+    out = StructType([StructField(f"c{i}", f.dataType, True) for i, f in enumerate(kinds)])
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, out).toDF(*kinds.names)
+
+
 def text_key(text: Column) -> Column:
     """64-bit key of a text; with doc_id it names a document row, so repeated rows share results."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -95,16 +125,12 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
-    """Hash of values[s:e] for each s, e: a polynomial modulo 2**64 from prefix sums, then mixed."""
-    up, down = _powers(_BASES[base], len(values) + 1)
-    sums = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
-
-
 def window_hashes(values: np.ndarray, width: int, base: int = 0) -> np.ndarray:
-    """Hash of each run of ``width`` values."""
+    """Hash of each run of ``width`` values: a polynomial modulo 2**64 from prefix sums, then mixed.
+
+    For values that are random themselves and runs of fixed, short width only: such polynomials collide by
+    construction on long runs of two values in the Thue-Morse order.
+    """
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, _U)
@@ -143,7 +169,9 @@ class Words:
         self.offset = np.cumsum([0, *(len(b) + 1 for b in bodies)])
         self.first = np.searchsorted(self.start, self.offset)
         self.doc = np.repeat(np.arange(len(bodies)), np.diff(self.first))
-        self.hashes = span_hashes(byte_values(self.raw), self.start, self.end)
+        known: dict[bytes, int] = {}
+        number = [known.setdefault(w, len(known)) for w in joined.split()]
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), _U, len(known))[number] if number else np.zeros(0, _U)
 
 
 # --- arrays as bytes -----------------------------------------------------------------------------

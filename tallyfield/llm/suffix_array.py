@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import LAST, byte_values, doc_ids, id_or_null, planes, span_hashes, table, window_hashes
+from .common import LAST, byte_values, doc_ids, id_or_null, planes, table, window_hashes
 from .substring_dedup import _cuts, find_anchors, find_smaller
 
 LENGTH = 50
@@ -121,7 +122,7 @@ class Texts:
                 yield lo, window_hashes(byte_values(self.raw[lo:hi]), width) | _U(1), np.cumsum(step)[:n] > 0
 
     def pieces(self, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First and last window starts (end exclusive) of content-defined pieces, and two hashes of each piece's bytes."""
+        """First and last window starts (end exclusive) of content-defined pieces, and the halves of a 128-bit hash of each piece's bytes."""
         found = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, _U)] * 2]
         for lo, h, valid in self.runs(length, width):
             ahead = np.append(valid[1:], False)
@@ -129,8 +130,9 @@ class Texts:
             start = np.flatnonzero(valid & (((h[: len(valid)] >> _U(20)) % _U(PIECE) == 0) | first))
             stop = np.flatnonzero(valid & ~ahead) + 1
             end = np.minimum(np.append(start[1:], len(valid)), stop[np.searchsorted(stop, start, "right")])
-            values = byte_values(self.raw[lo : lo + len(valid) + length])
-            found.append([start + lo, end + lo, *(span_hashes(values, start, end + length - 1, base) for base in (0, 1))])
+            raw = self.raw[lo : lo + len(valid) + length].tobytes()
+            name = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), (end + length - 1).tolist())])
+            found.append([start + lo, end + lo, *np.frombuffer(name, "<u8").reshape(-1, 2).T])
         return tuple(np.concatenate(x) for x in zip(*found))
 
     def anchors(self, lost: np.ndarray, length: int, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

@@ -91,6 +91,27 @@ def test_suffix_array(docs, rows, none, chunk_bytes, monkeypatch):
     assert suffix_array.dedup_suffixes(none).count() == 0
 
 
+def thue_morse(n, zero, one):
+    return "".join((zero, one)[i.bit_count() % 2] for i in range(n))
+
+
+def test_texts_that_differ_in_the_thue_morse_order_only(spark):
+    """Polynomials modulo 2**64 agree on them, whatever their base."""
+    a, b = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    plain = " ".join(f"w{i}" for i in range(49))
+    pairs = [thue_morse(1024, "hf", "jg"), thue_morse(1024, "jf", "hg")]
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r.n_removed for r in substring_dedup.dedup_substrings(frame([f"{plain} {a}", f"{plain} {b}"])).collect()] == [0, 0]
+    assert [r.n_removed for r in substring_dedup.dedup_substrings(frame([f"{plain} {a}", f"{plain} {a}"])).sort("doc_id").collect()] == [0, 50]
+    seven = " ".join(f"w{i}" for i in range(7))
+    got = quality_rules.apply_rules(frame([f"{seven} {a} {seven} {b}", f"{seven} {a} {seven} {a}"])).sort("doc_id").collect()
+    assert [r.n_repeat_words for r in got] == [0, 16]
+    windows = [{t[i : i + 50] for i in range(len(t) - 49)} for t in pairs]
+    assert not windows[0] & windows[1]
+    assert [r.n_removed for r in suffix_array.dedup_suffixes(frame(pairs)).collect()] == [0, 0]
+    assert sorted(r.n_removed for r in suffix_array.dedup_suffixes(frame([pairs[0], pairs[0]])).collect()) == [0, 2048]
+
+
 def test_bpe_round_trip(docs, rows, none):
     tokenizer = bpe.load(bpe.read_tokenizer(bpe.default_tokenizer()))
     special = "A <|endoftext|> b<|STARTOFTEXT|> é́  x y"
