@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import pinned
-from .common import LAST, batches, table, text_key
+from .common import LAST, batches, column, mapped, table, text_key, unused
 
 WINDOW = 10
 #: Words of test items in one automaton; more items go into further automata.
@@ -284,28 +284,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     A span is removed once it is ``window`` words long (or a whole shorter item); a
     document goes if more than ``max_coverage`` of its words are hit. Other columns
-    stay as they are, and documents without hits are unchanged, null texts included.
+    stay as they are, whatever their names, and documents without hits are unchanged, null texts
+    included; repeated rows give repeated rows; an empty table gives no rows.
     """
-    names, parts = docs.columns, automata(benchmark, window)
-    kinds = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
+    names, parts, kinds = docs.columns, automata(benchmark, window), docs.schema
+    of_doc, of_key, of_words, of_runs = unused(names, "_llm_doc", "_llm_key", "_llm_words", "_llm_runs")
     if len(parts) == 1:
         sent = docs.sparkSession.sparkContext.broadcast(next(iter(parts)))
 
         def found_in(batch: pa.RecordBatch, bodies: list[bytes]) -> list[tuple[int, list[int]]]:
             return [(n, [x for r in runs for x in r]) for n, runs, _ in sent.value.scan(bodies)]
 
-        return docs.mapInArrow(_cut(found_in, names, max_coverage), kinds)
+        return mapped(docs, _cut(found_in, names, max_coverage), kinds)
     # hits of all automata are found on the whole texts, so what is cut does not depend on how items are dealt
-    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("_llm_doc")
+    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias(of_doc)
     hits = _scan(docs, parts).where(F.size("runs") > 0).select(
-        doc, F.col("key").alias("_llm_key"), F.col("n_words").alias("_llm_words"), F.col("runs").alias("_llm_runs")
-    ).dropDuplicates(["_llm_doc", "_llm_key"])
-    joined = docs.withColumns({"_llm_doc": doc, "_llm_key": text_key(F.col("text"))}).join(hits, ["_llm_doc", "_llm_key"], "left")
+        doc, F.col("key").alias(of_key), F.col("n_words").alias(of_words), F.col("runs").alias(of_runs)
+    ).dropDuplicates([of_doc, of_key])
+    joined = docs.withColumns({of_doc: doc, of_key: text_key(F.col("text"))}).join(hits, [of_doc, of_key], "left")
 
     def joined_to(batch: pa.RecordBatch, bodies: list[bytes]) -> list[tuple[int, list[int]]]:
-        return [(n or 0, runs or []) for n, runs in zip(batch.column("_llm_words").to_pylist(), batch.column("_llm_runs").to_pylist(), strict=True)]
+        return [(n or 0, runs or []) for n, runs in zip(batch.column(of_words).to_pylist(), batch.column(of_runs).to_pylist(), strict=True)]
 
-    return joined.select(*[F.col(f"`{n}`") for n in names], "_llm_words", "_llm_runs").mapInArrow(_cut(joined_to, names, max_coverage), kinds)
+    return mapped(joined.select(*map(column, names), of_words, of_runs), _cut(joined_to, names, max_coverage), kinds)
 
 
 def _cut(found_in, names: list[str], max_coverage: float):

@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LAST, doc_ids, id_or_null, signed, table, text_key, texts
+from .common import LAST, column, doc_ids, mapped, signed, table, text_key, texts, unused
 
 MIN_CHARS = 10
 _SENT = "hi bigint, lo bigint, doc bigint, key bigint, lost boolean, lines binary"
@@ -137,26 +138,29 @@ def kept_lines(body: bytes, keep: bytes | None) -> tuple[int, int, bytes]:
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with their other columns as they were, ``text`` without its lost lines.
 
-    Two columns follow: ``_n_lines`` and ``_n_dropped``. A null text stays null.
+    Two columns follow, the lines before and those dropped: ``_n_lines`` and ``_n_dropped``, with
+    underscores added where the documents have such columns. A null text stays null and has one
+    line, as an empty one; repeated rows give repeated rows; an empty table gives no rows.
     """
     names = docs.columns
+    doc, key, keep, *counts = unused(names, "_llm_doc", "_llm_key", "_llm_keep", "_n_lines", "_n_dropped")
     joined = docs.withColumns({
-        "_llm_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)), "_llm_key": text_key(F.col("text")),
-    }).join(keep_bitmaps(docs, min_chars).select(F.col("doc").alias("_llm_doc"), F.col("key").alias("_llm_key"), F.col("keep").alias("_llm_keep")), ["_llm_doc", "_llm_key"], "left")
+        doc: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)), key: text_key(F.col("text")),
+    }).join(keep_bitmaps(docs, min_chars).select(F.col("doc").alias(doc), F.col("key").alias(key), F.col("keep").alias(keep)), [doc, key], "left")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             old = batch.column("text").cast(pa.binary()).to_pylist()
-            made = [kept_lines(b or b"", k) for b, k in zip(old, batch.column("_llm_keep").to_pylist(), strict=True)]
+            made = [kept_lines(b or b"", k) for b, k in zip(old, batch.column(keep).to_pylist(), strict=True)]
             new = pa.array([None if b is None else m[2] for b, m in zip(old, made, strict=True)], pa.binary()).cast(pa.string())
             columns = [new if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64())],
-                names=[*names, "_n_lines", "_n_dropped"],
+                names=[*names, *counts],
             )
 
-    kinds = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
-    return joined.select(*[F.col(f"`{n}`") for n in names], "_llm_keep").mapInArrow(run, f"{kinds}, _n_lines bigint, _n_dropped bigint")
+    kinds = StructType([*docs.schema, *(StructField(c, LongType()) for c in counts)])
+    return mapped(joined.select(*map(column, names), keep), run, kinds)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import pinned
-from .common import batches, table
+from .common import batches, mapped, table
 
 FEATURES = 256
 RIDGE = 1e-2
@@ -195,7 +195,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
             if bodies:
                 yield batch.filter(pa.array(model.score(_statistics_column(bodies)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

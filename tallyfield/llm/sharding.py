@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.scratch import pinned
-from .common import table, total_bytes
+from .common import column, mapped, table, total_bytes, unused
 
 SHARDS = 40
 SEED = 17
@@ -26,19 +27,19 @@ BUCKET_BYTES = 24 << 20
 RECORD = 16
 
 
-def _fisher_yates(names: list[str], seed: int):
-    """Rows come sorted by bucket; each bucket is gathered, permuted and sent on with its positions."""
+def _fisher_yates(names: list[str], at: str, position: str, seed: int):
+    """Rows come sorted by bucket ``at``; each bucket is gathered, permuted and sent on with its positions."""
 
     def shuffled(bucket: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts)
         order = np.random.default_rng([seed, bucket]).permutation(rows.num_rows)
-        rows = rows.take(pa.array(order)).append_column("_llm_position", pa.array(np.arange(rows.num_rows, dtype=np.int64)))
-        yield from rows.select([*names, "_llm_bucket", "_llm_position"]).combine_chunks().to_batches(max_chunksize=4096)
+        rows = rows.take(pa.array(order)).append_column(position, pa.array(np.arange(rows.num_rows, dtype=np.int64)))
+        yield from rows.select([*names, at, position]).combine_chunks().to_batches(max_chunksize=4096)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
         for batch in batches:
-            bucket = batch.column("_llm_bucket").to_numpy()
+            bucket = batch.column(at).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
@@ -57,36 +58,34 @@ def _fisher_yates(names: list[str], seed: int):
 def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All rows in shuffled order, with ``_shard`` (0 to shards - 1) and ``_slot`` (gapless from 0).
 
-    Shards' counts differ by one at most. Every row counts by itself, so null or
+    Where the documents have such columns, underscores are added to these two. Shards' counts differ by one at most. Every row counts by itself, so null or
     repeated ids, equal texts and equal rows spread like others. An empty table
     gives no rows; with fewer rows than shards some shards are empty.
     """
     names = docs.columns
+    row, at, position, n, start, shard, slot = unused(names, "_llm_row", "_llm_bucket", "_llm_position", "_llm_n", "_llm_start", "_shard", "_slot")
     n_buckets = 1 + total_bytes(docs) // bucket_bytes
     scattered = pinned(
-        docs.withColumn("_llm_row", F.monotonically_increasing_id()).withColumn(
-            "_llm_bucket", F.pmod(F.xxhash64(F.lit(seed), "_llm_row"), F.lit(n_buckets))
+        docs.withColumn(row, F.monotonically_increasing_id()).withColumn(
+            at, F.pmod(F.xxhash64(F.lit(seed), row), F.lit(n_buckets))
         ), "shard-buckets",
     )
-    counts = scattered.groupBy("_llm_bucket").agg(F.count("*").alias("_llm_n"))
-    ahead = Window.orderBy("_llm_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_llm_bucket", F.coalesce(F.sum("_llm_n").over(ahead), F.lit(0)).alias("_llm_start"))
+    counts = scattered.groupBy(at).agg(F.count("*").alias(n))
+    ahead = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(at, F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(start))
     rows = max(1, scattered.count())
-    kinds = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
-    buckets = (
-        scattered.repartition(int(n_buckets), "_llm_bucket").sortWithinPartitions("_llm_bucket", "_llm_row")
-        .mapInArrow(_fisher_yates(names, seed), f"{kinds}, _llm_bucket bigint, _llm_position bigint")
-    )
-    place = F.col("_llm_start") + F.col("_llm_position")
-    shard = F.expr(f"((_llm_start + _llm_position + 1) * {shards} - 1) div {rows}")
-    return buckets.join(starts, "_llm_bucket").withColumn("_shard", shard.cast("int")).withColumn(
-        "_slot", place - F.expr(f"(_shard * {rows}L) div {shards}")
-    ).select(*[F.col(f"`{n}`") for n in names], "_shard", "_slot")
+    kinds = StructType([*docs.schema, StructField(at, LongType()), StructField(position, LongType())])
+    buckets = mapped(scattered.repartition(int(n_buckets), at).sortWithinPartitions(at, row), _fisher_yates(names, at, position, seed), kinds)
+    of = F.expr(f"(({start} + {position} + 1) * {shards} - 1) div {rows}")
+    return buckets.join(starts, at).withColumn(shard, of.cast("int")).withColumn(
+        slot, F.expr(f"{start} + {position} - ({shard} * {rows}L) div {shards}")
+    ).select(*map(column, names), shard, slot)
 
 
 def write_shards(docs: DataFrame, path: str, **how) -> None:
     """Write one folder a shard; its files hold whole stretches of the shuffled order, numbered by ``_slot``."""
-    shuffle_into_shards(docs, **how).write.partitionBy("_shard").parquet(path)
+    made = shuffle_into_shards(docs, **how)
+    made.write.partitionBy(made.columns[-2]).parquet(path)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,6 @@ spanning forest of its links, never all pairs.
 
 The trees are built where their shard is: all trees together grow with the data, so
 broadcasting them would have no size bound.
-
-The pipeline keeps one of each group of near copies (``keep_unlike``): the same trees find
-candidates in wider shards, and candidates are compared exactly.
 """
 
 from __future__ import annotations
@@ -27,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import pinned
-from .common import LAST, batches, mix, table, text_key
+from .common import LAST, batches, column, table, text_key, unused
 from .components import components
 
 RADIUS = 4
@@ -222,151 +219,36 @@ def linked_in_shards(rows: DataFrame, radius: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, width: int = WORDS) -> DataFrame:
-    """(doc_id, key, fp, component_id), one row a document.
+    """(doc_id, key, fp, component_id, root), one row a document.
 
     component_id is the smallest doc_id that can be reached over links of at most
-    ``radius`` bits. Documents of one fingerprint are one node, however many they
-    are. A null doc_id counts as the largest, and stands as null.
+    ``radius`` bits, root the smallest fingerprint. Documents of one fingerprint are one node, however many they
+    are. A null doc_id counts as the largest, and stands as null; repeated rows give
+    repeated rows; other columns are left behind; an empty table gives no rows.
     """
     prints = pinned(fingerprints(docs, width), "fingerprints")
     number = F.coalesce("doc_id", F.lit(LAST))
-    distinct = pinned(prints.groupBy("fp").agg(F.min(number).alias("node")), "distinct-fingerprints")
-    found = components(linked(distinct, distinct.count(), radius))
-    of_print = distinct.join(found, F.col("node") == F.col("id"), "left").select("fp", F.coalesce("root", "node").alias("root"))
-    return prints.join(of_print, "fp").select("doc_id", "key", "fp", F.when(F.col("root") != LAST, F.col("root")).alias("component_id"))
+    distinct = pinned(prints.groupBy("fp").agg(F.min(number).alias("least")), "distinct-fingerprints")
+    found = components(linked(distinct.select("fp", F.col("fp").alias("node")), distinct.count(), radius))
+    rooted = distinct.join(found, F.col("fp") == F.col("id"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    of_print = rooted.drop("least").join(least, "root")
+    return prints.join(of_print, "fp").select("doc_id", "key", "fp", F.when(F.col("least") != LAST, F.col("least")).alias("component_id"), "root")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = WORDS) -> DataFrame:
-    """One document of each group: that of the smallest doc_id, all columns unchanged.
-
-    Of repeated rows of that doc_id one stays.
-    """
-    chosen = near_groups(docs, radius, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("_llm_key"))
-    marked = docs.withColumns({"_llm_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)), "_llm_key": text_key(F.col("text"))})
-    stay = chosen.select(F.coalesce("component_id", F.lit(LAST)).alias("_llm_doc"), "_llm_key")
-    kept = marked.join(stay, ["_llm_doc", "_llm_key"], "left_semi")
-    return kept.dropDuplicates(["_llm_doc", "_llm_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-# --- near copies by exact similarity ---------------------------------------------------------
-
-#: Shingle width of near copies, and the least Jaccard similarity of their shingle sets.
-COPY_WORDS, SIMILARITY = 5, 0.8
-#: At similarity 0.8 about 9.7 of 64 bits differ, with a deviation of 2.9.
-COPY_RADIUS = 20
-#: Shards of a document: so many bands, each of so many smallest hashes. At 0.8, 0.02 % of pairs share no band.
-BANDS, BAND = 16, 4
-#: Candidates that are compared in one task; larger groups are dealt into pairs of parts.
-COMPARED = 2_000
-
-_XOR = mix(np.arange(1, BANDS * BAND + 1, dtype=np.uint64))
-_ODD = mix(_XOR) | np.uint64(1)
-
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One value a band: the smallest of the hashes under each of the band's orders. No hashes have no bands."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(len(_XOR), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1 << 12):
-        np.minimum(least, ((_XOR[:, None] ^ hashes[None, at : at + (1 << 12)]) * _ODD[:, None]).min(1), out=least)
-    return mix((mix(least).reshape(BANDS, BAND) * _ODD[:BAND]).sum(1, dtype=np.uint64)).view(np.int64)
-
-
-def sketches(docs: DataFrame, width: int = COPY_WORDS) -> DataFrame:
-    """(doc, key, node, fp, bands), one row a document; node is the key of its set of shingles."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
-            sets = [np.unique(shingles(b, width)) for b in batch.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc"), batch.column("key"),
-                pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)),
-                pa.array(np.array([majority(x) for x in sets], np.uint64).view(np.int64)),
-                pa.array([bands(x) for x in sets], pa.list_(pa.int64())),
-            ], names=["doc", "key", "node", "fp", "bands"])
-
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), text_key(F.col("text")).alias("key"),
-        F.coalesce("text", F.lit("")).cast("binary").alias("body"),
-    ).mapInArrow(run, "doc bigint, key bigint, node bigint, fp bigint, bands array<bigint>")
-
-
-def similar(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
-    """For each set the smallest index of those it is connected with; every pair that is not yet connected is compared."""
-    n, size = len(sets), np.array([len(x) for x in sets])
-    known, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    edge, first = np.concatenate(([0], np.cumsum(size))), np.cumsum(count) - count
-    holder = np.repeat(np.arange(n), size)[np.argsort(at, kind="stable")]
-    label, least = np.arange(n), round(1000 * similarity)
-    for i in range(n):
-        apart = label != label[i]
-        if not apart.any():
-            break
-        own = at[edge[i] : edge[i + 1]]
-        many = count[own]
-        held = holder[np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(many.sum())]
-        common = np.bincount(held, minlength=n)
-        near = np.flatnonzero(apart & (1000 * common >= least * (size + size[i] - common)))
-        connect(label, np.full(len(near), i), near)
-    return label
-
-
-def _compare(width: int, similarity: float):
-    """Rows come sorted by group; links (u, v) that connect what is similar inside each."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets = None, [], []
-
-        def links() -> list[tuple[int, int]]:
-            return [(nodes[i], nodes[j]) for i, j in enumerate(similar(sets, similarity).tolist()) if i != j] if len(sets) > 1 else []
-
-        for batch in batches(rows):
-            out = []
-            for *group, node, body in zip(*(batch.column(c).to_pylist() for c in ("root", "one", "two", "node", "body")), strict=True):
-                if group != now:
-                    out += links()
-                    now, nodes, sets = group, [], []
-                nodes.append(node)
-                sets.append(np.unique(shingles(body, width)))
-            yield _pairs(out)
-        yield _pairs(links())
-
-    return run
-
-
-def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
-
-
-def keep_unlike(docs: DataFrame, similarity: float = SIMILARITY, width: int = COPY_WORDS) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies, all columns unchanged.
+    """One document of each group: that of the smallest doc_id, all columns unchanged, whatever their names.
 
-    Near copies have sets of ``width``-word shingles of at least that Jaccard similarity; groups are
-    what links of near copies connect. Candidates share a shard (a band of smallest hashes) and lie
-    within ``COPY_RADIUS`` bits; all pairs of what candidates connect are then compared exactly, so no
-    link is wrong, and a pair is missed only if no chain of candidates ties it. Texts without words are
-    one group. A null doc_id counts as the largest. Of repeated rows one stays.
+    Null and empty texts have fingerprint 0 and are one group with all that lies near it. Of repeated rows
+    of the chosen doc_id one stays; a null doc_id counts as the largest. An empty table gives no rows.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = pinned(pinned(sketches(docs, width), "copy-sketches").groupBy("node").agg(
-        F.min(F.struct("doc", "key")).alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands")
-    ), "copy-nodes")
-    maybe = components(linked_in_shards(nodes.select("fp", "node", F.posexplode("bands").alias("choice", "value")), COPY_RADIUS))
-    maybe = pinned(maybe.unionAll(maybe.select(F.col("root").alias("id"), "root").distinct()), "copy-candidates")
-    at = ["_llm_doc", "_llm_key"]
-    of_node = nodes.select("node", F.col("least.doc").alias(at[0]), F.col("least.key").alias(at[1]))
-    marked = docs.withColumns({at[0]: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)), at[1]: text_key(F.col("text"))})
-    texts = marked.select(*at, F.coalesce("text", F.lit("")).cast("binary").alias("body")).join(
-        of_node.join(maybe, F.col("node") == F.col("id")).select("node", "root", *at), at
-    ).dropDuplicates(["node"]).select("root", "node", "body")
-    group = ["root", "one", "two"]
-    dealt = in_parts(texts, group[:1], "node", COMPARED).repartition(parts, *group).sortWithinPartitions(*group)
-    found = components(dealt.mapInArrow(_compare(width, similarity), "u bigint, v bigint"))
-    stay = nodes.join(found, F.col("node") == F.col("id"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(
-        F.min("least").alias("least")
-    ).select(F.col("least.doc").alias(at[0]), F.col("least.key").alias(at[1]))
-    return marked.join(stay, at, "left_semi").dropDuplicates(at).select(*[F.col(f"`{c}`") for c in docs.columns])
+    doc, key = unused(docs.columns, "_llm_doc", "_llm_key")
+    one = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "key")).alias("one")
+    chosen = near_groups(docs, radius, width).groupBy("root").agg(one)
+    marked = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)), key: text_key(F.col("text"))})
+    stay = chosen.select(F.col("one.doc").alias(doc), F.col("one.key").alias(key))
+    kept = marked.join(stay, [doc, key], "left_semi")
+    return kept.dropDuplicates([doc, key]).select(*map(column, docs.columns))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
