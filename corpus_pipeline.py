@@ -15,31 +15,43 @@ from tallyfield.sources.scratch import pinned
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels of these documents, does not reject."""
-    stats = pinned(quality_classifier.document_statistics(docs), "quality-stats")
-    model = quality_classifier.fit(stats, table(spark, sf_dir, "labels"))
+    """Documents that the classifier, fitted on the labels of these documents, does not reject.
+
+    Null and empty texts are scored as empty ones, repeated rows alike; without labels all scores
+    are 0.5, under the threshold, and no document stays.
+    """
+    labels = table(spark, sf_dir, "labels")
+    marked = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")  # statistics of these only
+    model = quality_classifier.fit(quality_classifier.document_statistics(marked), labels)
     return quality_classifier.keep_good(docs, model)
 
 
 def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that a document of smaller id has; those left without text go."""
+    """Documents without lines that a document of smaller id has; those left without text go, null and empty texts stay."""
     out = line_dedup.dedup_lines(docs)
-    left = out.where((F.col("_n_dropped") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != ""))
-    return with_size(left.drop("_n_lines", "_n_dropped"))
+    n_lines, n_dropped = out.columns[-2:]
+    left = out.where((F.col(n_dropped) == 0) | (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    return with_size(left.drop(n_lines, n_dropped))
 
 
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
-    return simhash.keep_unlike(docs)
+    """One document, that of the smallest id, of each group that SimHash near-dedup links: four-word shingles, four bits.
+
+    Texts without words are one group; of repeated rows one stays.
+    """
+    return simhash.keep_one(docs, simhash.RADIUS, simhash.WORDS)
 
 
 def unseen_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark; those that consist of them go."""
+    """Documents without passages of the benchmark; those of which more than half the words are such passages go.
+
+    Null and empty texts stay as they are.
+    """
     return with_size(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, token ids and the text decoded from them."""
+    """doc_id, n_tokens, token ids and the text decoded from them; null and empty texts have none."""
     return bpe.encode_and_decode(docs).select("doc_id", "n_tokens", "ids", "decoded")
 
 
