@@ -96,6 +96,26 @@ def drop_numeric_names(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
     return df.where(keep)
 
 
+def clean_rows(raw: DataFrame, spec: FactSpec = DEFAULT, strict: bool = False, also: Sequence[str] = ()) -> DataFrame:
+    """The raw columns cleaned row by row, rows without critical values left out; ``also`` names columns that are carried along."""
+    named = ~text.is_missing_name(F.col(spec.state), strict)
+    named = named & ~text.is_missing_name(F.col(spec.district), strict)
+    return (
+        raw.select(*spec.raw_columns, *also)
+        .where(named)
+        .transform(parse_date, spec)
+        .transform(present, spec.date)
+        .transform(normalize_names, spec, strict)
+        .transform(validate_pincode, spec)
+        .transform(coerce_counts, spec)
+    )
+
+
+def derived(rows: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
+    """Cleaned rows with their calendar and total."""
+    return rows.transform(add_calendar, spec).transform(add_row_total, spec)
+
+
 def clean(raw: DataFrame, spec: FactSpec = DEFAULT, strict: bool = False) -> DataFrame:
     """The whole cleaning pipeline.
 
@@ -106,22 +126,7 @@ def clean(raw: DataFrame, spec: FactSpec = DEFAULT, strict: bool = False) -> Dat
     Calendar columns follow from the date, so they are added after the shuffle
     instead of travelling through it.
     """
-    named = ~text.is_missing_name(F.col(spec.state), strict)
-    named = named & ~text.is_missing_name(F.col(spec.district), strict)
-    rows = (
-        raw.select(*spec.raw_columns)
-        .where(named)
-        .transform(parse_date, spec)
-        .transform(present, spec.date)
-        .transform(normalize_names, spec, strict)
-        .transform(validate_pincode, spec)
-        .transform(coerce_counts, spec)
-    )
-    return (
-        drop_exact_duplicates(rows)
-        .transform(add_calendar, spec)
-        .transform(add_row_total, spec)
-    )
+    return derived(drop_exact_duplicates(clean_rows(raw, spec, strict)), spec)
 
 
 def add_shares(df: DataFrame, spec: FactSpec = DEFAULT, keep_null: bool = False) -> DataFrame:

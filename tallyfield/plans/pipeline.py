@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import aggregate, clean, joins
+from ..operators import joins
 from ..sources import files
 from ..spec import DEFAULT, FactSpec
-from . import reports
+from . import refresh, reports
 
 # Report file names, and the section each one holds.
 ANOMALY_FILES = {
@@ -27,19 +27,6 @@ OPERATIONAL_FILES = {
 }
 
 
-def rollups(spark: SparkSession, facts: DataFrame, out_dir: str, spec: FactSpec, inputs: str = "") -> reports.Rollups:
-    """Both rollups as tables under the output folder, made when absent or of other inputs."""
-    return reports.Rollups(
-        files.materialize_if_absent(
-            spark, f"{out_dir}/rollups/day_cube", lambda: aggregate.day_cube(facts, spec), inputs=inputs
-        ),
-        files.materialize_if_absent(
-            spark, f"{out_dir}/rollups/pincode_profile", lambda: aggregate.pincode_profile(facts, spec), inputs=inputs
-        ),
-        spec,
-    )
-
-
 def run(
     spark: SparkSession,
     raw_paths: Sequence[str],
@@ -53,15 +40,10 @@ def run(
 
     ``quick`` stops after anomalies and forecasts. The cleaned table and the
     rollups are kept, so a second run over the same files, or one after a
-    failure, starts there; other files make all of them anew.
-    A failing report fails the job.
+    failure, starts there; new, changed or missing files cost their months only
+    (``refresh``). A failing report fails the job.
     """
-    inputs = files.inputs_signature(spark, raw_paths)
-    facts = files.materialize_if_absent(
-        spark, f"{out_dir}/clean", lambda: clean.clean(files.read_raw_csv(spark, raw_paths, spec), spec),
-        partition_by=("month",), inputs=inputs,
-    )
-    r = rollups(spark, facts, out_dir, spec, inputs)
+    _, r = refresh.refresh(spark, raw_paths, out_dir, spec)
     written: dict[str, str] = {}
 
     def save(report: reports.Report, names: dict[str, str], skip_empty: bool = False) -> None:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import csv
+from collections.abc import Callable, Iterator, Sequence
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import calendar, numeric
 from ..spec import DEFAULT, FactSpec
-
+from .workers import importable
 
 _CALENDAR_TYPES = {
     "year": T.IntegerType(),
@@ -41,26 +44,59 @@ def clean_schema(spec: FactSpec = DEFAULT) -> T.StructType:
 
 
 def read_raw_csv(
-    spark: SparkSession, paths: str | Sequence[str], spec: FactSpec = DEFAULT
+    spark: SparkSession, paths: str | Sequence[str], spec: FactSpec = DEFAULT, shard: str | None = None
 ) -> DataFrame:
     """Read headered CSV shards (files, folders or globs), columns by name.
 
-    Shards of one header are one scan. A shard may order its columns differently, have
-    more or lack some (null); one without date, state or district is an error.
+    Shards of one header are one scan, and one job reads all headers. A shard may order its columns
+    differently, have more or lack some (null); one without date, state or district is an error, an
+    empty file is none. ``shard`` names a column that tells the version of the file each row is of.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for file in shard_files(spark, paths):
-        header = tuple(c.strip() for c in csv_reader(spark).csv(file).columns)
-        by_header.setdefault(header, []).append(file)
-    parts = []
-    for header, files in by_header.items():
-        if lacking := [c for c in (spec.date, spec.state, spec.district) if c not in header]:
-            raise ValueError(f"{files[0]} has no column {', '.join(lacking)}")
-        text = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        parts.append(csv_reader(spark).schema(text).csv(files).select(*[c for c in spec.raw_columns if c in header]))
-    whole = union_shards(spark.createDataFrame([], raw_schema(spec)), *parts) if len(parts) != 1 else parts[0]
-    return whole.select(*[F.col(c) if c in whole.columns else F.lit(None).cast("string").alias(c) for c in spec.raw_columns])
+    parts, names = [], [*spec.raw_columns, *([shard] if shard else [])]
+    for r in shard_headers(spark, paths).groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("files")).orderBy("files").collect():
+        if lacking := [c for c in (spec.date, spec.state, spec.district) if c not in r.header]:
+            raise ValueError(f"{r.files[0]} has no column {', '.join(lacking)}")
+        text = T.StructType([T.StructField(c, T.StringType()) for c in r.header])
+        own = csv_reader(spark).schema(text).csv(r.files)
+        version = [file_version().alias(shard)] if shard else []
+        parts.append(own.select(*[c for c in spec.raw_columns if c in r.header], *version))
+    empty = T.StructType([*raw_schema(spec), *([T.StructField(shard, T.LongType())] if shard else [])])
+    whole = union_shards(spark.createDataFrame([], empty), *parts) if len(parts) != 1 else parts[0]
+    return whole.select(*[F.col(c) if c in whole.columns else F.lit(None).cast("string").alias(c) for c in names])
+
+
+def file_version() -> Column:
+    """A number that changes with a file's path, size or modification time; a column of any file scan."""
+    return F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+
+
+def shard_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, header): the first line of each file, as names, from one distributed job.
+
+    Only the part of a file that begins it is looked at; a task whose part is not the end of its file holds
+    nothing else, and stops after the line.
+    """
+    importable(spark)
+
+    def first_lines(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, out, more = set(), [], True
+        for batch in rows:
+            for path, line, start, length, size in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if path not in seen:
+                    seen.add(path)
+                    if start == 0:
+                        names = next(csv.reader([line.lstrip("\ufeff")]), [])
+                        out.append((unquote(path), [c.strip() for c in names]))
+                    more = start + length >= size
+            if not more:
+                break
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([p for p, _ in out], pa.string()), pa.array([h for _, h in out], pa.list_(pa.string()))], names=["path", "header"]
+        )
+
+    at = [F.col(f"_metadata.{c}") for c in ("file_block_start", "file_block_length", "file_size")]
+    return spark.read.text(list(paths)).select(F.col("_metadata.file_path"), "value", *at).mapInArrow(first_lines, "path string, header array<string>")
 
 
 def csv_reader(spark: SparkSession) -> DataFrameReader:
@@ -68,18 +104,9 @@ def csv_reader(spark: SparkSession) -> DataFrameReader:
     return spark.read.option("header", True).option("escape", '"')
 
 
-def shard_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """The files under the paths, listed without being read."""
-    found = spark.read.format("binaryFile").load(list(paths)).select("path").orderBy("path")
-    return [r.path for r in found.toLocalIterator()]
-
-
-def inputs_signature(spark: SparkSession, paths: str | Sequence[str]) -> str:
-    """A short text that changes with the files' names, sizes or modification times."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    files = spark.read.format("binaryFile").load(paths).select("path", "length", "modificationTime")
-    marks = files.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
-    return ":".join(map(str, marks))
+def shard_versions(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, shard): the files under the paths with their versions, listed without being read."""
+    return spark.read.format("binaryFile").load(list(paths)).select("path", file_version().alias("shard"))
 
 
 def read_clean(
