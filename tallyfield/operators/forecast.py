@@ -19,6 +19,7 @@ from .aggregate import daily_total
 from .rows import present
 from .select import top_k
 from .series import centered, ordered, whole
+from .smoothing import smoothed
 
 # Default targets, interval width and bound factors.
 TARGETS = (25_000_000, 50_000_000, 100_000_000)
@@ -66,31 +67,11 @@ def holt(
     beta: float = 0.1,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Double exponential smoothing; bounds -30% and +30%, nothing below zero.
-
-    The recurrence needs the days in order, so each series becomes one array
-    (as long as its calendar) and is folded inside the JVM.
-    """
-    state = "struct<level:double,trend:double>"
-    days = F.array_sort(F.collect_list(F.struct("date", "value")))
-    arrays = daily.groupBy(*by).agg(days.alias("days")).select(
-        *by, F.element_at("days", -1)["date"].alias("last_date"),
-        F.transform("days", lambda d: d["value"].cast("double")).alias("v"),
-    )
-    first = F.element_at("v", 1)
-    slope = F.coalesce(F.try_element_at("v", F.lit(2)) - first, F.lit(0.0))
-
-    def step(s: Column, x: Column) -> Column:
-        level = alpha * x + (1 - alpha) * (s["level"] + s["trend"])
-        trend = beta * (level - s["level"]) + (1 - beta) * s["trend"]
-        return F.struct(level.alias("level"), trend.alias("trend")).cast(state)
-
-    start = F.struct(first.alias("level"), slope.alias("trend")).cast(state)
-    rest = F.slice("v", F.lit(2), F.size("v"))
-    fitted = arrays.select(*by, "last_date", F.aggregate(rest, start, step).alias("s"))
-    value = numeric.clip_lower(F.col("s.level") + F.col("step") * F.col("s.trend"))
+    """Double exponential smoothing; bounds -30% and +30%, nothing below zero."""
+    fitted = smoothed(daily, "date", "value", alpha, beta, by)
+    value = numeric.clip_lower(F.col("level") + F.col("step") * F.col("trend"))
     return fitted.select("*", _steps(periods)).select(
-        *by, "step", F.date_add("last_date", F.col("step")).alias("date"),
+        *by, "step", F.date_add("last", F.col("step")).alias("date"),
         value.alias("forecast"), (value * 0.7).alias("lower_bound"), (value * 1.3).alias("upper_bound"),
     )
 
