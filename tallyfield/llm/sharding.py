@@ -27,14 +27,15 @@ BUCKET_BYTES = 24 << 20
 RECORD = 16
 
 
-def _fisher_yates(names: list[str], at: str, position: str, seed: int):
-    """Rows come sorted by bucket ``at``; each bucket is gathered, permuted and sent on with its positions."""
+def _fisher_yates(names: list[str], at: str, place: str, seed: int):
+    """Rows come sorted by bucket ``at``, in each first one that tells its ``place``; buckets are gathered, permuted and sent on with places."""
 
     def shuffled(bucket: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts)
-        order = np.random.default_rng([seed, bucket]).permutation(rows.num_rows)
-        rows = rows.take(pa.array(order)).append_column(position, pa.array(np.arange(rows.num_rows, dtype=np.int64)))
-        yield from rows.select([*names, at, position]).combine_chunks().to_batches(max_chunksize=4096)
+        start, n = rows.column(place)[0].as_py(), rows.num_rows - 1
+        order = np.random.default_rng([seed, bucket]).permutation(n)
+        rows = rows.slice(1).take(pa.array(order)).select(names).append_column(place, pa.array(np.arange(start, start + n)))
+        yield from rows.combine_chunks().to_batches(max_chunksize=4096)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -63,7 +64,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     gives no rows; with fewer rows than shards some shards are empty.
     """
     names = docs.columns
-    row, at, position, n, start, shard, slot = unused(names, "_llm_row", "_llm_bucket", "_llm_position", "_llm_n", "_llm_start", "_shard", "_slot")
+    row, at, place, n, shard, slot = unused(names, "_llm_row", "_llm_bucket", "_llm_place", "_llm_n", "_shard", "_slot")
     n_buckets = 1 + total_bytes(docs) // bucket_bytes
     scattered = pinned(
         docs.withColumn(row, F.monotonically_increasing_id()).withColumn(
@@ -72,13 +73,16 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     )
     counts = scattered.groupBy(at).agg(F.count("*").alias(n))
     ahead = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(at, F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(start))
+    # a row a bucket tells how many rows stand in buckets before it; it goes the way of the bucket's rows, so nothing is joined
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema]
+    starts = counts.select(*nothing, F.lit(-1).cast("bigint").alias(row), at, F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(place))
     rows = max(1, scattered.count())
-    kinds = StructType([*docs.schema, StructField(at, LongType()), StructField(position, LongType())])
-    buckets = mapped(scattered.repartition(int(n_buckets), at).sortWithinPartitions(at, row), _fisher_yates(names, at, position, seed), kinds)
-    of = F.expr(f"(({start} + {position} + 1) * {shards} - 1) div {rows}")
-    return buckets.join(starts, at).withColumn(shard, of.cast("int")).withColumn(
-        slot, F.expr(f"{start} + {position} - ({shard} * {rows}L) div {shards}")
+    kinds = StructType([*docs.schema, StructField(place, LongType())])
+    both = scattered.withColumn(place, F.lit(None).cast("bigint")).unionAll(starts)
+    buckets = mapped(both.repartition(int(n_buckets), at).sortWithinPartitions(at, row), _fisher_yates(names, at, place, seed), kinds)
+    of = F.expr(f"(({place} + 1) * {shards} - 1) div {rows}")
+    return buckets.withColumn(shard, of.cast("int")).withColumn(
+        slot, F.expr(f"{place} - ({shard} * {rows}L) div {shards}")
     ).select(*map(column, names), shard, slot)
 
 
