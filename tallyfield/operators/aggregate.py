@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, numeric
 from ..spec import DEFAULT, FactSpec
+from . import quantile
 from .clean import add_shares, drop_numeric_names
 from .rows import present
 
@@ -436,10 +437,20 @@ def share_of_top(value: str, k: int) -> Column:
 
 
 def gini(totals: DataFrame, value: str) -> DataFrame:
-    """Gini coefficient of a set of state totals."""
-    return with_ranks(totals, value).agg(gini_column(value).alias("gini"))
+    """Gini coefficient of any number of totals: equal ones share their ranks, which running counts of values give."""
+    counts = totals.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("rows"))
+    upto = quantile.cumulate(quantile.bucketed(counts), ())
+    rows, last, v = F.col("rows"), F.col("upto"), F.col("value")
+    n, s = F.sum(rows), F.sum(v * rows)
+    weighted = F.sum((v * rows * (2 * last - rows + 1)).cast("double"))  # twice the values times their ranks
+    return upto.agg(F.try_divide(weighted - (n + 1) * s, (n * s).cast("double")).alias("gini"))
 
 
 def top_share(totals: DataFrame, value: str, ks: Sequence[int] = (1, 3, 5, 10)) -> DataFrame:
-    """Share of the total held by the top ``k`` states, per ``k``."""
-    return with_ranks(totals, value).agg(*[share_of_top(value, k).alias(f"top_{k}_share") for k in ks])
+    """Share of the total held by the top ``k``, per ``k``, of any number of totals."""
+    largest = totals.select(value).orderBy(F.desc_nulls_last(value)).limit(max(ks))
+    downwards = largest.withColumn("down", F.row_number().over(W.orderBy(F.desc_nulls_last(value))))  # max(ks) rows
+    every = totals.agg(F.sum(value)).scalar()
+    return downwards.agg(*[F.sum(F.when(F.col("down") <= k, F.col(value))).alias(f"_{k}") for k in ks]).select(
+        *[numeric.percent(F.col(f"_{k}"), every).alias(f"top_{k}_share") for k in ks]
+    )

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import calendar, numeric, text
 from ..spec import DEFAULT, FactSpec
+from .ranking import ranked
 from .rows import present
 
 
@@ -143,15 +143,12 @@ def label_encode(
 ) -> DataFrame:
     """Integer codes of a label column in sorted order; null counts as a label.
 
-    The codes come from the distinct labels, joined back by label, so no rows
-    pass through one task.
+    The codes come from the distinct labels, numbered by ranges and joined back by label, so neither rows
+    nor labels pass through one task.
     """
     out = out or f"{column}_encoded"
     labelled = df.withColumn("_label", F.coalesce(F.col(column), F.lit(missing)))
-    codes = (
-        labelled.select("_label").distinct()
-        .select("_label", (F.row_number().over(W.orderBy("_label")) - 1).alias(out))
-    )
+    codes = ranked(labelled.select("_label").distinct(), ["_label"], "_at").select("_label", (F.col("_at") - 1).cast("int").alias(out))
     return labelled.join(codes, "_label").drop("_label")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import numeric
+from .ranking import ranked
 
 MILESTONES = (1_000_000, 5_000_000, 10_000_000, 20_000_000)
 
@@ -131,14 +132,12 @@ def run_ids(
 
 
 def pareto(totals: DataFrame, value: str, key: str, reach: float = 80.0) -> DataFrame:
-    """Cumulative share, largest first, and the position that reaches ``reach`` percent."""
-    frame = W.orderBy(F.desc(value), key)
-    run = frame.rowsBetween(W.unboundedPreceding, 0)
-    shares = totals.select(
-        key, value, F.row_number().over(frame).alias("position"),
-        numeric.percent(F.sum(value).over(run), F.sum(value).over(whole())).alias("cumulative_pct"),
+    """Cumulative share, largest first, and the position that reaches ``reach`` percent, over any number of keys."""
+    places = ranked(totals.select(key, value), [F.desc(value), F.asc(key)], "position", {"_upto": value}, {"_all": value})
+    shares = places.select(
+        key, value, F.col("position").cast("int").alias("position"), numeric.percent(F.col("_upto"), F.col("_all")).alias("cumulative_pct")
     )
-    first = F.min(F.when(F.col("cumulative_pct") >= reach, F.col("position"))).over(whole())
+    first = shares.agg(F.min(F.when(F.col("cumulative_pct") >= reach, F.col("position")))).scalar()
     return shares.withColumn("reached_at", first)
 
 
