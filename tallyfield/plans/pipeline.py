@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import joins
-from ..sources import files
+from ..sources import files, scratch
 from ..spec import DEFAULT, FactSpec
 from . import refresh, reports
 
@@ -41,8 +41,15 @@ def run(
     ``quick`` stops after anomalies and forecasts. The cleaned table and the
     rollups are kept, so a second run over the same files, or one after a
     failure, starts there; new, changed or missing files cost their months only
-    (``refresh``). A failing report fails the job.
+    (``refresh``). A failing report fails the job. Scratch tables go when it ends, either way.
     """
+    with scratch.scope(spark):
+        return _run(spark, raw_paths, out_dir, quick, holidays, spec, fmt)
+
+
+def _run(
+    spark: SparkSession, raw_paths: Sequence[str], out_dir: str, quick: bool, holidays: DataFrame | None, spec: FactSpec, fmt: str
+) -> dict[str, str]:
     _, r = refresh.refresh(spark, raw_paths, out_dir, spec)
     written: dict[str, str] = {}
 

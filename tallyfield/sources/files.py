@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import calendar, numeric
 from ..spec import DEFAULT, FactSpec
+from .scratch import memoized as memoized
 from .workers import importable
 
 _CALENDAR_TYPES = {
@@ -172,11 +173,6 @@ def derive_minimum(raw: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
     )
 
 
-def memoized(df: DataFrame) -> DataFrame:
-    """Keep a frame for repeated interactive queries, spilling to disk."""
-    return df.persist()
-
-
 def write_report(df: DataFrame, path: str, fmt: str = "csv") -> str:
     """Write a result: headered CSV by default, or Parquet."""
     writer = df.write.mode("overwrite")

@@ -3,10 +3,42 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_OWNER: ContextVar[ExitStack | None] = ContextVar("scratch owner", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is pinned or memoized inside goes when the block ends, by a failure too.
+
+    Results that read it have to be used or written inside. Scopes nest: each removes what was made in it. Outside of any
+    scope, pinned tables stay until the folder's owner removes them.
+    """
+    with ExitStack() as owned:
+        token = _OWNER.set(owned)
+        try:
+            yield
+        finally:
+            _OWNER.reset(token)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def memoized(df: DataFrame) -> DataFrame:
+    """Keep a frame for repeated interactive queries, spilling to disk, until the scope ends or it is unpersisted."""
+    held = df.persist()
+    if owner := _OWNER.get():
+        owner.callback(held.unpersist, True)
+    return held
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -24,8 +56,11 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the scratch root."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the scratch root; the scope removes it, if there is one."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if owner := _OWNER.get():
+        owner.callback(_remove, spark, path)
+    return path
 
 
 def pinned(df: DataFrame, name: str) -> DataFrame:
