@@ -1028,11 +1028,22 @@ SQL.update({
 
 
 # --- report bundles ----------------------------------------------------------
+def _digest(row: str, digits: int = 3) -> str:
+    """The digest of whole rows: cells as name=value in the order of names, numbers as whole units of the last digit."""
+    value = f"json_extract(to_json({row}), k)"
+    cell = (
+        f"CASE json_type({value}) WHEN 'NULL' THEN '~' WHEN 'VARCHAR' THEN json_extract_string(to_json({row}), k) "
+        f"WHEN 'BOOLEAN' THEN CAST({value} AS VARCHAR) ELSE CAST(CAST(round(round(CAST({value} AS DOUBLE), 6) * {10**digits}) AS BIGINT) AS VARCHAR) END"
+    )
+    text = f"array_to_string(list_transform(list_sort(json_keys(to_json({row}))), lambda k: k || '=' || {cell}), '|')"
+    return f"coalesce(CAST(sum(CAST('0x' || substr(md5({text}), 1, 10) AS BIGINT)) % 1099511627776 AS DOUBLE), 0)"
+
+
 def _section(name: str, sql: str, numbers: str) -> str:
     cols = numbers.split()
-    keys = ", ".join(["'rows'", *[f"'{c}'" for c in cols]])
-    values = ", ".join(["CAST(count(*) AS DOUBLE)", *[f"CAST(sum({c}) AS DOUBLE)" for c in cols]])
-    return f"SELECT '{name}' AS section, unnest([{keys}]) AS key, unnest([{values}]) AS value FROM ({sql})"
+    keys = ", ".join(["'rows'", *[f"'{c}'" for c in cols], "'digest'"])
+    values = ", ".join(["CAST(count(*) AS DOUBLE)", *[f"CAST(sum({c}) AS DOUBLE)" for c in cols], _digest("t")])
+    return f"SELECT '{name}' AS section, unnest([{keys}]) AS key, unnest([{values}]) AS value FROM ({sql}) AS t"
 
 
 def _report(*sections: tuple[str, str, str]) -> str:
@@ -1105,10 +1116,7 @@ SQL.update({
         ("age_groups", SQL["age_group_totals"], "value share_pct"),
         ("top_states", SQL["top_states"], "total"),
         ("daily", SQL["daily_total"], "value"),
-        ("weekdays", o(
-            f"SELECT day_of_week, coalesce(value, 0) AS value FROM {_DIM} LEFT JOIN (SELECT isodow(date) - 1 AS d, "
-            f"{isum('value')} AS value FROM daily GROUP BY 1) ON d = day_of_week"
-        ), "day_of_week value"),
+        ("weekdays", SQL["weekday_total_filled"], "day_of_week value"),
         ("months", SQL["monthly_total"], "value"),
         ("quarters", SQL["quarter_total"], "quarter value"),
         ("monthly_age_groups", SQL["monthly_age_totals"], _STATE_AGE),

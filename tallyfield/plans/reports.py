@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,8 +173,29 @@ def executive_summary(r: Rollups) -> Report:
 _NUMBERS = (T.IntegerType, T.LongType, T.DoubleType)
 
 
-def flatten(report: Report, sections: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
-    """A report as (section, key, value): its row count and the sum of each number column."""
+def digest(df: DataFrame, digits: int = 3) -> Column:
+    """Aggregate over the rows: a number that tells whole tables apart, whatever the order of rows and columns.
+
+    A row is its columns in the order of their names, as name=value; numbers are rounded and written as whole units
+    of the last digit, dates as text, missing values as ~. Each row's MD5 gives 40 bits, and these are summed modulo 2^40.
+    """
+    def cell(f: T.StructField) -> Column:
+        column = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.NumericType):
+            # first as results are rounded everywhere, so that a value on an edge falls to one side
+            column = F.round(F.round(column.cast("double"), 6) * 10**digits).cast("bigint")
+        return F.concat(F.lit(f.name + "="), F.coalesce(column.cast("string"), F.lit("~")))
+
+    row = F.concat_ws("|", *[cell(f) for f in sorted(df.schema.fields, key=lambda f: f.name)])
+    bits = F.conv(F.substring(F.md5(row), 1, 10), 16, 10).cast("decimal(20,0)")
+    return F.coalesce(F.pmod(F.sum(bits), F.lit(1 << 40).cast("decimal(20,0)")).cast("double"), F.lit(0.0))
+
+
+def flatten(report: Report, sections: Sequence[str] | None = None, digits: int = 6, digests: Sequence[str] | None = None) -> DataFrame:
+    """A report as (section, key, value): its row count, the sum of each number column, and the digest of all its rows.
+
+    ``digests`` names the sections that get a digest; all do without it.
+    """
     out = None
     for name in sections or report:
         df = report[name]
@@ -184,6 +205,8 @@ def flatten(report: Report, sections: Sequence[str] | None = None, digits: int =
             F.struct(F.lit(c).alias("key"), F.sum(F.round(c, digits)).cast("double").alias("value"))
             for c in numbers
         ]
+        if digests is None or name in digests:
+            cells.append(F.struct(F.lit("digest").alias("key"), digest(df).alias("value")))
         part = df.agg(F.array(*cells).alias("c")).select(F.lit(name).alias("section"), F.inline("c"))
         out = part if out is None else out.unionByName(part)
     return out
