@@ -1127,5 +1127,33 @@ SQL.update({
 })
 
 
+# --- clusters as a report ----------------------------------------------------
+_PLACE_SUMS = "total part_a part_b part_c active_days"
+_PLACE_COLS = f"{_PLACE_SUMS} unique_pincodes pct_a pct_b pct_c daily_avg per_pincode_avg cluster"
+_CLUSTER_COLS = "cluster total_sum total_mean avg_pct_a avg_pct_b avg_pct_c avg_daily count"
+
+
+def _clusters(level: str, k: int) -> tuple[str, str]:
+    """SQL of the placed rows and of the cluster profiles."""
+    source, id_ = ("features", _DISTRICT_ID) if level == "district" else ("state_features", "state")
+    placed = _rounded(f"SELECT p.* EXCLUDE (id, x, k), cluster_name FROM kplaced p LEFT JOIN ({_named_clusters}) USING (cluster)", " ".join(_FEATURES))
+    named = _rounded(_named_clusters, "total_mean avg_pct_a avg_pct_b avg_pct_c avg_daily")
+    return kmeans(source, id_, _FEATURES, (k,), placed), kmeans(source, id_, _FEATURES, (k,), named)
+
+
+_zones = kmeans(
+    "pin_features", "pincode || '|' || state || '|' || district", ("daily_avg", "pct_a", "pct_b"), (5,),
+    _rounded("SELECT * EXCLUDE (id, x, k, pct_c) FROM kplaced", "daily_avg pct_a pct_b"),
+)
+(_state_rows, _state_profiles), (_district_rows, _district_profiles) = _clusters("state", 4), _clusters("district", 5)
+SQL["clustering_report"] = _report(
+    ("state_clusters", _state_rows, _PLACE_COLS), ("state_profiles", _state_profiles, _CLUSTER_COLS),
+    ("district_clusters", _district_rows, _PLACE_COLS), ("district_profiles", _district_profiles, _CLUSTER_COLS),
+    ("underserved", SQL["underserved"], f"{_PLACE_SUMS} unique_pincodes pct_a pct_b pct_c daily_avg per_pincode_avg daily_avg_normalized coverage_score service_score"),
+    ("pincode_clusters", _zones, f"{_PLACE_SUMS} pct_a pct_b daily_avg cluster"),
+    ("pincode_summary", SQL["kmeans_pincodes"], "cluster pincodes total daily_avg"),
+)
+
+
 def all_sql() -> dict[str, str]:
     return dict(SQL)
