@@ -71,10 +71,10 @@ def total_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
 
 
-def batches(rows: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that the ``body`` bytes of each stay near ``limit`` (one row at least)."""
+def batches(rows: Iterator[pa.RecordBatch], limit: int = 4 << 20, body: str = "body") -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that the bytes of each one's texts stay near ``limit`` (one row at least)."""
     for batch in rows:
-        size = np.cumsum([0, *map(len, (x.as_buffer() or b"" for x in batch.column("body")))]) if batch.num_rows else [0]
+        size = np.cumsum([0, *map(len, (x.as_buffer() or b"" for x in batch.column(body)))]) if batch.num_rows else [0]
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(size, size[at] + limit, "right")) - 1)

@@ -313,7 +313,7 @@ def _cut(found_in, names: list[str], max_coverage: float):
     """Batches without the words that ``found_in(batch, bodies)`` gives as (n_words, runs), and without documents that are hit too much."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in batches(rows, 1 << 20, "text"):
             bodies = batch.column("text").cast(pa.binary()).to_pylist()
             keep, new = [], []
             for body, (n, runs) in zip(bodies, found_in(batch, [b or b"" for b in bodies]), strict=True):
