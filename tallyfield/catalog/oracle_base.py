@@ -110,7 +110,7 @@ CTES = {
     "years": "SELECT CAST(unnest(range(1990, 2011)) AS BIGINT) AS y",
     "features": (
         f"SELECT *, {SHARES}, total * 1.0 / active_days AS daily_avg, "
-        "total * 1.0 / unique_pincodes AS per_pincode_avg FROM ("
+        "total * 1.0 / nullif(unique_pincodes, 0) AS per_pincode_avg FROM ("
         f"SELECT state, district, {isum('total')} AS total, {isum('part_a')} AS part_a, "
         f"{isum('part_b')} AS part_b, {isum('part_c')} AS part_c, "
         "count(DISTINCT date) AS active_days, count(DISTINCT pincode) AS unique_pincodes "
@@ -118,7 +118,7 @@ CTES = {
     ),
     "state_features": (
         f"SELECT *, {SHARES}, total * 1.0 / active_days AS daily_avg, "
-        "total * 1.0 / unique_pincodes AS per_pincode_avg FROM ("
+        "total * 1.0 / nullif(unique_pincodes, 0) AS per_pincode_avg FROM ("
         f"SELECT state, {isum('total')} AS total, {isum('part_a')} AS part_a, "
         f"{isum('part_b')} AS part_b, {isum('part_c')} AS part_c, "
         "count(DISTINCT date) AS active_days, count(DISTINCT pincode) AS unique_pincodes "
@@ -212,7 +212,7 @@ CTES = {
     ),
     "risk0": "SELECT *, daily_std / daily_mean AS cv0 FROM vol",
     "risk1": (
-        "SELECT * EXCLUDE (cv0), least(cv0, (SELECT quantile_cont(cv0, 0.95) FROM risk0)) AS cv FROM risk0"
+        "SELECT * EXCLUDE (cv0), CASE WHEN cv0 IS NOT NULL THEN least(cv0, (SELECT quantile_cont(cv0, 0.95) FROM risk0)) END AS cv FROM risk0"
     ),
     "risk2": (
         "SELECT *, (cv - (SELECT min(cv) FROM risk1)) / (SELECT max(cv) - min(cv) FROM risk1) AS cv_normalized, "

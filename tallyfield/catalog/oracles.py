@@ -1155,5 +1155,50 @@ SQL["clustering_report"] = _report(
 )
 
 
+# --- the batch job -----------------------------------------------------------
+def _of_cleaned(sql: str) -> str:
+    """The SQL over the cleaned shards in place of the activity."""
+    chain = o("SELECT * FROM cleaned").removeprefix("WITH RECURSIVE ").removesuffix(" SELECT * FROM cleaned")
+    facts = "SELECT date, state, district, pincode, age_0_5 AS part_a, age_5_17 AS part_b, age_18_greater AS part_c, total_enrollments AS total FROM cleaned"
+    return sql.replace(f"activity AS ({CTES['activity']})", f"{chain}, activity AS ({facts})")
+
+
+_OWN_NAMES = {
+    "total": "total_enrollments", "part_a": "age_0_5", "part_b": "age_5_17", "part_c": "age_18_greater", "pct_a": "pct_children",
+    "pct_b": "pct_youth", "pct_c": "pct_adults", "units_per_day": "enrollments_per_day", "units_per_pincode": "enrollments_per_pincode",
+    "units_per_day_zscore": "enrollments_per_day_zscore", "units_per_pincode_zscore": "enrollments_per_pincode_zscore",
+}
+
+
+def _own(sql: str, columns: str, drop: str = "") -> str:
+    renamed = ", ".join(f"{c} AS {_OWN_NAMES[c]}" for c in columns.split())
+    return f"SELECT * {f'EXCLUDE ({drop}) ' if drop else ''}{f'RENAME ({renamed}) ' if renamed else ''}FROM ({_of_cleaned(sql)})"
+
+
+_PLACE_NAMES = "total part_a part_b part_c pct_a pct_b pct_c"
+_BATCH = {
+    "anomalies_zscore": _own(SQL["anomaly_zscore"], ""),
+    "anomalies_geographic": _own(SQL["anomaly_geo"], "total units_per_day units_per_pincode units_per_day_zscore units_per_pincode_zscore"),
+    "forecast_30day": _own(SQL["forecast_seasonal"], "", "step"),
+    "milestone_projections": _own(_MORE_TARGETS, ""),
+    "district_clusters": _own(_district_rows, _PLACE_NAMES),
+    "underserved_districts": _own(SQL["underserved"], _PLACE_NAMES),
+    "feature_importance": "SELECT unnest(['day_of_week', 'month', 'is_weekend', 'pct_children', 'pct_youth']) AS feature",
+    "district_risk_scores": _own(SQL["district_risk"], ""),
+    "seasonality_index": _own(SQL["seasonality_index"], ""),
+    "recommendations": _own(SQL["recommendations"].replace("Weekend units", "Weekend enrollments").replace("of units", "of enrollments"), "", "position"),
+    "capacity_utilization": _own(_capacity_place, ""),
+}
+_MAY_BE_EMPTY = ("anomalies_zscore", "anomalies_geographic")
+SQL["full_pipeline"] = " UNION ALL ".join(
+    f"SELECT '{n}' AS output, count(*) AS rows, {_digest('t')} AS digest FROM ({q}) AS t" + (" HAVING count(*) > 0" if n in _MAY_BE_EMPTY else "")
+    for n, q in _BATCH.items()
+)
+SQL["full_pipeline_quick"] = " UNION ALL ".join(
+    f"SELECT '{n}' AS output, count(*) AS rows FROM ({_BATCH[n]}) AS t" + (" HAVING count(*) > 0" if n in _MAY_BE_EMPTY else "")
+    for n in ("anomalies_zscore", "anomalies_geographic", "forecast_30day", "milestone_projections")
+)
+
+
 def all_sql() -> dict[str, str]:
     return dict(SQL)

@@ -41,12 +41,13 @@ def standardize(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> Da
 def scaled_points(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Standardised features of an aggregated set as an array ``features``, with the keys as a text ``id``.
 
-    The result is pinned: fitting passes over it many times.
+    A missing feature counts as 0 there and stays missing in its column. The result is pinned: fitting passes over it many times.
     """
-    scaled = standardize(df.fillna(0.0, subset=list(columns)), columns)
-    names = [f"{c}_z" for c in columns]
+    filled = {f"_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
+    scaled = standardize(df.withColumns(filled), list(filled))
+    names = [f"{c}_z" for c in filled]
     made = scaled.withColumns({"features": F.array(*names), "id": F.concat_ws("|", *[F.col(k).cast("string") for k in keys])})
-    return pinned(made.drop(*names), "features")
+    return pinned(made.drop(*names, *filled), "features")
 
 
 def choose_k(points: DataFrame, max_k: int = 10, seed: int = 42, restarts: int = 10) -> tuple[int, DataFrame]:
