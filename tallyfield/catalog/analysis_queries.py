@@ -626,14 +626,9 @@ def _(spark, sf):
 
 # --- KPIs and chart datasets -------------------------------------------------
 
-def record_cube(spark, sf):
-    """The day cube of the record-grain facts, made once."""
-    return pinned(g.day_cube(records(spark, sf), A), "cube")
-
-
 @add("kpi_overall")
 def _(spark, sf):
-    return k.overall(lines(spark, sf, "pincode"), A, record_cube(spark, sf))
+    return k.overall(records(spark, sf), A)
 
 
 @add("kpi_temporal")
@@ -685,7 +680,7 @@ def _(spark, sf):
 
 @add("recommendations")
 def _(spark, sf):
-    kpis = k.merged_kpis(lines(spark, sf, "pincode"), A, record_cube(spark, sf))
+    kpis = k.merged_kpis(records(spark, sf), A)
     return k.recommendations(kpis, A.measure)
 
 

@@ -346,7 +346,7 @@ SQL.update({
     ),
     "pivot_state_month": o(
         f"SELECT state, {_months('CAST(sum({}) AS BIGINT)')}, {isum('total')} AS row_total FROM activity GROUP BY 1 "
-        "ORDER BY row_total DESC, state LIMIT 10"
+        "ORDER BY row_total DESC, state LIMIT 15"
     ),
     "hierarchy_rollup": o(
         f"SELECT state, district, {isum('total')} AS total, CAST(2 - grouping(state) - grouping(district) AS INTEGER) "

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import calendar, numeric
+from ..sources.scratch import pinned
 from ..spec import DEFAULT, FactSpec
 from . import quantile
 from .clean import add_shares, drop_numeric_names
@@ -166,6 +167,21 @@ def state_part_totals(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10) -> D
     return add_shares(sums.orderBy(F.desc(spec.total), spec.state).limit(n), spec)
 
 
+def cube_and_pincodes(df: DataFrame, spec: FactSpec = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """The day cube, and the sums of each pincode, from one read of the facts: both are made by one aggregate and pinned together.
+
+    Each fact enters two groups, which partial aggregation folds before anything is shuffled.
+    """
+    place, t = [spec.date, spec.state, spec.district], F.col(spec.total)
+    both = df.groupingSets([place, [spec.pincode]], *place, spec.pincode).agg(
+        *[F.sum(c).alias(c) for c in spec.measures], F.count("*").alias("records"), F.sum(numeric.square(t)).alias("squares"),
+        F.grouping(spec.pincode).alias("_of_place"),
+    )
+    held = pinned(both, "cube-and-pincodes")
+    cube = held.where("_of_place = 1").drop(spec.pincode, "_of_place")
+    return cube, held.where("_of_place = 0").select(spec.pincode, *spec.measures)
+
+
 #: The days of a year as a set: one bit a day, in so many 64-bit words.
 DAY_WORDS = [f"days_{k}" for k in range(6)]
 
@@ -343,7 +359,7 @@ def peak_cell(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
     return cells.orderBy(F.desc("value"), "day_of_week", "month").limit(1)
 
 
-def pivot_state_month(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 10) -> DataFrame:
+def pivot_state_month(df: DataFrame, spec: FactSpec = DEFAULT, n: int = 15) -> DataFrame:
     """State by month sums of the ``n`` largest states, largest first.
 
     Built from one grouped pass: the row total picks the states.

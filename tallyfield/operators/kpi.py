@@ -9,10 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import calendar, numeric
-from ..sources.scratch import pinned
 from ..spec import DEFAULT, FactSpec
 from .aggregate import (
-    argmax_argmin, daily_total, day_cube, district_lifespan, district_total, first_max, first_min,
+    argmax_argmin, cube_and_pincodes, daily_total, district_lifespan, district_total, first_max, first_min,
     gini_column, month_name_total, monthly_total, pincode_total, resample_monthly, resample_weekly,
     share_of_top, state_total, total_by, weekly_total, with_ranks,
 )
@@ -40,12 +39,12 @@ def _side_by_side(first: DataFrame, *rest: DataFrame) -> DataFrame:
 def overall(df: DataFrame, spec: FactSpec = DEFAULT, cube: DataFrame | None = None) -> DataFrame:
     """Twenty headline metrics in one row.
 
-    All but the number of pincodes follow from the day cube (given, or made and
-    pinned here), so the facts are read once for the cube and once more for the
-    single pincode column.
+    All but the number of pincodes follow from the day cube. With a cube, ``df`` is anything that
+    names the pincodes; without, both are made from the facts, read once.
     """
     m, total = spec.measure, f"total_{spec.measure}"
-    cube = pinned(day_cube(df, spec), "cube") if cube is None else cube
+    if cube is None:
+        cube, df = cube_and_pincodes(df, spec)
     facts = cube.agg(
         F.sum(spec.total).alias(total),
         F.min(spec.date).alias("date_range_start"),
@@ -257,18 +256,20 @@ def recommendations(kpis: DataFrame, measure: str = "enrollments") -> DataFrame:
 
 
 def merged_kpis(df: DataFrame, spec: FactSpec = DEFAULT, cube: DataFrame | None = None) -> DataFrame:
-    """All three KPI rows side by side, from one day cube."""
-    cube = pinned(day_cube(df, spec), "cube") if cube is None else cube
+    """All three KPI rows side by side, from one day cube; without one the facts are read once for it and the pincodes."""
+    if cube is None:
+        cube, df = cube_and_pincodes(df, spec)
     return _side_by_side(overall(df, spec, cube), temporal(cube, spec), geographic(cube, spec))
 
 
 def dashboard_kpis(df: DataFrame, spec: FactSpec = DEFAULT) -> DataFrame:
-    """Total, daily average, active districts and the top pincode of a filtered view."""
-    totals = df.agg(
+    """Total, daily average, active districts and the top pincode of a filtered view, read once."""
+    cube, pincodes = cube_and_pincodes(df, spec)
+    totals = cube.agg(
         F.sum(spec.total).alias("total"), F.count_distinct(spec.district).alias("active_districts")
     )
-    daily = daily_total(df, spec).agg(F.avg("value").alias("avg_daily"))
-    top = pincode_total(df, spec).orderBy(F.desc(spec.total), spec.pincode).limit(1).select(
+    daily = daily_total(cube, spec).agg(F.avg("value").alias("avg_daily"))
+    top = pincode_total(pincodes, spec).orderBy(F.desc(spec.total), spec.pincode).limit(1).select(
         F.col(spec.pincode).alias("top_pincode")
     )
     return _side_by_side(totals, daily, top)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric
 from .ranking import ranked
 
+# Totals whose days are looked for.
 MILESTONES = (1_000_000, 5_000_000, 10_000_000, 20_000_000)
 
 
