@@ -4,13 +4,18 @@ Matches of fixed patterns are the seeds, with or without digits, each one span.
 words before a seed or any other token are its lexical pattern. Patterns and tokens form
 a graph: a pattern is as good as the mean of its tokens, a token as good as its best
 trusted pattern, seeds are 1; a few rounds of this score all of them. Unseen tokens
-after patterns of high score are added. Only patterns of several seeds can be trusted,
-so the words of all texts are streamed past these and the others are let go.
+after patterns of high score are added.
+
+Only patterns with a share of all seeds can be trusted, ``SUPPORT``, and three seeds at least, so there
+are never more than 1 / ``SUPPORT`` of them. The words of all texts are streamed past these once; only
+the distinct (pattern, token) edges are shuffled, without documents and positions. Positions are worked
+out for the patterns that came to be trusted, in the texts that hold one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import pinned
@@ -31,6 +36,10 @@ WORD = r"\S+"
 REACH = 96
 ROUNDS = 3
 MIN_SCORE, MIN_SEEDS, MIN_DIGITS = 0.6, 3, 3
+#: The share of all distinct (pattern, seed) that a pattern needs.
+SUPPORT = 0.001
+#: Stands for each character of a base span where words are cut; a word that holds it, of itself too, is no candidate.
+MASK = "\ufdd0"
 ADDED = "context"
 
 _SPANS = "array<struct<start:int,end:int,hit:string>>"
@@ -110,45 +119,88 @@ def find_base(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", "key", *PATTERNS, F.filter(seeds, lambda s: s["pattern"].isNotNull()).alias("seeds"))
 
 
-def candidates(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(doc_id, key, start, end, token, pattern): the words after one of the ``patterns`` that no base span touches.
+def masked(text: Column, spans: Column) -> Column:
+    """The text with the characters of all spans but white space masked, one for one."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        begin = F.greatest(a["at"], s["start"])
+        own = F.regexp_replace(F.substring(text, begin + 1, s["end"] - begin), r"\S", MASK)
+        return F.when(s["end"] <= a["at"], a).otherwise(
+            F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, begin - a["at"]), own)).alias("out"))
+        )
+
+    def whole(a: Column) -> Column:
+        return F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text)))
+
+    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), start, step, whole)).otherwise(text)
+
+
+def words_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, words, seen): the words of each text, and the same with base spans masked."""
+    spans = keyed(docs).withColumn("spans", F.concat(*base_spans(F.col("body")).values()))
+    return spans.withColumns({
+        "words": F.regexp_extract_all("body", F.lit(WORD), F.lit(0)),
+        "seen": F.regexp_extract_all(masked(F.col("body"), F.col("spans")), F.lit(WORD), F.lit(0)),
+    })
+
+
+_LEAD, _TAIL = r"""^[("'\[<{]*""", r"""[)"'\]>},.;:!?]*$"""
+
+
+def bare(word: Column) -> Column:
+    """The word in lower case without quotes and punctuation at its ends."""
+    return F.lower(F.regexp_replace(F.regexp_replace(word, _LEAD, ""), _TAIL, ""))
+
+
+def followers(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(doc_id, key, pattern, word): the words after one of the ``patterns`` that no base span touches. No positions."""
+    size = F.size("words") - 2
+    each = words_of(docs).where(size > 0).select("doc_id", "key", F.explode(F.arrays_zip(
+        F.slice("words", F.lit(1), size).alias("a"), F.slice("words", F.lit(2), size).alias("b"), F.slice("seen", F.lit(3), size).alias("word")
+    )).alias("w"))
+    paired = each.select("doc_id", "key", F.lower(F.concat_ws(" ", "w.a", "w.b")).alias("pattern"), F.col("w.word").alias("word"))
+    return paired.join(patterns, "pattern").where(~F.col("word").contains(MASK)).select("doc_id", "key", "pattern", "word")
 
-    Quotes and punctuation at a word's ends are no part of it.
+
+def edges_of(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Distinct (pattern, token) of the words after the ``patterns``, made so before the shuffle."""
+    return followers(docs, patterns).select("pattern", bare(F.col("word")).alias("token")).where("token != ''").distinct()
+
+
+def placed(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(doc_id, key, start, end, pattern) of the words after the ``patterns``, cut bare, that no base span touches.
+
+    One running sum a text gives the positions, in texts that hold such a word only; equal rows count once.
     """
-    plain = keyed(docs)
-    words, size = F.regexp_extract_all("body", F.lit(WORD), F.lit(0)), F.size("words") - 2
-    after = plain.select("doc_id", "key", words.alias("words")).where(size > 0).select(
-        "doc_id", "key", F.posexplode(F.arrays_zip(F.slice("words", F.lit(1), size).alias("a"), F.slice("words", F.lit(2), size).alias("b"))).alias("at", "w")
-    ).select("doc_id", "key", (F.col("at") + 2).alias("at"), F.lower(F.concat_ws(" ", "w.a", "w.b")).alias("pattern"))
-    found = pinned(after.join(patterns, "pattern").dropDuplicates(["doc_id", "key", "at"]), "pii-after")
-    places = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "pattern")).alias("places")).withColumnsRenamed({"doc_id": "_doc", "key": "_key"})
-    texts = plain.join(places, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))).dropDuplicates(["doc_id", "key"])
-
-    def length(pieces: str, n: Column) -> Column:
-        return F.aggregate(F.slice(pieces, F.lit(1), n), F.lit(0), lambda a, x: a + F.char_length(x))
-
-    token = F.col("word")
-    lead = F.char_length(F.regexp_extract(token, r"""^[("'\[<{]*""", 0))
-    tail = F.char_length(F.regexp_extract(token, r"""[)"'\]>},.;:!?]*$""", 0))
-    return texts.select(
-        "doc_id", "key", "places", words.alias("words"), F.split("body", WORD, -1).alias("gaps"), F.concat(*base_spans(F.col("body")).values()).alias("spans"),
-    ).select("*", F.explode("places").alias("p")).select(
-        "doc_id", "key", "spans", F.col("p.pattern").alias("pattern"), F.element_at("words", F.col("p.at") + 1).alias("word"),
-        (length("gaps", F.col("p.at") + 1) + length("words", F.col("p.at"))).alias("begin"),
-    ).where(~F.exists("spans", lambda s: (s["start"] < F.col("begin") + F.char_length(token)) & (s["end"] > F.col("begin")))).select(
-        "doc_id", "key", (F.col("begin") + lead).alias("start"), (F.col("begin") + F.char_length(token) - tail).alias("end"),
-        F.lower(F.substring(token, lead + 1, F.char_length(token) - lead - tail)).alias("token"), "pattern",
+    same = [F.col("doc_id").eqNullSafe(F.col("_doc")), F.col("key") == F.col("_key")]
+    holders = followers(docs, patterns).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct()
+    texts = words_of(docs).join(holders, same, "left_semi").dropDuplicates(["doc_id", "key"])
+    each = texts.select("doc_id", "key", F.posexplode(F.arrays_zip(
+        F.col("words").alias("word"), F.col("seen").alias("seen"), F.slice(F.split("body", WORD, -1), F.lit(1), F.size("words")).alias("gap")
+    )).alias("at", "w")).select("doc_id", "key", "at", "w.*")
+    order = W.partitionBy("doc_id", "key").orderBy("at")
+    ends = F.sum(F.char_length("gap") + F.char_length("word")).over(order).cast("int")
+    found = each.withColumns({"_end": ends, "pattern": F.lower(F.concat(F.lag("word", 2).over(order), F.lit(" "), F.lag("word", 1).over(order)))}).join(
+        patterns, "pattern").where(~F.col("seen").contains(MASK))
+    lead = F.char_length(F.regexp_extract("word", _LEAD, 0))
+    tail = F.char_length(F.regexp_extract(F.substr(F.col("word"), lead + 1), _TAIL, 0))
+    return found.select(
+        "doc_id", "key", (F.col("_end") - F.char_length("word") + lead).alias("start"), (F.col("_end") - tail).alias("end"), "pattern", bare(F.col("word")).alias("token")
     ).where(F.col("end") > F.col("start"))
 
 
-def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score) of the patterns that may discover tokens, scored over all documents' (pattern, token, seed)."""
+def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS, support: float = 0.0) -> DataFrame:
+    """(pattern, score) of the patterns that may discover tokens, scored over all documents' (pattern, token, seed).
+
+    They need a score of ``MIN_SCORE`` and, of their own seeds, ``MIN_SEEDS`` and the ``support``.
+    """
     edges = pinned(edges.groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "pii-edges")
     tokens = edges.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("worth"))
     for at in range(rounds):
         patterns = edges.join(tokens, "token").groupBy("pattern").agg(
             F.avg("worth").alias("score"), F.sum(F.col("seed").cast("int")).alias("seeds")
-        ).where((F.col("score") >= MIN_SCORE) & (F.col("seeds") >= MIN_SEEDS))
+        ).where((F.col("score") >= MIN_SCORE) & (F.col("seeds") >= max(MIN_SEEDS, support)))
         if at + 1 < rounds:
             tokens = edges.join(patterns, "pattern", "left").groupBy("token").agg(
                 F.greatest(F.max(F.col("seed").cast("double")), F.max(F.coalesce("score", F.lit(0.0)))).alias("worth")
@@ -157,28 +209,30 @@ def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return patterns.select("pattern", "score")
 
 
-def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def find_pii(docs: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT) -> DataFrame:
     """(doc_id, key, email, ip, card, phone, context): arrays of spans (start, end), one row a document.
 
     The first four are the base kinds. context holds the identifiers that trusted
     patterns discover: words that no base span touches, those with digits only from
-    three digits on. Null and empty texts have no spans; repeated rows give repeated rows.
+    three digits on. Null and empty texts have no spans; repeated rows give repeated rows;
+    other columns are left behind; an empty table gives no rows.
     """
     found = pinned(find_base(docs), "pii-base")
     seeds = pinned(found.select(F.inline("seeds")).groupBy("pattern", "token").agg(F.lit(True).alias("seed")), "pii-seeds")
-    often = pinned(seeds.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SEEDS).select("pattern"), "pii-patterns")
-    unseen = pinned(candidates(docs, often), "pii-candidates")
-    trusted = trusted_patterns(seeds.unionByName(unseen.select("pattern", "token", F.lit(False).alias("seed"))), rounds)
+    least = support * seeds.count()
+    often = pinned(seeds.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= max(MIN_SEEDS, least)).select("pattern"), "pii-patterns")
+    unseen = edges_of(docs, often).select("pattern", "token", F.lit(False).alias("seed"))
+    trusted = pinned(trusted_patterns(seeds.unionByName(unseen), rounds, least), "pii-trusted")
+    ends = {k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in PATTERNS}
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    if trusted.isEmpty():
+        return found.select("doc_id", "key", *[c.alias(k) for k, c in ends.items()], none.alias(ADDED))
     n = F.char_length(digits(F.col("token")))
-    added = unseen.where((n == 0) | (n >= MIN_DIGITS)).join(trusted, "pattern").groupBy("doc_id", "key").agg(
+    added = placed(docs, trusted.select("pattern")).where((n == 0) | (n >= MIN_DIGITS)).groupBy("doc_id", "key").agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found")
     ).withColumnsRenamed({"doc_id": "_doc", "key": "_key"})
-    ends = {k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in PATTERNS}
     joined = found.join(added, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left")
-    return joined.select(
-        "doc_id", "key", *[c.alias(k) for k, c in ends.items()],
-        F.coalesce("found", F.array().cast("array<struct<start:int,end:int>>")).alias(ADDED),
-    )
+    return joined.select("doc_id", "key", *[c.alias(k) for k, c in ends.items()], F.coalesce("found", none).alias(ADDED))
 
 
 def written(kinds) -> Column:
