@@ -62,10 +62,33 @@ def thaw(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def pack_rows(columns: list[np.ndarray]) -> bytes:
+    """Rows of numbers as compressed bytes, row by row: sorted ones share their beginnings with those before."""
+    return zstandard.ZstdCompressor(level=5).compress(np.stack(columns, 1).astype(">u8").tobytes())
+
+
+def unpack_rows(blob: bytes, width: int) -> list[np.ndarray]:
+    rows = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), ">u8").reshape(-1, width)
+    return [c.astype(_U) for c in rows.T]
+
+
+def sorting(columns: list[np.ndarray]) -> np.ndarray:
+    """The stable order of rows, by the first column, then the next: the first is sorted alone, then rows that tie in it."""
+    order = np.argsort(columns[0])
+    s = columns[0][order]
+    same = np.zeros(len(s) + 1, bool)
+    same[1:-1] = s[1:] == s[:-1]
+    tied = np.flatnonzero(same[1:] | same[:-1])
+    if len(tied):
+        sub = order[tied]
+        order[tied] = sub[np.lexsort((sub, *(c[sub] for c in columns[:0:-1]), np.cumsum(~same[:-1])[tied]))]
+    return order
+
+
 def distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct rows, each row's number among them, the sort order and the groups' starts."""
     n = len(columns[0])
-    order = np.lexsort(columns[::-1])
+    order = sorting(columns)
     s = [c[order] for c in columns]
     new = np.ones(n, bool)
     if n:
@@ -100,10 +123,7 @@ class Texts:
 
     def letters(self, at: np.ndarray) -> np.ndarray:
         """Eight bytes from each position, as numbers in the bytes' order."""
-        out = np.zeros(len(at), _U)
-        for k in range(LETTER):
-            out = (out << _U(8)) | self.raw[at + k].astype(_U)
-        return out
+        return np.lib.stride_tricks.sliding_window_view(self.raw, LETTER)[at].view(">u8").ravel().astype(_U)
 
     def runs(self, length: int, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """By runs of texts of about 2 MB: offset, hashes of ``width`` bytes, where windows may start."""
@@ -161,6 +181,10 @@ def _name(blobs: list[bytes]) -> list[bytes]:
     return [freeze(np.diff(x, prepend=_U(0))) for x in name_parts(sent)]  # they ascend, as the rows do
 
 
+def _name_triples(blobs: list[bytes]) -> list[bytes]:
+    return [freeze(np.diff(x, prepend=_U(0))) for x in name_parts([unpack_rows(b, 3) for b in blobs])]
+
+
 def _by_parts(columns: list[np.ndarray], part: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Rows sorted by part and first column, one blob a part; of the first column the differences."""
     edges = np.flatnonzero(np.concatenate((np.ones(min(1, len(part)), bool), part[1:] != part[:-1])))
@@ -231,7 +255,8 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A byte goes if a string of 50 bytes over it also starts in a document of smaller
     doc_id, in the texts as given. Matches never cross texts. Null and empty texts have
     no bytes; shorter texts keep all; a null doc_id counts as the largest; rows of one
-    doc_id are one document.
+    doc_id are one document. Other columns, whatever their names, are left behind; an
+    empty table gives no rows.
     """
     if length != LENGTH:
         raise ValueError("two levels of names order suffixes by 50 bytes")
@@ -317,7 +342,10 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         at = windows(texts, lost, told)
         yield exchange.note(rows), freeze(np.packbits(lost), np.diff(at, prepend=0).astype(_U))
         _, _, rank, _ = triples_of(texts, at)
-        yield from _by_parts(rank, np.searchsorted(split, rank[0], "right"))
+        cuts = [0, *np.searchsorted(rank[0], split).tolist(), len(rank[0])]
+        for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b:
+                yield part, pack_rows([c[a:b] for c in rank])
 
     def ask_pairs(rows: pa.Table, told: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         lost, step = thaw(told[exchange.note(rows)])
@@ -405,7 +433,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     first = exchange.answer(exchange.ask(chunked, ask_pieces), find_smaller)
     anchors = exchange.answer(exchange.ask_again(chunked, first, ask_anchors), find_anchors)
-    triples = exchange.answer(exchange.ask_again(chunked, anchors, ask_triples), _name)
+    triples = exchange.answer(exchange.ask_again(chunked, anchors, ask_triples), _name_triples)
     pairs = exchange.answer(exchange.ask_again(chunked, triples, ask_pairs), _name)
     merged = exchange.answer(exchange.ask_again(chunked, pairs, ask_windows), _merge)
     return exchange.read_answers(chunked, merged, kept, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
