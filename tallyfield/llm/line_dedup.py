@@ -1,10 +1,11 @@
-"""Line dedup: hashes dealt in small ranges, sorted by document, streamed for first occurrences.
+"""Line dedup: hashes dealt by range, sorted by document, streamed for first occurrences.
 
 Each record batch sends every line key once, with the smallest document that holds
 it there; lines of larger documents of the batch are lost already. So a line that
-stands in a third of all documents costs one row a batch. The 2^20 ranges of the
-(uniform) hash are dealt to partitions by hash, each range whole; rows are sorted by hash and document, and one pass keeps the
-first document of each hash. What comes back is a compressed bitmap a document.
+stands in a third of all documents costs one row a batch. Each partition holds one
+range of the hash, which is uniform, so equal ranges need no sample; rows are sorted by
+hash and document, and one pass keeps the first document of each hash. What comes back
+is a compressed bitmap a document.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = texts(docs).mapInArrow(_batch_firsts(min_chars), _SENT)
     lost = (
-        sent.repartition(n, F.shiftrightunsigned("hi", 44))
+        sent.repartitionById(n, (F.shiftrightunsigned("hi", 32) * n / (1 << 32)).cast("int"))
         .sortWithinPartitions("hi", "lo", "doc")
         .mapInArrow(_stream_losers, "doc bigint, key bigint, lines binary")
     )
