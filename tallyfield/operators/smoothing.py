@@ -1,122 +1,76 @@
 """Holt's recurrence over series of any length.
 
 A step takes the state s = (level, trend) to A s + k y, with A and k set by the two factors alone. So a stretch of a
-series takes s to M s + c, whatever s is: stretches are folded where they lie, in the ranges of (series, order) that tasks
-hold, and each sends a row. A series is then a fold over its stretches, which are no more than there are tasks.
+series takes s to M s + c, whatever s is: stretches of bounded length, a year of dates or ``STRETCH`` numbers, are folded
+side by side, and a series is then a fold over its stretches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.workers import importable
-
-#: Values that are folded at once.
-BLOCK = 1024
-
-
-class Recurrence:
-    """The map of one step, and folds of many."""
-
-    def __init__(self, alpha: float, beta: float):
-        self.a = np.array([[1 - alpha, 1 - alpha], [-alpha * beta, 1 - alpha * beta]])
-        self.k = np.array([alpha, alpha * beta])
-        self.weights = np.empty((BLOCK, 2))  # of the last value, the one before, ...
-        at = self.k
-        for i in range(BLOCK):
-            self.weights[i] = at
-            at = self.a @ at
-        self.power = np.linalg.matrix_power(self.a, BLOCK)
-
-    def fold(self, c: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """The constant part after further values."""
-        for at in range(0, len(values), BLOCK):
-            v = values[at : at + BLOCK]
-            ahead = self.power if len(v) == BLOCK else np.linalg.matrix_power(self.a, len(v))
-            c = ahead @ c + v[::-1] @ self.weights[: len(v)]
-        return c
-
-
-def _stretches(by: list[str], alpha: float, beta: float):
-    """Rows come sorted by (series, order); a row a series and task: its first and second value, last place, M and c of the rest."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step, key, out, held = Recurrence(alpha, beta), None, [], None
-
-        def close() -> None:
-            m = np.linalg.matrix_power(step.a, held["n"] - 1)
-            out.append((*key, held["first"], held["last"], held["y"][0], held["y"][1] if len(held["y"]) > 1 else None, *m.ravel().tolist(), *held["c"].tolist()))
-
-        for batch in rows:
-            if not batch.num_rows:
-                continue
-            new = np.zeros(batch.num_rows, bool)
-            new[0] = True
-            for c in by:
-                codes = pc.fill_null(pc.dictionary_encode(batch.column(c)).indices, -1).to_numpy(zero_copy_only=False)
-                new[1:] |= codes[1:] != codes[:-1]
-            edges = [*np.flatnonzero(new).tolist(), batch.num_rows]
-            order, value = batch.column("_at"), pc.fill_null(batch.column("_y"), float("nan")).to_numpy(zero_copy_only=False)
-            for a, b in zip(edges, edges[1:]):
-                own = tuple(batch.column(c)[a] for c in by)
-                values = value[a:b]
-                if held is None or own != key:
-                    if held is not None:
-                        close()
-                    key, held = own, {"n": 1, "first": order[a], "y": values[:1].tolist(), "c": np.zeros(2)}
-                    values = values[1:]
-                held["last"] = order[b - 1]
-                if len(held["y"]) < 2:
-                    held["y"] += values[:1].tolist()
-                held["n"] += len(values)
-                held["c"] = step.fold(held["c"], values)
-        if held is not None:
-            close()
-            kinds = [*(batch.schema.field(c).type for c in by), order.type, order.type, *[pa.float64()] * 8]
-            names = [*by, "first", "last", "y0", "y1", "m0", "m1", "m2", "m3", "c0", "c1"]
-            columns = [pa.array([x.as_py() if isinstance(x, pa.Scalar) else x for x in c], k) for c, k in zip(zip(*out), kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return run
+#: Places of a numbered series in a stretch.
+STRETCH = 4096
+
+_STATE = "struct<level:double,trend:double>"
+_MAP = "struct<m0:double,m1:double,m2:double,m3:double,c0:double,c1:double>"
+
+
+def _stretch(place: Column, kind: T.DataType) -> Column:
+    """A number that all places of a stretch share."""
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.year(place)
+    return F.floor(place / STRETCH)
+
+
+def _fold(values: Column, alpha: float, beta: float) -> Column:
+    """M and c of the steps over an array of values."""
+    a, b, c, d = 1 - alpha, 1 - alpha, -alpha * beta, 1 - alpha * beta
+
+    def step(s: Column, y: Column) -> Column:
+        return F.struct(
+            (a * s["m0"] + b * s["m2"]).alias("m0"), (a * s["m1"] + b * s["m3"]).alias("m1"),
+            (c * s["m0"] + d * s["m2"]).alias("m2"), (c * s["m1"] + d * s["m3"]).alias("m3"),
+            (a * s["c0"] + b * s["c1"] + alpha * y).alias("c0"), (c * s["c0"] + d * s["c1"] + alpha * beta * y).alias("c1"),
+        ).cast(_MAP)
+
+    unit = F.struct(*[F.lit(x).alias(n) for n, x in zip(("m0", "m1", "m2", "m3", "c0", "c1"), (1.0, 0.0, 0.0, 1.0, 0.0, 0.0))]).cast(_MAP)
+    return F.aggregate(values, unit, step)
 
 
 def smoothed(df: DataFrame, order: str, value: str, alpha: float, beta: float, by: Sequence[str] = ()) -> DataFrame:
     """(by, last, level, trend): the state after the last row of each series, and that row's place.
 
     It begins with the first value and the difference of the first two, 0 with one value alone. A missing value makes the
-    state null from there on; an empty table has no series.
+    state null from there on; an empty table has no series. Places are dates, timestamps or numbers, one row each.
     """
-    importable(df.sparkSession)
-    n, by = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), list(by)
-    rows = df.select(*by, F.col(order).alias("_at"), F.col(value).cast("double").alias("_y"))
-    kinds = [f for f in rows.schema if f.name in by] + [T.StructField(c, rows.schema["_at"].dataType) for c in ("first", "last")]
-    kinds += [T.StructField(c, T.DoubleType()) for c in ("y0", "y1", "m0", "m1", "m2", "m3", "c0", "c1")]
-    sent = rows.repartitionByRange(n, *by, "_at").sortWithinPartitions(*by, "_at").mapInArrow(_stretches(by, alpha, beta), T.StructType(kinds))
-    fields = ("first", "last", "y0", "y1", "m0", "m1", "m2", "m3", "c0", "c1")
-    each = sent.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("parts")).where(F.size("parts") > 0)
-    state = "struct<level:double,trend:double>"
+    by, kind = list(by), df.schema[order].dataType
+    rows = df.select(*by, _stretch(F.col(order), kind).alias("_stretch"), F.struct(F.col(order).alias("at"), F.col(value).cast("double").alias("y")).alias("_row"))
+    held = rows.groupBy(*by, "_stretch").agg(F.array_sort(F.collect_list("_row")).alias("r"))
+    rest = F.transform(F.slice("r", F.lit(2), F.size("r")), lambda x: x["y"])
+    part = F.struct(
+        F.element_at("r", 1)["at"].alias("first"), F.element_at("r", -1)["at"].alias("last"), F.element_at("r", 1)["y"].alias("y0"),
+        F.try_element_at("r", F.lit(2))["y"].alias("y1"), (F.size("r") > 1).alias("more"), _fold(rest, alpha, beta).alias("m"),
+    )
+    each = held.select(*by, part.alias("part")).groupBy(*by).agg(F.array_sort(F.collect_list("part")).alias("parts")).where(F.size("parts") > 0)
 
     def through(s: Column, p: Column) -> Column:
-        level = p["m0"] * s["level"] + p["m1"] * s["trend"] + p["c0"]
-        trend = p["m2"] * s["level"] + p["m3"] * s["trend"] + p["c1"]
-        return F.struct(level.alias("level"), trend.alias("trend")).cast(state)
+        m = p["m"]
+        level = m["m0"] * s["level"] + m["m1"] * s["trend"] + m["c0"]
+        trend = m["m2"] * s["level"] + m["m3"] * s["trend"] + m["c1"]
+        return F.struct(level.alias("level"), trend.alias("trend")).cast(_STATE)
 
     def further(s: Column, p: Column) -> Column:
         level = alpha * p["y0"] + (1 - alpha) * (s["level"] + s["trend"])
         trend = beta * (level - s["level"]) + (1 - beta) * s["trend"]
-        return through(F.struct(level.alias("level"), trend.alias("trend")), p)
+        return through(F.struct(level.alias("level"), trend.alias("trend")).cast(_STATE), p)
 
     first = F.element_at("parts", 1)
-    second = F.coalesce(first["y1"], F.try_element_at("parts", F.lit(2))["y0"], first["y0"])
-    start = through(F.struct(first["y0"].alias("level"), (second - first["y0"]).alias("trend")), first)
+    second = F.when(first["more"], first["y1"]).when(F.size("parts") > 1, F.try_element_at("parts", F.lit(2))["y0"]).otherwise(first["y0"])
+    start = through(F.struct(first["y0"].alias("level"), (second - first["y0"]).alias("trend")).cast(_STATE), first)
     s = F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), start, further)
-    return each.select(*by, F.element_at("parts", -1)["last"].alias("last"), s.alias("s")).select(
-        *by, "last", *[F.when(~F.isnan(f"s.{c}"), F.col(f"s.{c}")).alias(c) for c in ("level", "trend")]
-    )
+    return each.select(*by, F.element_at("parts", -1)["last"].alias("last"), s.alias("s")).select(*by, "last", "s.level", "s.trend")
