@@ -124,7 +124,8 @@ def encode_and_decode(docs: DataFrame, tokenizer: str | None = None, decoded: bo
 
     ids are those of the tokenizer without added special tokens; special tokens that
     stand in a text become their ids. Null and empty texts have no ids and decode to an
-    empty text. Repeated rows give repeated rows; other columns are left behind.
+    empty text. Repeated rows give repeated rows; other columns, whatever their names, are
+    left behind; an empty table gives no rows.
     """
     definition = read_tokenizer(tokenizer or default_tokenizer())
     spark = docs.sparkSession

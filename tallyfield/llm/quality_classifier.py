@@ -177,6 +177,8 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES) -> Model:
 
 
 def score_statistics(stats: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score), one row a document, from 0 to 1; empty texts have a score as well, repeated rows repeated scores."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             if batch.num_rows:
@@ -187,7 +189,11 @@ def score_statistics(stats: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score reaches the threshold, all columns unchanged."""
+    """The documents whose score reaches the threshold, all columns unchanged, whatever their names.
+
+    A score on the threshold stays. Null texts are scored as empty ones; repeated rows stay or go together; an empty
+    table gives no rows.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:

@@ -120,7 +120,8 @@ def apply_rules(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
 
     clean_text is the text without the lines that fail a rule or repeat an earlier line.
     A document is kept if the base rules hold and at most ``max_loss`` of its words went.
-    Null and empty texts have no words, so they fail; repeated rows give repeated rows.
+    Null and empty texts have no words, so they fail; repeated rows give repeated rows; other
+    columns, whatever their names, are left behind; an empty table gives no rows.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -164,7 +164,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A word goes if a run of ``window`` words over it also starts in a document of
     smaller doc_id, in the texts as given. kept holds the other words, joined by one
     space. Null and empty texts have no words; texts shorter than a window keep all; a
-    null doc_id counts as the largest; rows of one doc_id are one document.
+    null doc_id counts as the largest; rows of one doc_id are one document. Other columns,
+    whatever their names, are left behind; an empty table gives no rows.
     """
     block = (window + 1) // 2
     chunks = exchange.chunk_count(docs)

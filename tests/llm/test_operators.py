@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import unicodedata
+import zlib
 
 import numpy as np
 import pytest
@@ -112,6 +113,19 @@ def test_texts_that_differ_in_the_thue_morse_order_only(spark):
     assert sorted(r.n_removed for r in suffix_array.dedup_suffixes(frame([pairs[0], pairs[0]])).collect()) == [0, 2048]
 
 
+def test_rows_are_sorted_and_packed_in_their_order():
+    rng = np.random.default_rng(4)
+    columns = [rng.integers(0, 5, 500, dtype=np.uint64) << np.uint64(58), rng.integers(0, 3, 500, dtype=np.uint64), rng.integers(0, 2, 500, dtype=np.uint64)]
+    order = suffix_array.sorting(columns)
+    assert order.tolist() == np.lexsort(columns[::-1]).tolist()
+    rows = [c[order] for c in columns]
+    back = suffix_array.unpack_rows(suffix_array.pack_rows(rows), 3)
+    assert all((a == b).all() for a, b in zip(rows, back))
+    for names in suffix_array.name_parts([back, [c[::7] for c in back]]):
+        assert (names[1:] >= names[:-1]).all()  # equal to the order of the rows
+    assert suffix_array.sorting([np.zeros(0, np.uint64)] * 2).tolist() == []
+
+
 def test_bpe_round_trip(docs, rows, none):
     tokenizer = bpe.load(bpe.read_tokenizer(bpe.default_tokenizer()))
     special = "A <|endoftext|> b<|STARTOFTEXT|> é́  x y"
@@ -313,6 +327,81 @@ def test_pii(spark, none):
     assert pii.find_pii(none).count() == 0
 
 
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
+
+
+def brute_contexts(texts, rounds, support):
+    """Spans that bootstrapping adds, over all patterns, by definition: doc -> spans; emails and addresses are the only seeds."""
+    spans = {d: [m.span() for p in BASE.values() for m in re.finditer(p, t)] for d, t in texts.items()}
+    words = {d: [m.span() for m in re.finditer(r"\S+", t)] for d, t in texts.items()}
+    edges, places = {}, []
+
+    def before(d, start):
+        found = texts[d][:start].rstrip() if not texts[d][:start].endswith(tuple(" \n")) else texts[d][:start]
+        got = re.sub(r"""(?<!\S)[("'\[<{]+$""", "", found).split()
+        return " ".join(got[-2:]).lower() if len(got) > 1 else None
+
+    for d, t in texts.items():
+        for s, e in spans[d]:
+            if before(d, s):
+                edges[before(d, s), t[s:e].lower()] = True
+    seeds = len(edges)
+    for d, t in texts.items():
+        for i in range(2, len(words[d])):
+            a, b = words[d][i]
+            if any(s < b and e > a for s, e in spans[d]):
+                continue
+            word = t[a:b]
+            lead = len(re.match(r"""^[("'\[<{]*""", word).group())
+            tail = len(re.search(r"""[)"'\]>},.;:!?]*$""", word[lead:]).group())
+            token = word[lead : len(word) - tail].lower()
+            if token:
+                pattern = " ".join(t[x:y] for x, y in words[d][i - 2 : i]).lower()
+                edges.setdefault((pattern, token), False)
+                places.append((d, a + lead, b - tail, pattern, token))
+    least = max(3, support * seeds)
+    own = {}
+    for (p, _), seed in edges.items():
+        own[p] = own.get(p, 0) + seed
+    worth = {}
+    for (_, t), seed in edges.items():
+        worth[t] = max(worth.get(t, 0.0), float(seed))
+    for k in range(rounds):
+        score = {}
+        for (p, t), _ in edges.items():
+            score.setdefault(p, []).append(worth[t])
+        score = {p: sum(x) / len(x) for p, x in score.items() if own[p] >= least and sum(x) / len(x) >= 0.6}
+        if k + 1 < rounds:
+            worth = {}
+            for (p, t), seed in edges.items():
+                worth[t] = max(worth.get(t, 0.0), float(seed), score.get(p, 0.0))
+    out = {}
+    for d, a, b, pattern, token in places:
+        n = sum(c.isdigit() for c in token)
+        if pattern in score and (n == 0 or n >= 3):
+            out.setdefault(d, set()).add((a, b))
+    return {d: sorted(x) for d, x in out.items()}
+
+
+@pytest.mark.parametrize(("rounds", "support"), [(1, 0.0), (2, 0.0), (3, 0.0), (3, 0.13)])
+def test_pii_bootstrapping_against_brute_force(spark, rounds, support):
+    rng = random.Random(7)
+    names = [f"{a}{b}" for a in "kmnprst" for b in ("ora", "ilo", "usk")]
+    mail, host = (lambda: f"{rng.choice(names)}{rng.randrange(30)}@mail.org"), (lambda: f"10.0.{rng.randrange(99)}.{rng.randrange(99)}")
+    texts = []
+    # 'reach me' is learned from mails; the codes it discovers carry 'my code', which has few mails of its own, in a second round
+    texts += [f"please reach me {mail()} soon" for _ in range(12)] + [f"please Reach\n me ({c}), soon" for c in ("zx-441", "qq-442", "vv-443")]
+    texts += [f"here my code {mail()} ok" for _ in range(4)] + [f"so my code \"{c}\" is" for c in ("zx-441", "qq-442", "vv-443")] + ["use my code new-777, now", "use my code plain then"]
+    texts += [f"the host {host()} and the host {rng.choice(names)} or the host {rng.choice(names)} x" for _ in range(9)]
+    texts += [f"sent from {host()}" for _ in range(8)] + ["sent from node-9001! sent from 12 sent from 123", " ".join("ab cd" for _ in range(40))]
+    texts = dict(enumerate(texts))
+    docs = spark.createDataFrame([(d, t) for d, t in texts.items()] + [(0, texts[0])], "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: [tuple(x) for x in r.context] for r in pii.find_pii(docs, rounds, support).collect() if r.context}
+    want = brute_contexts(texts, rounds, support)
+    assert got == want
+    assert any("new-777" in texts[d][a:b] for d, x in want.items() for a, b in x) == (rounds > 1 and support == 0.0)
+
+
 def test_pii_seeds_without_digits_and_words_behind_numbers(spark):
     far = "," * 200
     texts = [f"write to {name}@host.org or leave" for name in ("ann", "bob", "eve")] + ["write to zoe@intranet, please", f"write {far}\n to\t(secret-name)."]
@@ -341,5 +430,60 @@ def test_quality_classifier(spark, docs, none):
     assert blank.score(np.zeros((1, len(quality_classifier.STATISTICS)))).tolist() == [0.5]
 
 
+def test_kernel_fit_against_all_rows_at_once(spark):
+    """The summed normal equations and pooled bins are the fit of all rows in one matrix."""
+    rng = random.Random(6)
+    words = ["the", "cat", "SAT", "on###", "a!!", "mat.", "12", "|"]
+    rows = [(i, " ".join(rng.choice(words[: 3 + i % 6]) for _ in range(rng.randrange(1, 60)))) for i in range(300)]
+    labels = [(i, int(rng.random() < 0.3 + 0.1 * (i % 6))) for i, _ in rows]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    model = quality_classifier.fit(quality_classifier.document_statistics(table), spark.createDataFrame(labels, "doc_id bigint, quality int"), features=32)
+    learned = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    x = np.array([quality_classifier.statistics(rows[i][1].encode()) for i in learned])
+    y = np.array([float(labels[i][1]) for i in learned])
+    spread = x.std(0)
+    np.testing.assert_allclose(model.mean, x.mean(0), atol=1e-9)
+    np.testing.assert_allclose(model.spread, np.where(spread > 1e-9, spread, 1.0), atol=1e-9)
+    c = model.cosines(x)
+    beta = np.linalg.solve(c.T @ c + quality_classifier.RIDGE * np.eye(c.shape[1]), c.T @ y)
+    np.testing.assert_allclose(model.beta, beta, rtol=1e-6, atol=1e-8)
+    bins = np.clip((c @ beta + 0.5) / 2 * quality_classifier.BINS, 0, quality_classifier.BINS - 1).astype(int)
+    held = np.unique(bins)
+    want = quality_classifier.isotonic(np.array([y[bins == b].mean() for b in held]), np.array([float((bins == b).sum()) for b in held]))
+    np.testing.assert_allclose(model.levels, want, atol=1e-9)
+    assert (np.diff(model.levels) >= -1e-12).all()
+
+
+def test_a_score_on_the_threshold_stays(spark):
+    model = quality_classifier.fit(spark.createDataFrame([], "doc_id bigint, x array<double>"), spark.createDataFrame([], "doc_id bigint, quality int"))
+    model.levels = np.array([0.7])
+    table = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "doc_id bigint, text string")
+    assert quality_classifier.keep_good(table, model).count() == 3 and quality_classifier.keep_good(table, model, 0.7000001).count() == 0
+
+
+def test_kept_by_quality_rules_against_brute_force(docs, rows):
+    def lost(t):
+        seen, n = set(), 0
+        for line in (t or "").split("\n"):
+            if line.split() and (line in seen or quality_rules.line_fault(line)):
+                n += len(line.split())
+            seen.add(line)
+        return n
+
+    want = [(d, lost(t), lost(t) <= 0.4 * len((t or "").split())) for d, t in rows]
+    got = [(r.doc_id, r.n_lost_words, r.kept, r.base_failed) for r in quality_rules.apply_rules(docs).collect()]
+    assert sorted((str(d), n) for d, n, *_ in got) == sorted((str(d), n) for d, n, _ in want)
+    by_loss = {(d, n): few for d, n, few in want}
+    assert all(kept == (by_loss[d, n] and not failed) for d, n, kept, failed in got)
+
+
+@pytest.mark.parametrize(("plain", "kept"), [(15, True), (14, False)])
+def test_documents_that_lose_over_forty_percent_go(spark, plain, kept):
+    fine = "\n".join(f"Word{k}." for k in range(plain))
+    faulty = "SELL!! NOW!! THIS!! IS!! LOUD!!\nBUY!! NOW!! THIS!! IS!! LOUD!!"  # ten words, of 25 or 24
+    r = quality_rules.apply_rules(spark.createDataFrame([(1, f"{fine}\n{faulty}")], "doc_id bigint, text string")).first()
+    assert (r.n_words, r.n_lost_words, r.base_failed, r.kept) == (plain + 10, 10, False, kept)
+
+
 def test_isotonic_pools_what_breaks_the_order():
     assert quality_classifier.isotonic(np.array([0.0, 0.6, 0.2, 1.0]), np.array([1.0, 1.0, 3.0, 1.0])).tolist() == pytest.approx([0, 0.3, 0.3, 1])
