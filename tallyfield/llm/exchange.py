@@ -57,7 +57,7 @@ def in_chunks(docs: DataFrame, chunks: int) -> DataFrame:
 
 def _frozen(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
