@@ -271,14 +271,30 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         (key, check), number, order, group = distinct([one, two & _U(0xFFFFFFFF)])
         doc = texts.doc(start)
         low = np.minimum.reduceat(doc[order], group) if len(group) else doc
-        return start, end, doc, key, check, number, low
-
-    def ask_pieces(rows: pa.Table) -> Iterator[tuple[int, bytes]]:
-        _, _, _, key, check, _, low = pieces(Texts(rows))
+        several = np.maximum.reduceat(doc[order], group) != low if len(group) else np.zeros(0, bool)
+        return start, end, doc, key, check, number, low, several
+
+    def ask_short(rows: pa.Table) -> Iterator[tuple[int, bytes]]:
+        """40 bits of each piece's name: most pieces stand nowhere else and need no more."""
+        *_, key, _, _, _, several = pieces(Texts(rows))
+        yield from short_keys(key, several)
+
+    def ask_pieces(rows: pa.Table, told: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
+        _, _, _, key, check, _, low, _ = pieces(Texts(rows))
+        twice = flags_of(told, key)
+        yield exchange.note(rows), np.packbits(twice).tobytes()
+        key, check, low = key[twice], check[twice], low[twice]
         cuts = _cuts(key, bits)
         for part in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[part], cuts[part + 1]
-            yield part, planes(key[a:b], 8) + planes(check[a:b], 4) + planes(low[a:b].astype(_U), 8)
+            yield part, zstandard.compress(planes(key[a:b], 8) + planes(check[a:b], 4) + planes(low[a:b].astype(_U), 8), 1)
+
+    def short_keys(keys: np.ndarray, several: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """40 bits of each sorted key beyond the part's, the last of them for whether it stands in two documents of the chunk."""
+        short = (((keys << _U(bits)) >> _U(24)) & ~_U(3)) | _U(2) | several.astype(_U)
+        cuts = _cuts(keys, bits)
+        for part in np.flatnonzero(np.diff(cuts)).tolist():
+            yield part, zstandard.compress(planes(short[cuts[part] : cuts[part + 1]], 5), 1)
 
     def flags_of(told: dict[int, bytes], keys: np.ndarray) -> np.ndarray:
         cuts, flags = _cuts(keys, bits), np.zeros(len(keys), bool)
@@ -295,8 +311,11 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def ask_anchors(rows: pa.Table, told: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         texts = Texts(rows)
-        start, end, doc, key, _, number, low = pieces(texts)
-        gone = flags_of(told, key)[number] | (doc > low[number])
+        start, end, doc, key, _, number, low, _ = pieces(texts)
+        twice = np.unpackbits(np.frombuffer(told[exchange.note(rows)], np.uint8), count=len(key)).astype(bool)
+        smaller = np.zeros(len(key), bool)
+        smaller[twice] = flags_of(told, key[twice])
+        gone = smaller[number] | (doc > low[number])
         step = np.zeros(len(texts.raw) + 1, np.int32)
         np.add.at(step, start[gone], 1)
         np.add.at(step, end[gone], -1)
@@ -305,11 +324,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         yield exchange.note(rows), freeze(np.packbits(lost))
         if len(keys):
             doc = texts.doc(at)[order]
-            several = np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group)
-            short = (((keys << _U(bits)) >> _U(24)) & ~_U(3)) | _U(2) | several.astype(_U)
-            cuts = _cuts(keys, bits)
-            for part in np.flatnonzero(np.diff(cuts)).tolist():
-                yield part, planes(short[cuts[part] : cuts[part + 1]], 5)
+            yield from short_keys(keys, np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group))
 
     def windows(texts: Texts, lost: np.ndarray, told: dict[int, bytes]) -> np.ndarray:
         """Starts of the windows whose smallest k-mer stands in two documents."""
@@ -431,8 +446,12 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(left, pa.binary()),
         })
 
-    first = exchange.answer(exchange.ask(chunked, ask_pieces), find_smaller)
-    anchors = exchange.answer(exchange.ask_again(chunked, first, ask_anchors), find_anchors)
+    def unpacked(reply):
+        return lambda blobs: reply([zstandard.decompress(b) for b in blobs])
+
+    seen = exchange.answer(exchange.ask(chunked, ask_short), unpacked(find_anchors))
+    first = exchange.answer(exchange.ask_again(chunked, seen, ask_pieces), unpacked(find_smaller))
+    anchors = exchange.answer(exchange.ask_again(chunked, first, ask_anchors), unpacked(find_anchors))
     triples = exchange.answer(exchange.ask_again(chunked, anchors, ask_triples), _name_triples)
     pairs = exchange.answer(exchange.ask_again(chunked, triples, ask_pairs), _name)
     merged = exchange.answer(exchange.ask_again(chunked, pairs, ask_windows), _merge)
