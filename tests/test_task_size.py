@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from tallyfield.operators import aggregate
 from tallyfield.sources import tables
 
 DAY = dt.date(1995, 1, 1)
@@ -41,3 +42,17 @@ def test_records_are_summed_in_more_tasks_as_lines_grow(spark, tmp_path, monkeyp
             for at, v in enumerate([q if f == x else 0 for x in "RAN"] + [q]):
                 row[at] = row[at] if v is None else (row[at] or 0) + int(v)
     assert {tuple(r[:4]): list(r[4:]) for r in got.collect()} == want
+
+
+def test_pincode_profile_counts_days_without_a_distinct_count(spark):
+    A = tables.ACTIVITY
+    rows = [
+        ("A", "A/x", "1", DAY + dt.timedelta(d), d, 0, None, d) for d in (0, 0, 1, 364, 365, 366, 900)
+    ] + [("A", "A/x", "1", None, 1, 1, None, 4), ("B", "B/x", "1", None, 1, 1, 1, None), (None, "B/x", "2", DAY, 1, 1, 1, 3), ("B", "B/x", None, DAY, 1, 1, 1, 3)]
+    facts = spark.createDataFrame(rows, "state string, district string, pincode string, date date, part_a long, part_b long, part_c long, total long")
+    got = aggregate.pincode_profile(facts, A)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan.lower()
+    assert sorted(map(tuple, got.select("pincode", "state", "district", "part_a", "part_c", "total", "active_days").collect()), key=str) == [
+        ("1", "A", "A/x", 1997, None, 2000, 6), ("1", "B", "B/x", 1, 1, None, 0),
+    ]
