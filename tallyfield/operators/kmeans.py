@@ -47,12 +47,13 @@ def squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray]]:
+def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """(ids, features) of some rows at a time."""
     for batch in rows:
         for at in range(0, batch.num_rows, BLOCK):
             part = batch.slice(at, BLOCK)
-            yield part.column("id").to_pylist(), np.array(part.column("features").to_pylist(), float).reshape(part.num_rows, -1)
+            x = part.column("features").flatten().to_numpy(zero_copy_only=False)
+            yield part.column("id"), x.astype(float).reshape(part.num_rows, -1)
 
 
 def luck(seed: int, run: int, step: int, key: str) -> float:
@@ -60,6 +61,19 @@ def luck(seed: int, run: int, step: int, key: str) -> float:
     return (int(hashlib.md5(f"{seed}|{run}|{step}|{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
 
 
+def lucks(seed: int, run: int, step: int, keys: Sequence[bytes]) -> np.ndarray:
+    """``luck`` of many keys in UTF-8: the top 52 bits of each digest."""
+    start = hashlib.md5(f"{seed}|{run}|{step}|".encode()).copy
+
+    def digest(key: bytes) -> bytes:
+        made = start()
+        made.update(key)
+        return made.digest()
+
+    bits = np.frombuffer(b"".join(map(digest, keys)), ">u8")[::2].astype(np.uint64) >> np.uint64(12)
+    return (bits + 0.5) / 2**52
+
+
 def seeds(points: DataFrame, n: int, runs: int, seed: int) -> list[np.ndarray]:
     """Up to ``n`` centres for each run, the first of which seed smaller fits; fewer where fewer points differ."""
     found: list[list[np.ndarray]] = [[] for _ in range(runs)]
@@ -68,12 +82,13 @@ def seeds(points: DataFrame, n: int, runs: int, seed: int) -> list[np.ndarray]:
         def race(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: dict[int, tuple] = {}
             for ids, x in _blocks(rows):
+                keys = ids.cast(pa.binary()).to_pylist()
                 for run, chosen in enumerate(found):
                     far = squared(x, np.array(chosen)).min(1) if chosen else np.ones(len(x))
                     open_ = np.flatnonzero(far > 0)
                     if not len(open_):
                         continue
-                    time = -np.log([luck(seed, run, step, ids[i]) for i in open_]) / far[open_]
+                    time = -np.log(lucks(seed, run, step, keys if len(open_) == len(keys) else [keys[i] for i in open_])) / far[open_]
                     first = int(time.argmin())
                     if run not in best or time[first] < best[run][0]:
                         best[run] = (float(time[first]), x[open_[first]].tolist())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +37,7 @@ def run(
     spec: FactSpec = DEFAULT,
     fmt: str = "csv",
 ) -> dict[str, str]:
-    """Clean, roll up and write every report; returns report name to path.
+    """Clean, roll up and write every report file; returns report name to path. Models that no file holds are not fitted.
 
     ``quick`` stops after anomalies and forecasts. The cleaned table and the
     rollups are kept, so a second run over the same files, or one after a
@@ -51,6 +52,7 @@ def _run(
     spark: SparkSession, raw_paths: Sequence[str], out_dir: str, quick: bool, holidays: DataFrame | None, spec: FactSpec, fmt: str
 ) -> dict[str, str]:
     _, r = refresh.refresh(spark, raw_paths, out_dir, spec)
+    r = replace(r, pincodes=scratch.pinned(r.pincodes, "pincodes"))  # most reports read it
     written: dict[str, str] = {}
 
     def save(report: reports.Report, names: dict[str, str], skip_empty: bool = False) -> None:
@@ -69,8 +71,8 @@ def _run(
     forecasts["seasonal_forecast"] = forecasts["seasonal_forecast"].drop("step")
     save(forecasts, FORECAST_FILES)
     if not quick:
-        save(reports.clustering_report(r), CLUSTERING_FILES)
-        save(reports.ml_report(r), ML_FILES)
+        save(reports.clustering_report(r, sections=list(CLUSTERING_FILES.values())), CLUSTERING_FILES)
+        save(reports.ml_report(r, sections=list(ML_FILES.values())), ML_FILES)
         operational = reports.operational_report(r)
         operational["recommendations"] = operational["recommendations"].drop("position")
         save(operational, OPERATIONAL_FILES)

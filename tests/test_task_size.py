@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
-from tallyfield.operators import aggregate
+from tallyfield.operators import aggregate, kmeans, learn, segment
+from tallyfield.plans import reports
 from tallyfield.sources import tables
 
 DAY = dt.date(1995, 1, 1)
@@ -56,3 +57,20 @@ def test_pincode_profile_counts_days_without_a_distinct_count(spark):
     assert sorted(map(tuple, got.select("pincode", "state", "district", "part_a", "part_c", "total", "active_days").collect()), key=str) == [
         ("1", "A", "A/x", 1997, None, 2000, 6), ("1", "B", "B/x", 1, 1, None, 0),
     ]
+
+
+def test_hashes_of_many_keys_are_those_of_each():
+    keys = [f"1000{i}|Ä|ß{i * i}" for i in range(500)] + [""]
+    got = kmeans.lucks(42, 3, 1, [k.encode() for k in keys])
+    assert got.tolist() == [kmeans.luck(42, 3, 1, k) for k in keys]
+
+
+def test_reports_fit_only_what_is_asked_for(facts, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("no section asks for this")
+
+    r = reports.Rollups(aggregate.day_cube(facts), aggregate.pincode_profile(facts))
+    for module, name in ((segment, "cluster_pincodes"), (segment, "cluster_regions"), (learn, "train_demand"), (learn, "train_surge"), (learn, "feature_importance")):
+        monkeypatch.setattr(module, name, refuse)
+    assert list(reports.clustering_report(r, sections=["underserved"])) == ["underserved"]
+    assert list(reports.ml_report(r, sections=["district_risk"])) == ["district_risk"]
