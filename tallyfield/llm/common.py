@@ -105,12 +105,12 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def mix(h: np.ndarray) -> np.ndarray:
     """The finalizer of SplitMix64: spreads each bit over all bits."""
-    h = h.copy()
-    h ^= h >> _U(30)
+    moved = h >> _U(30)
+    h = h ^ moved
     h *= _U(0xBF58476D1CE4E5B9)
-    h ^= h >> _U(27)
+    h ^= np.right_shift(h, _U(27), out=moved)
     h *= _U(0x94D049BB133111EB)
-    h ^= h >> _U(31)
+    h ^= np.right_shift(h, _U(31), out=moved)
     return h
 
 
@@ -125,6 +125,21 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def prefix_sums(values: np.ndarray, base: int = 0) -> np.ndarray:
+    """Sums of the first values, each times its power: what polynomials of runs are worked out from."""
+    up, _ = _powers(_BASES[base], len(values) + 1)
+    sums = np.zeros(len(values) + 1, _U)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return sums
+
+
+def span_hashes(sums: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice, base: int = 0) -> np.ndarray:
+    """The polynomial modulo 2**64 of the values from each start to its end (exclusive). Equal runs agree, see ``window_hashes`` for others."""
+    out = sums[end] - sums[start]
+    out *= _powers(_BASES[base], len(sums))[1][start]
+    return out
+
+
 def window_hashes(values: np.ndarray, width: int, base: int = 0) -> np.ndarray:
     """Hash of each run of ``width`` values: a polynomial modulo 2**64 from prefix sums, then mixed.
 
@@ -134,10 +149,8 @@ def window_hashes(values: np.ndarray, width: int, base: int = 0) -> np.ndarray:
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, _U)
-    up, down = _powers(_BASES[base], len(values) + 1)
-    sums = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[width:] - sums[:n]) * down[:n])
+    sums = prefix_sums(values, base)
+    return mix(span_hashes(sums, slice(0, n), slice(width, width + n), base))
 
 
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(_BASES[2]))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import LAST, byte_values, doc_ids, id_or_null, planes, table, window_hashes
+from .common import LAST, byte_values, doc_ids, id_or_null, mix, planes, prefix_sums, span_hashes, table, window_hashes
 from .substring_dedup import _cuts, find_anchors, find_smaller
 
 LENGTH = 50
@@ -72,31 +72,56 @@ def unpack_rows(blob: bytes, width: int) -> list[np.ndarray]:
     return [c.astype(_U) for c in rows.T]
 
 
+def ordered(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of rows by all columns, and where in it a row differs from the one before.
+
+    Rows are sorted by as many leading bits as fit a number beside their place, then those that tie by the next
+    bits, with their group's number before these: sorting plain numbers is several times as fast as an argsort.
+    """
+    n = len(columns[0])
+    order, new = np.arange(n), np.zeros(n, bool)
+    new[:1] = True
+    left = [(c, int(c.max()).bit_length()) for c in columns] if n else []
+    tied, group, groups = np.arange(n), np.zeros(n, _U), 1  # places in the order, of rows whose group is not yet one row
+    while left and len(tied):
+        place_bits = len(tied).bit_length()
+        room = 64 - place_bits - groups.bit_length()
+        key, rest = group, []
+        for c, width in left:
+            take = min(room, width)
+            key = (key << _U(take)) | ((c >> _U(width - take)) if take else _U(0))
+            room -= take
+            if take < width:
+                rest.append((c & _U((1 << (width - take)) - 1), width - take))
+        key = (key << _U(place_bits)) | np.arange(len(tied), dtype=_U)
+        key.sort()
+        was = (key & _U((1 << place_bits) - 1)).astype(np.int64)
+        key >>= _U(place_bits)
+        order[tied] = order[tied[was]]
+        fresh = np.ones(len(key) + 1, bool)
+        np.not_equal(key[1:], key[:-1], out=fresh[1:-1])
+        new[tied] = fresh[:-1]
+        still = ~(fresh[:-1] & fresh[1:])
+        number = np.cumsum(fresh[:-1][still])
+        groups = int(number[-1]) if len(number) else 0
+        tied, group, was = tied[still], number.astype(_U) - _U(1), was[still]
+        left = [(c[was], width) for c, width in rest]
+    return order, new
+
+
 def sorting(columns: list[np.ndarray]) -> np.ndarray:
-    """The stable order of rows, by the first column, then the next: the first is sorted alone, then rows that tie in it."""
-    order = np.argsort(columns[0])
-    s = columns[0][order]
-    same = np.zeros(len(s) + 1, bool)
-    same[1:-1] = s[1:] == s[:-1]
-    tied = np.flatnonzero(same[1:] | same[:-1])
-    if len(tied):
-        sub = order[tied]
-        order[tied] = sub[np.lexsort((sub, *(c[sub] for c in columns[:0:-1]), np.cumsum(~same[:-1])[tied]))]
-    return order
+    """The stable order of rows, by the first column, then the next."""
+    return ordered(columns)[0]
 
 
 def distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct rows, each row's number among them, the sort order and the groups' starts."""
-    n = len(columns[0])
-    order = sorting(columns)
-    s = [c[order] for c in columns]
-    new = np.ones(n, bool)
-    if n:
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in s])
-    number = np.empty(n, np.int64)
+    order, new = ordered(columns)
+    number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
     group = np.flatnonzero(new)
-    return [c[group] for c in s], number, order, group
+    first = order[group]
+    return [c[first] for c in columns], number, order, group
 
 
 def sliding(op, values: np.ndarray, width: int) -> np.ndarray:
@@ -108,6 +133,22 @@ def sliding(op, values: np.ndarray, width: int) -> np.ndarray:
     return op(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def sampled(at: np.ndarray) -> np.ndarray:
+    """For each byte whether the windows that start at ``at`` need the sampled suffix there by 48 bytes; long enough to tell where the next triples are."""
+    size = int(at.max()) + 4 + TRIPLE if len(at) else 0
+    starts, need = np.zeros(size, bool), np.zeros(size, bool)
+    starts[at] = True
+    for kind, ahead in ((0, 1), (0, 2), (1, 0), (1, 1), (2, 0), (2, 2)):
+        to = need[kind + ahead :: 3]
+        to |= starts[kind::3][: len(to)]
+    return need
+
+
+def places(chosen: np.ndarray) -> np.ndarray:
+    """For each byte how many chosen ones come before it: where a chosen one stands among them."""
+    return np.cumsum(chosen, dtype=np.int32) - chosen
+
+
 class Texts:
     """A chunk's texts as one byte array, one separator after each."""
 
@@ -116,7 +157,8 @@ class Texts:
         self.ids = doc_ids(rows)
         self.size = np.array([len(b) for b in bodies])
         self.offset = np.cumsum([0, *(self.size + 1)])
-        self.raw = np.frombuffer(b"\n".join(bodies) + b"\n" + bytes(64), np.uint8)
+        self.joined = b"\n".join(bodies) + b"\n" + bytes(64)
+        self.raw = np.frombuffer(self.joined, np.uint8)
 
     def doc(self, at: np.ndarray) -> np.ndarray:
         return self.ids[np.searchsorted(self.offset, at, "right") - 1]
@@ -125,41 +167,51 @@ class Texts:
         """Eight bytes from each position, as numbers in the bytes' order."""
         return np.lib.stride_tricks.sliding_window_view(self.raw, LETTER)[at].view(">u8").ravel().astype(_U)
 
-    def runs(self, length: int, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """By runs of texts of about 2 MB: offset, hashes of ``width`` bytes, where windows may start."""
+    def runs(self, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """By runs of texts of about 256 KB, so that arrays of a run stay in a core's cache: first byte, last (exclusive), where windows may start."""
         edges = [0]
         for i in range(1, len(self.size) + 1):
-            if i == len(self.size) or self.offset[i + 1] - self.offset[edges[-1]] > 1 << 21:
+            if i == len(self.size) or self.offset[i + 1] - self.offset[edges[-1]] > 1 << 18:
                 edges.append(i)
         for a, b in zip(edges, edges[1:]):
             lo, hi = int(self.offset[a]), int(self.offset[b])
             n = hi - lo - length + 1
             if n > 0 and (self.size[a:b] >= length).any():
-                step = np.zeros(hi - lo + 1, np.int64)
+                step = np.zeros(hi - lo + 1, np.int8)
                 long = np.flatnonzero(self.size[a:b] >= length) + a
                 step[self.offset[long] - lo] = 1
                 step[self.offset[long] - lo + self.size[long] - length + 1] = -1
-                yield lo, window_hashes(byte_values(self.raw[lo:hi]), width) | _U(1), np.cumsum(step)[:n] > 0
+                yield lo, hi, np.cumsum(step[:n], dtype=np.int8) > 0
 
-    def pieces(self, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First and last window starts (end exclusive) of content-defined pieces, and the halves of a 128-bit hash of each piece's bytes."""
-        found = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, _U)] * 2]
-        for lo, h, valid in self.runs(length, width):
+    def pieces(self, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last window starts (end exclusive) of content-defined pieces, and a polynomial hash of each piece's bytes.
+
+        Equal pieces have equal hashes, so a piece whose hash stands in one document has no equal elsewhere; others are compared by name.
+        """
+        found = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, _U)]]
+        for lo, hi, valid in self.runs(length):
+            sums = prefix_sums(byte_values(self.raw[lo:hi]))
+            cut = span_hashes(sums, slice(0, len(valid)), slice(width, width + len(valid))) < _U((1 << 64) // PIECE)
             ahead = np.append(valid[1:], False)
             first = valid & ~np.concatenate(([False], valid[:-1]))
-            start = np.flatnonzero(valid & (((h[: len(valid)] >> _U(20)) % _U(PIECE) == 0) | first))
+            start = np.flatnonzero(valid & (cut | first))
             stop = np.flatnonzero(valid & ~ahead) + 1
             end = np.minimum(np.append(start[1:], len(valid)), stop[np.searchsorted(stop, start, "right")])
-            raw = self.raw[lo : lo + len(valid) + length].tobytes()
-            name = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), (end + length - 1).tolist())])
-            found.append([start + lo, end + lo, *np.frombuffer(name, "<u8").reshape(-1, 2).T])
+            found.append([start + lo, end + lo, mix(span_hashes(sums, start, end + length - 1))])
         return tuple(np.concatenate(x) for x in zip(*found))
 
+    def names(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """96 bits of a hash of each span's bytes, in two columns."""
+        name = b"".join([xxhash.xxh3_128_digest(self.joined[a:b]) for a, b in zip(start.tolist(), end.tolist())])
+        one, two = np.frombuffer(name, "<u8").reshape(-1, 2).T.astype(_U)
+        return [one, two & _U(0xFFFFFFFF)]
+
     def anchors(self, lost: np.ndarray, length: int, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """By runs of texts: offset, k-mer hashes, each window's smallest, windows that are not lost, k-mers chosen by one."""
         w = length - width + 1
         edge = np.zeros(w - 1, _U)
-        for lo, h, valid in self.runs(length, width):
+        for lo, hi, valid in self.runs(length):
+            h = window_hashes(byte_values(self.raw[lo:hi]), width) | _U(1)
             valid &= ~lost[lo : lo + len(valid)]
             low = sliding(np.minimum, h, w)
             # chosen if it is the smallest of some window: then the largest of its windows' minima is itself
@@ -266,24 +318,28 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     split = splitters(docs, 1 << bits)
     width = KMER
 
-    def pieces(texts: Texts):
-        start, end, one, two = texts.pieces(length, width)
-        (key, check), number, order, group = distinct([one, two & _U(0xFFFFFFFF)])
-        doc = texts.doc(start)
-        low = np.minimum.reduceat(doc[order], group) if len(group) else doc
-        several = np.maximum.reduceat(doc[order], group) != low if len(group) else np.zeros(0, bool)
-        return start, end, doc, key, check, number, low, several
-
     def ask_short(rows: pa.Table) -> Iterator[tuple[int, bytes]]:
-        """40 bits of each piece's name: most pieces stand nowhere else and need no more."""
-        *_, key, _, _, _, several = pieces(Texts(rows))
-        yield from short_keys(key, several)
+        """40 bits of each piece's hash: most pieces stand nowhere else and need no name."""
+        texts = Texts(rows)
+        start, _, key = texts.pieces(length, width)
+        (key,), _, order, group = distinct([key])
+        if len(key):
+            doc = texts.doc(start)[order]
+            yield from short_keys(key, np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group))
+
+    def named(texts: Texts, start: np.ndarray, end: np.ndarray):
+        """Pieces' documents, distinct names, each piece's place among these, the smallest document of each."""
+        (key, check), number, order, group = distinct(texts.names(start, end + length - 1))
+        doc = texts.doc(start)
+        return doc, key, check, number, np.minimum.reduceat(doc[order], group) if len(group) else doc
 
     def ask_pieces(rows: pa.Table, told: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
-        _, _, _, key, check, _, low, _ = pieces(Texts(rows))
-        twice = flags_of(told, key)
+        texts = Texts(rows)
+        start, end, key = texts.pieces(length, width)
+        (key,), number, _, _ = distinct([key])
+        twice = flags_of(told, key)[number]
         yield exchange.note(rows), np.packbits(twice).tobytes()
-        key, check, low = key[twice], check[twice], low[twice]
+        _, key, check, _, low = named(texts, start[twice], end[twice])
         cuts = _cuts(key, bits)
         for part in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[part], cuts[part + 1]
@@ -311,15 +367,15 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def ask_anchors(rows: pa.Table, told: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         texts = Texts(rows)
-        start, end, doc, key, _, number, low, _ = pieces(texts)
-        twice = np.unpackbits(np.frombuffer(told[exchange.note(rows)], np.uint8), count=len(key)).astype(bool)
-        smaller = np.zeros(len(key), bool)
-        smaller[twice] = flags_of(told, key[twice])
-        gone = smaller[number] | (doc > low[number])
-        step = np.zeros(len(texts.raw) + 1, np.int32)
-        np.add.at(step, start[gone], 1)
-        np.add.at(step, end[gone], -1)
-        lost = np.cumsum(step[:-1]) > 0
+        start, end, _ = texts.pieces(length, width)
+        twice = np.unpackbits(np.frombuffer(told[exchange.note(rows)], np.uint8), count=len(start)).astype(bool)
+        start, end = start[twice], end[twice]
+        doc, key, _, number, low = named(texts, start, end)
+        gone = flags_of(told, key)[number] | (doc > low[number])
+        step = np.zeros(len(texts.raw) + 1, np.int8)
+        step[start[gone]] += 1  # pieces do not overlap: one may start where another ends
+        step[end[gone]] -= 1
+        lost = np.cumsum(step[:-1], dtype=np.int8) > 0
         _, at, keys, number, order, group = chosen(texts, lost)
         yield exchange.note(rows), freeze(np.packbits(lost))
         if len(keys):
@@ -337,26 +393,21 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append(np.flatnonzero(valid & (sliding(np.minimum, known, length - width + 1) == low)) + lo)
         return np.concatenate([np.zeros(0, np.int64), *out])
 
-    def sampled(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled suffixes that the windows need by 48 bytes, and all positions whose triples they need."""
-        need = np.zeros(int(at.max()) + 4 if len(at) else 0, bool)
-        for kind, ahead in ((0, 1), (0, 2), (1, 0), (1, 1), (2, 0), (2, 2)):
-            need[at[at % 3 == kind] + ahead] = True
-        suffix = np.flatnonzero(need)
-        return suffix, np.unique(np.concatenate((suffix, suffix + TRIPLE)))
-
     def triples_of(texts: Texts, at: np.ndarray):
-        """Sampled suffixes, positions of triples, their distinct triples in order, each position's place among these."""
-        suffix, triple = sampled(at)
+        """Distinct triples of the windows' sampled suffixes in order, and the places among these of each suffix's triple and of the next."""
+        need = sampled(at)
+        suffix = np.flatnonzero(need)
+        need[TRIPLE:] |= need[:-TRIPLE].copy()
+        triple, before = np.flatnonzero(need), places(need)
         rank, number, _, _ = distinct([texts.letters(triple + LETTER * k) for k in range(3)])
-        return suffix, triple, rank, number
+        return rank, [number[before[suffix + ahead]] for ahead in (0, TRIPLE)]
 
     def ask_triples(rows: pa.Table, told: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         texts = Texts(rows)
         lost = np.unpackbits(thaw(told[exchange.note(rows)])[0].astype(np.uint8), count=len(texts.raw)).astype(bool)
         at = windows(texts, lost, told)
         yield exchange.note(rows), freeze(np.packbits(lost), np.diff(at, prepend=0).astype(_U))
-        _, _, rank, _ = triples_of(texts, at)
+        rank, _ = triples_of(texts, at)
         cuts = [0, *np.searchsorted(rank[0], split).tolist(), len(rank[0])]
         for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if a < b:
@@ -365,9 +416,9 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def ask_pairs(rows: pa.Table, told: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         lost, step = thaw(told[exchange.note(rows)])
         # sorting the triples again is cheaper than sending each suffix's two places among them
-        suffix, triple, _, number = triples_of(Texts(rows), np.cumsum(step.astype(np.int64)))
+        _, numbers = triples_of(Texts(rows), np.cumsum(step.astype(np.int64)))
         name = _names_back(told)
-        columns, number, _, _ = distinct([name[number[np.searchsorted(triple, suffix + ahead)]] for ahead in (0, TRIPLE)])
+        columns, number, _, _ = distinct([name[x] for x in numbers])
         yield exchange.note(rows), freeze(lost, step, number.astype(_U))
         yield from _by_parts([columns[0] & _U(0xFFFFFFFF), columns[1]], (columns[0] >> _U(32)).astype(np.int64))
 
@@ -382,11 +433,11 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         texts = Texts(rows)
         lost, step, number = thaw(told[exchange.note(rows)])
         at = np.cumsum(step.astype(np.int64))
-        suffix, _ = sampled(at)
+        before = places(sampled(at))
         name = _names_back(told)[number.astype(np.int64)]  # of each sampled suffix, by 48 bytes
 
         def rank(p: np.ndarray) -> np.ndarray:
-            return name[np.searchsorted(suffix, p)]
+            return name[before[p]]
 
         def byte(p: np.ndarray) -> np.ndarray:
             return texts.raw[p].astype(_U)

@@ -7,6 +7,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -126,6 +127,49 @@ def test_rows_are_sorted_and_packed_in_their_order():
     assert suffix_array.sorting([np.zeros(0, np.uint64)] * 2).tolist() == []
 
 
+def test_pieces_are_told_apart_without_naming_them(monkeypatch):
+    """Names, a call a piece, are only for pieces whose polynomial stands in two documents."""
+    monkeypatch.setattr(suffix_array.xxhash, "xxh3_128_digest", lambda _: pytest.fail("a piece was named"))
+    rng = random.Random(6)
+    letters = lambda n: bytes(rng.choices(b"abcdef ", k=n))
+    shared = letters(3000)
+    bodies = [b"", letters(49), letters(50), letters(400) + shared, shared + letters(300), letters(1 << 18)]
+    texts = suffix_array.Texts(pa.table({"doc_id": list(range(len(bodies))), "body": bodies}))
+    start, end, key = (x.tolist() for x in texts.pieces(50, 34))
+    windows = [int(o) + i for o, b in zip(texts.offset, bodies) for i in range(len(b) - 49)]
+    assert [i for a, b in zip(start, end) for i in range(a, b)] == windows
+    held, held_by = {}, {}
+    for a, b, k, d in zip(start, end, key, texts.doc(np.array(start)).tolist()):
+        assert held.setdefault(k, texts.joined[a : b + 49]) == texts.joined[a : b + 49]
+        held_by.setdefault(k, set()).add(d)
+    assert len(set(held.values())) == len(held)
+    assert 20 < sum(len(d) == 2 for d in held_by.values()) < 80  # most pieces of what texts 3 and 4 share
+
+
+def test_sampled_suffixes_of_windows():
+    at = np.array([0, 4, 8, 9, 31])
+    need = {p + ahead for p in at.tolist() for ahead in ((1, 2), (0, 1), (0, 2))[p % 3]}
+    got = suffix_array.sampled(at)
+    assert set(np.flatnonzero(got).tolist()) == need
+    assert max(need) + suffix_array.TRIPLE < len(got)
+    assert suffix_array.places(got)[sorted(need)].tolist() == list(range(len(need)))
+    assert suffix_array.sampled(at[:0]).tolist() == []
+
+
+@pytest.mark.parametrize("shift", [0, 41, 62])
+def test_rows_of_wide_columns_are_sorted_by_all_their_bits(shift):
+    rng = np.random.default_rng(7)
+    for n, kinds in ((1, 1), (2, 2), (3000, 3), (3000, 1 << 21)):
+        columns = [rng.integers(0, kinds, n, dtype=np.uint64) << np.uint64(min(shift, 64 - kinds.bit_length())) for _ in range(3)]
+        order, new = suffix_array.ordered(columns)
+        assert order.tolist() == np.lexsort(columns[::-1]).tolist()
+        rows = list(zip(*(c[order].tolist() for c in columns)))
+        assert new.tolist() == [i == 0 or rows[i] != rows[i - 1] for i in range(n)]
+        (a, b, c), number, _, group = suffix_array.distinct(columns)
+        assert list(zip(a[number].tolist(), b[number].tolist(), c[number].tolist())) == list(zip(*(x.tolist() for x in columns)))
+        assert len(group) == len(set(rows))
+
+
 def test_bpe_round_trip(docs, rows, none):
     tokenizer = bpe.load(bpe.read_tokenizer(bpe.default_tokenizer()))
     special = "A <|endoftext|> b<|STARTOFTEXT|> é́  x y"
