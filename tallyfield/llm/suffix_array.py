@@ -48,7 +48,7 @@ def freeze(*arrays: np.ndarray) -> bytes:
         a = a.astype("<u8")
         width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
         out += [np.array([len(a), width], "<u4").tobytes(), planes(a, width)]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def thaw(blob: bytes) -> list[np.ndarray]:
@@ -64,7 +64,7 @@ def thaw(blob: bytes) -> list[np.ndarray]:
 
 def pack_rows(columns: list[np.ndarray]) -> bytes:
     """Rows of numbers as compressed bytes, row by row: sorted ones share their beginnings with those before."""
-    return zstandard.ZstdCompressor(level=5).compress(np.stack(columns, 1).astype(">u8").tobytes())
+    return zstandard.ZstdCompressor(level=8).compress(np.stack(columns, 1).astype(">u8").tobytes())
 
 
 def unpack_rows(blob: bytes, width: int) -> list[np.ndarray]:
