@@ -153,16 +153,10 @@ def window_hashes(values: np.ndarray, width: int, base: int = 0) -> np.ndarray:
     return mix(span_hashes(sums, slice(0, n), slice(width, width + n), base))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(_BASES[2]))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def byte_values(raw: np.ndarray) -> np.ndarray:
-    """A fixed random 64-bit number for each byte."""
-    return _BYTE[raw]
-
-
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of several texts, as arrays.
 

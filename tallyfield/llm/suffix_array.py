@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import LAST, byte_values, doc_ids, id_or_null, mix, planes, prefix_sums, span_hashes, table, window_hashes
+from .common import LAST, doc_ids, id_or_null, mix, planes, table
 from .substring_dedup import _cuts, find_anchors, find_smaller
 
 LENGTH = 50
@@ -38,6 +38,8 @@ PIECE = 64
 CHUNK_BYTES = 8 << 20
 #: Sampled eight-byte strings from which the range partitions are balanced; results do not depend on them.
 SPLIT_SAMPLE = 20_000
+#: An odd number whose bits look random.
+_MIXED = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
@@ -63,13 +65,27 @@ def thaw(blob: bytes) -> list[np.ndarray]:
 
 
 def pack_rows(columns: list[np.ndarray]) -> bytes:
-    """Rows of numbers as compressed bytes, row by row: sorted ones share their beginnings with those before."""
-    return zstandard.ZstdCompressor(level=8).compress(np.stack(columns, 1).astype(">u8").tobytes())
+    """Sorted rows of numbers as compressed bytes: how many first half letters each row shares with the one before, and its others."""
+    rows = np.stack(columns, 1).astype(">u8").view("<u4")
+    same, alike = np.zeros(len(rows), np.uint8), np.ones(max(0, len(rows) - 1), bool)
+    for c in columns:
+        apart = c[1:] ^ c[:-1]
+        for bits in (32, 0):
+            alike &= apart < _U(1 << bits)
+            same[1:] += alike
+    rest = rows[np.arange(rows.shape[1], dtype=np.uint8) >= same[:, None]]
+    return zstandard.ZstdCompressor(level=4).compress(np.array([len(rows)], "<u4").tobytes() + same.tobytes() + rest.tobytes())
 
 
 def unpack_rows(blob: bytes, width: int) -> list[np.ndarray]:
-    rows = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), ">u8").reshape(-1, width)
-    return [c.astype(_U) for c in rows.T]
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    same, place = np.frombuffer(raw, np.uint8, n, 4), np.arange(n, dtype=np.int32)
+    rows = np.zeros((n, 2 * width), "<u4")
+    rows[np.arange(2 * width, dtype=np.uint8) >= same[:, None]] = np.frombuffer(raw, "<u4", offset=4 + n)
+    for at in range(2 * width):
+        rows[:, at] = rows[np.maximum.accumulate(place * (same <= at)), at]  # of the last row that has its own
+    return [c.astype(_U) for c in rows.view(">u8").T]
 
 
 def ordered(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,17 +152,17 @@ def sliding(op, values: np.ndarray, width: int) -> np.ndarray:
 def sampled(at: np.ndarray) -> np.ndarray:
     """For each byte whether the windows that start at ``at`` need the sampled suffix there by 48 bytes; long enough to tell where the next triples are."""
     size = int(at.max()) + 4 + TRIPLE if len(at) else 0
-    starts, need = np.zeros(size, bool), np.zeros(size, bool)
-    starts[at] = True
-    for kind, ahead in ((0, 1), (0, 2), (1, 0), (1, 1), (2, 0), (2, 2)):
-        to = need[kind + ahead :: 3]
-        to |= starts[kind::3][: len(to)]
+    need, kind = np.zeros(size, bool), at % 3
+    for ahead in ((1, 0, 0), (2, 1, 2)):
+        need[at + np.array(ahead)[kind]] = True
     return need
 
 
 def places(chosen: np.ndarray) -> np.ndarray:
-    """For each byte how many chosen ones come before it: where a chosen one stands among them."""
-    return np.cumsum(chosen, dtype=np.int32) - chosen
+    """For each chosen byte where it stands among these; 0 for others."""
+    out, at = np.zeros(len(chosen), np.int32), np.flatnonzero(chosen)
+    out[at] = np.arange(len(at), dtype=np.int32)
+    return out
 
 
 class Texts:
@@ -157,47 +173,72 @@ class Texts:
         self.ids = doc_ids(rows)
         self.size = np.array([len(b) for b in bodies])
         self.offset = np.cumsum([0, *(self.size + 1)])
-        self.joined = b"\n".join(bodies) + b"\n" + bytes(64)
+        self.joined = b"\n".join([*bodies, bytes(64)])
         self.raw = np.frombuffer(self.joined, np.uint8)
+        self.hashed: dict[tuple[int, int, int], np.ndarray] = {}
 
     def doc(self, at: np.ndarray) -> np.ndarray:
         return self.ids[np.searchsorted(self.offset, at, "right") - 1]
 
     def letters(self, at: np.ndarray) -> np.ndarray:
         """Eight bytes from each position, as numbers in the bytes' order."""
-        return np.lib.stride_tricks.sliding_window_view(self.raw, LETTER)[at].view(">u8").ravel().astype(_U)
+        return np.ndarray(len(self.raw) - LETTER + 1, ">u8", self.joined, 0, (1,))[at].astype(_U)
+
+    def hashes(self, lo: int, hi: int, width: int) -> np.ndarray:
+        """An odd number of 32 bits for each ``width`` bytes of a run: short, so that minima over them are cheap. Equal bytes agree; worked out once."""
+        if (lo, hi, width) not in self.hashed:
+            letters = np.ndarray(hi - lo - LETTER + 1, "<u8", self.joined, lo, (1,))
+            out, have, factor = ((letters * _U(_MIXED)) >> _U(32)).astype(np.uint32), LETTER, _MIXED & 0xFFFFFFFF
+            while have < width:
+                step = min(have, width - have)
+                ahead = out[step:]
+                out = out[:-step] * np.uint32(factor)
+                out += ahead
+                have, factor = have + step, factor * factor & 0xFFFFFFFF
+            self.hashed[lo, hi, width] = out | np.uint32(1)
+        return self.hashed[lo, hi, width]
+
+    def keys(self, at: np.ndarray, short: np.ndarray, width: int) -> np.ndarray:
+        """64 bits for the ``width`` bytes at each position: the given hashes of these, as they are (smallest ones pack well), then 32 bits of three letters."""
+        out = self.letters(at)
+        for ahead in ((width - LETTER) // 2, width - LETTER):
+            out = (out ^ (out >> _U(32))) * _U(_MIXED) + self.letters(at + ahead)
+        return short.astype(_U) << _U(32) | (out * _U(_MIXED)) >> _U(32)
 
     def runs(self, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
         """By runs of texts of about 256 KB, so that arrays of a run stay in a core's cache: first byte, last (exclusive), where windows may start."""
         edges = [0]
-        for i in range(1, len(self.size) + 1):
-            if i == len(self.size) or self.offset[i + 1] - self.offset[edges[-1]] > 1 << 18:
-                edges.append(i)
+        while edges[-1] < len(self.size):
+            edges.append(max(edges[-1] + 1, int(np.searchsorted(self.offset, self.offset[edges[-1]] + (1 << 18), "right")) - 1))
         for a, b in zip(edges, edges[1:]):
             lo, hi = int(self.offset[a]), int(self.offset[b])
             n = hi - lo - length + 1
             if n > 0 and (self.size[a:b] >= length).any():
-                step = np.zeros(hi - lo + 1, np.int8)
-                long = np.flatnonzero(self.size[a:b] >= length) + a
-                step[self.offset[long] - lo] = 1
-                step[self.offset[long] - lo + self.size[long] - length + 1] = -1
-                yield lo, hi, np.cumsum(step[:n], dtype=np.int8) > 0
+                valid = np.zeros(n, bool)
+                for at, size in zip((self.offset[a:b] - lo).tolist(), self.size[a:b].tolist()):
+                    if size >= length:
+                        valid[at : at + size - length + 1] = True
+                yield lo, hi, valid
 
     def pieces(self, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and last window starts (end exclusive) of content-defined pieces, and a polynomial hash of each piece's bytes.
+        """First and last window starts (end exclusive) of content-defined pieces, and a hash of each piece's bytes.
 
         Equal pieces have equal hashes, so a piece whose hash stands in one document has no equal elsewhere; others are compared by name.
         """
         found = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, _U)]]
+        long = np.flatnonzero(self.size >= length)
+        offset, size = self.offset[long], self.size[long]
         for lo, hi, valid in self.runs(length):
-            sums = prefix_sums(byte_values(self.raw[lo:hi]))
-            cut = span_hashes(sums, slice(0, len(valid)), slice(width, width + len(valid))) < _U((1 << 64) // PIECE)
-            ahead = np.append(valid[1:], False)
-            first = valid & ~np.concatenate(([False], valid[:-1]))
-            start = np.flatnonzero(valid & (cut | first))
-            stop = np.flatnonzero(valid & ~ahead) + 1
+            kmers = self.hashes(lo, hi, width)
+            cut = kmers[: len(valid)] < np.uint32((1 << 32) // PIECE)
+            of_run = slice(*np.searchsorted(offset, (lo, hi)))
+            cut[offset[of_run] - lo] = True
+            start, stop = np.flatnonzero(cut & valid), offset[of_run] + size[of_run] - length + 1 - lo
             end = np.minimum(np.append(start[1:], len(valid)), stop[np.searchsorted(stop, start, "right")])
-            found.append([start + lo, end + lo, mix(span_hashes(sums, start, end + length - 1))])
+            last = end + length - 1 - width  # of the piece's k-mers, whose sum stands for them, with the first and the last
+            sums = np.cumsum(kmers, dtype=_U)
+            total = sums[last] - sums[start] + kmers[start]
+            found.append([start + lo, end + lo, mix(total * _U(_MIXED) + (kmers[start].astype(_U) << _U(32) | kmers[last]))])
         return tuple(np.concatenate(x) for x in zip(*found))
 
     def names(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
@@ -207,16 +248,16 @@ class Texts:
         return [one, two & _U(0xFFFFFFFF)]
 
     def anchors(self, lost: np.ndarray, length: int, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """By runs of texts: offset, k-mer hashes, each window's smallest, windows that are not lost, k-mers chosen by one."""
+        """By runs of texts: offset, k-mer hashes, each window's smallest, windows that are not lost, where k-mers are that one of these chooses."""
         w = length - width + 1
-        edge = np.zeros(w - 1, _U)
         for lo, hi, valid in self.runs(length):
-            h = window_hashes(byte_values(self.raw[lo:hi]), width) | _U(1)
+            h = self.hashes(lo, hi, width)
             valid &= ~lost[lo : lo + len(valid)]
             low = sliding(np.minimum, h, w)
             # chosen if it is the smallest of some window: then the largest of its windows' minima is itself
-            most = sliding(np.maximum, np.concatenate((edge, np.where(valid, low, _U(0)), edge)), w)
-            yield lo, h, low, valid, most == h
+            minima = np.zeros(len(low) + 2 * (w - 1), np.uint32)
+            np.multiply(low, valid, out=minima[w - 1 : w - 1 + len(low)])
+            yield lo, h, low, valid, np.flatnonzero(sliding(np.maximum, minima, w) == h)
 
 
 def name_parts(sent: list[list[np.ndarray]]) -> list[np.ndarray]:
@@ -360,9 +401,9 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def chosen(texts: Texts, lost: np.ndarray):
         parts = list(texts.anchors(lost, length, width))
-        at = np.concatenate([np.zeros(0, np.int64), *(np.flatnonzero(p[4]) + p[0] for p in parts)])
-        h = np.concatenate([np.zeros(0, _U), *(p[1][p[4]] for p in parts)])
-        keys, number, order, group = distinct([h])
+        at = np.concatenate([np.zeros(0, np.int64), *(p[4] + p[0] for p in parts)])
+        short = np.concatenate([np.zeros(0, np.uint32), *(p[1][p[4]] for p in parts)])
+        keys, number, order, group = distinct([texts.keys(at, short, width)])
         return parts, at, keys[0], number, order, group
 
     def ask_anchors(rows: pa.Table, told: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
@@ -389,7 +430,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         shared[at] = flags_of(told, keys)[number]
         out = []
         for lo, kmers, low, valid, _ in parts:
-            known = np.where(shared[lo : lo + len(kmers)], kmers, ~_U(0))
+            known = np.where(shared[lo : lo + len(kmers)], kmers, ~np.uint32(0))
             out.append(np.flatnonzero(valid & (sliding(np.minimum, known, length - width + 1) == low)) + lo)
         return np.concatenate([np.zeros(0, np.int64), *out])
 
@@ -422,9 +463,11 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         yield exchange.note(rows), freeze(lost, step, number.astype(_U))
         yield from _by_parts([columns[0] & _U(0xFFFFFFFF), columns[1]], (columns[0] >> _U(32)).astype(np.int64))
 
+    few = np.min_scalar_type(1 << bits)  # for numbers of parts: the narrower, the faster they are sorted
+
     def place_of(texts: Texts, p: np.ndarray, number: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of a chunk's distinct windows, numbered as they come: part, order in which they are sent, smallest document."""
-        part = np.searchsorted(split, texts.letters(p[first]), "right")
+        part = np.searchsorted(split, texts.letters(p[first]), "right").astype(few)
         low = np.full(len(first), LAST)
         np.minimum.at(low, number, texts.doc(p))
         return part, np.argsort(part, kind="stable"), low
@@ -484,17 +527,17 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             smaller = np.zeros(len(first), bool)
             smaller[place] = np.concatenate([np.zeros(0, _U), *(r[kind] for r in replies)]).astype(bool)
             started[p[smaller[number] | (texts.doc(p) > low[number])]] = True
-        so_far = np.concatenate((np.zeros(length, np.int64), np.cumsum(started)))
-        lost = so_far[length:] > so_far[:-length]
-        removed, spans, left = [], [], []
-        for i, (a, n) in enumerate(zip(texts.offset.tolist(), texts.size.tolist())):
-            own = lost[a : a + n]
-            removed.append(int(own.sum()))
-            spans.append(int(own[:1].sum() + (own[1:] & ~own[:-1]).sum()))
-            left.append(texts.raw[a : a + n][~own].tobytes())
+        lost = sliding(np.logical_or, np.concatenate((np.zeros(length - 1, bool), started)), length)
+        edges = texts.offset  # windows end before the separators, which are not lost
+        starts = np.flatnonzero(lost & ~np.concatenate(([False], lost[:-1])))
+        spans = np.diff(np.searchsorted(starts, edges))
+        removed = np.add.reduceat(lost, edges[:-1], dtype=np.int64)
+        left = ~lost
+        left[edges[1:] - 1], left[edges[-1] :] = False, False
+        ends = np.concatenate(([0], np.cumsum(texts.size - removed))).astype(np.int32)
         return pa.table({
-            "doc_id": pa.array(id_or_null(texts.ids), pa.int64()), "n_bytes": pa.array(texts.size, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
-            "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(left, pa.binary()),
+            "doc_id": pa.array(id_or_null(texts.ids), pa.int64()), "n_bytes": pa.array(texts.size, pa.int64()), "n_removed": pa.array(removed),
+            "n_spans": pa.array(spans, pa.int64()), "kept": pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(texts.raw[left])]),
         })
 
     def unpacked(reply):

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 
 from tallyfield.llm import bpe, decontaminate, line_dedup, pii, quality_classifier, quality_rules, sharding, simhash, substring_dedup, suffix_array
 
@@ -146,6 +147,47 @@ def test_pieces_are_told_apart_without_naming_them(monkeypatch):
     assert 20 < sum(len(d) == 2 for d in held_by.values()) < 80  # most pieces of what texts 3 and 4 share
 
 
+def test_kmers_are_hashed_once_to_32_bits():
+    """CPU time of op6_suffix_array: minima are over narrow numbers, which pieces and anchors of a run share; 64 bits are for chosen k-mers only."""
+    rng = random.Random(8)
+    shared = bytes(rng.choices(b"abcdef ", k=400))
+    bodies = [b"", shared, bytes(rng.choices(b"ab", k=300)) + shared, b"a" * 200, bytes(rng.choices(b"abcdef ", k=1 << 18))]
+    texts = suffix_array.Texts(pa.table({"doc_id": list(range(len(bodies))), "body": bodies}))
+    texts.pieces(50, 34)
+    held = dict(texts.hashed)
+    assert len(held) == 2 and {h.dtype for h in held.values()} == {np.dtype(np.uint32)}
+    lost = np.zeros(len(texts.raw), bool)
+    lost[texts.offset[2] : texts.offset[2] + 30] = True
+    names, named = {}, 0
+    for lo, h, low, valid, picked in texts.anchors(lost, 50, 34):
+        assert any(h is x for x in held.values())
+        chosen = set()
+        for at in np.flatnonzero(valid).tolist():
+            assert low[at] == h[at : at + 17].min()
+            chosen |= {at + i for i in np.flatnonzero(h[at : at + 17] == low[at]).tolist()}
+        assert picked.tolist() == sorted(chosen)
+        for at, key in zip((picked + lo).tolist(), texts.keys(picked + lo, h[picked], 34).tolist()):
+            assert names.setdefault(key, texts.joined[at : at + 34]) == texts.joined[at : at + 34]
+            named += 1
+    assert len(set(names.values())) == len(names) < named
+
+
+def test_rows_that_begin_alike_are_packed_without_their_beginnings():
+    rng = np.random.default_rng(9)
+    one = np.sort(rng.integers(0, 40, 4000, dtype=np.uint64)) << np.uint64(32)
+    columns = [one, *(rng.integers(0, 1 << 63, 4000, dtype=np.uint64) for _ in range(2))]
+    columns = [c[np.lexsort(columns[::-1])] for c in columns]
+    columns = [np.concatenate((c[:1], c)) for c in columns]  # equal rows share all
+    packed = suffix_array.pack_rows(columns)
+    assert all((a == b).all() for a, b in zip(columns, suffix_array.unpack_rows(packed, 3)))
+    alike = suffix_array.pack_rows([np.full(4000, 1 << 60, np.uint64)] * 3)
+    assert len(alike) < 60 and [len(set(c.tolist())) for c in suffix_array.unpack_rows(alike, 3)] == [1, 1, 1]
+    assert [len(c) for c in suffix_array.unpack_rows(suffix_array.pack_rows([np.zeros(0, np.uint64)] * 3), 3)] == [0, 0, 0]
+    rows = np.stack(columns, 1)
+    shared = (rows[1:, 0] >> np.uint64(32) == rows[:-1, 0] >> np.uint64(32)).sum()
+    assert len(zstandard.decompress(packed)) <= 4 + 25 * 4001 - 4 * int(shared)
+
+
 def test_sampled_suffixes_of_windows():
     at = np.array([0, 4, 8, 9, 31])
     need = {p + ahead for p in at.tolist() for ahead in ((1, 2), (0, 1), (0, 2))[p % 3]}
