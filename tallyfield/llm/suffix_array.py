@@ -252,6 +252,7 @@ class Texts:
         w = length - width + 1
         for lo, hi, valid in self.runs(length):
             h = self.hashes(lo, hi, width)
+            del self.hashed[lo, hi, width]  # nothing asks for it again
             valid &= ~lost[lo : lo + len(valid)]
             low = sliding(np.minimum, h, w)
             # chosen if it is the smallest of some window: then the largest of its windows' minima is itself
